@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +27,27 @@ def partitions(spark: SparkSession) -> int:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, so that a lost executor costs no lineage."""
-    context = df.sparkSession.sparkContext
+    """Write df as a table in the shared checkpoint folder and read it from there, so that a lost executor costs no lineage.
+
+    The folder goes with the process that made it.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         if shared is None and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="nephos-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, context, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(context, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_or_empty(name: str = "text"):

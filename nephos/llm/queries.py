@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nephos.llm import bpe, exact, secrets, sharding
+from nephos.llm import bpe, exact, minhash, secrets, sharding
 from nephos.llm.common import table
 
 
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_exact_digest": lambda spark, d: exact.digest(_documents(spark, d)),
     "op4_bpe": lambda spark, d: bpe.digest(_documents(spark, d)),
     "op8_secret_scan": lambda spark, d: secrets.digest(_documents(spark, d)),
+    "op9_minhash": lambda spark, d: minhash.digest(_documents(spark, d)),
     "op10_jump_shards": lambda spark, d: sharding.digest(_documents(spark, d)),
 }
 ORACLE_SQL: dict[str, str] = {}
