@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nephos.llm import bpe, exact, language, lattice, minhash, secrets, sharding, toxicity
+from nephos.llm import bpe, exact, language, lattice, minhash, secrets, sharding, toxicity, webpages
 from nephos.llm.common import table
 
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op3_exact_digest": lambda spark, d: exact.digest(_documents(spark, d)),
     "op4_bpe": lambda spark, d: bpe.digest(_documents(spark, d)),
     "op5_language": lambda spark, d: language.digest(_documents(spark, d)),
+    "op6_main_text": lambda spark, d: webpages.digest(table(spark, d, "pages")),
     "op7_toxicity": lambda spark, d: toxicity.digest(_documents(spark, d), table(spark, d, "labels")),
     "op8_secret_scan": lambda spark, d: secrets.digest(_documents(spark, d)),
     "op9_minhash": lambda spark, d: minhash.digest(_documents(spark, d)),
