@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nephos.llm import bpe, exact, language, lattice, minhash, secrets, sharding, toxicity, webpages
+from nephos.llm import bpe, exact, language, lattice, minhash, mixing, secrets, sharding, toxicity, webpages
 from nephos.llm.common import table
 
 
@@ -13,6 +13,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": lambda spark, d: mixing.digest(_documents(spark, d)),
     "op2_e8_lattice": lambda spark, d: lattice.digest(table(spark, d, "embeddings")),
     "op3_exact_digest": lambda spark, d: exact.digest(_documents(spark, d)),
     "op4_bpe": lambda spark, d: bpe.digest(_documents(spark, d)),
@@ -23,4 +24,4 @@ QUERIES = {
     "op9_minhash": lambda spark, d: minhash.digest(_documents(spark, d)),
     "op10_jump_shards": lambda spark, d: sharding.digest(_documents(spark, d)),
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.oracle()}
