@@ -1,5 +1,8 @@
 """The queries of the library and the SQL that says the same."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from nephos.plans import codecs, grids, records, scores, vertical
+
+PARTS = (records, scores, codecs, vertical, grids)
+QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL = {k: v for part in PARTS for k, v in part.ORACLE_SQL.items()}
+FLAGSHIP = "bias_std"
