@@ -5,13 +5,16 @@ give n (n - 1) / 2 tables, and the number of minhashes needed falls to about a s
 a table if they agree in any two collections.  Links are confirmed on the full sets.
 
 Only connectivity is asked for, so a bucket is never expanded while its members are joined already: members
-are first compared with their bucket's leader, then with leaders drawn anew, and what is still apart in a
-bucket is compared pair by pair.
+are first compared with their bucket's most central member, then with leaders drawn anew.  What then is still
+apart from most of its bucket is held against all of it by odd sketches (Mitzenmacher et al., 2014): the
+parity bits of two sets differ in no more places than the sets have elements apart, so a pair whose bits
+differ in too many is not linked, and only the others are compared in full.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +31,8 @@ from nephos.llm.components import components
 COLLECTIONS, WIDTH = 12, 3
 #: Rounds of leaders before what is apart in a bucket is compared pair by pair.
 LEADER_ROUNDS = 2
+#: 64-bit words of an odd sketch.
+ODD_WORDS = 16
 #: Ids broadcast to pick texts up to this many, and joined by shuffle beyond it.
 BROADCAST_IDS = 2_000_000
 #: Sets a worker keeps while it confirms links.
@@ -68,6 +73,12 @@ def collections_of(found: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """Parity, for each of the sketch's bits, of the number of elements that fall on it."""
+    bits = np.bincount((found >> np.uint64(20)).astype(np.int64) % (64 * ODD_WORDS), minlength=64 * ODD_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -76,7 +87,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, whole, keys): the size of each text's set, a digest of all of it and its collections' keys."""
+    """(id, n, whole, keys, odd): the size of each text's set, a digest of all of it, its collections' keys and odd sketch."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -84,10 +95,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             for doc_id, text in zip(batch["id"], batch["text"], strict=True):
                 found = shingles(text, words)
                 whole = xxhash.xxh3_128_digest(found.tobytes())
-                out.append((doc_id, len(found), whole, collections_of(found) if len(found) else []))
-            yield pd.DataFrame(out, columns=["id", "n", "whole", "keys"])
+                out.append((doc_id, len(found), whole, collections_of(found) if len(found) else [], odd_sketch(found)))
+            yield pd.DataFrame(out, columns=["id", "n", "whole", "keys", "odd"])
 
-    return docs.mapInPandas(made, "id long, n long, whole binary, keys array<long>")
+    return docs.mapInPandas(made, "id long, n long, whole binary, keys array<long>, odd array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -124,33 +135,35 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     """(id, component) of the classes that are linked with another."""
     pairs_of = [F.xxhash64(F.lit(i), F.lit(j), F.col("keys")[i], F.col("keys")[j]) for i, j in combinations(range(COLLECTIONS), 2)]
     rows = classes.select("id", F.col("n").cast("int").alias("n"), F.explode(F.array(*pairs_of)).alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))
     if not shared.count():
         return None
-    members = cut(rows.join(shared, "key").select("key", "id", "n").distinct())
+    members = cut(rows.join(shared, "key").select("key", "id", "n", "k"))
+    # The more members share its keys, the more central a class is.
+    central = members.groupBy("id").agg(F.sum("k").alias("g"))
+    members = cut(members.drop("k").join(central, "id"))
     labels = tested = None
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     for turn in range(LEADER_ROUNDS + 1):
         if labels is None:
             here = members.withColumn("c", F.col("id"))
         else:
-            here = members.join(labels.withColumnRenamed("component", "_c"), "id", "left").select("key", "id", "n", F.coalesce("_c", "id").alias("c"))
-        if turn:
-            here = cut(here)
+            named = labels.withColumnRenamed("component", "_c")
+            here = cut(members.join(named, "id", "left").select("key", "id", "n", "g", F.coalesce("_c", "id").alias("c")))
             apart = here.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            here = members = cut(here.join(apart, "key").select("key", "id", "n", "c"))
-            members = members.drop("c")
+            here = cut(here.join(apart, "key").select("key", "id", "n", "g", "c"))
+            members = here.drop("c")
         if turn < LEADER_ROUNDS:
-            drawn = F.struct((F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("h"), "id", "n", "c")
-            lead = here.groupBy("key").agg(F.min(drawn).alias("x")).select("key", F.col("x.id").alias("v"), F.col("x.n").alias("m"), F.col("x.c").alias("d"))
+            drawn = F.struct((-F.col("g") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("h"), "id", "n", "c")
+            lead = here.groupBy("key").agg(F.min(drawn).alias("x")).select(
+                "key", F.col("x.h").alias("h"), F.col("x.id").alias("v"), F.col("x.n").alias("m"), F.col("x.c").alias("d")
+            )
             found = here.join(lead, "key").where((F.col("c") != F.col("d")) & near)
             if turn == 0:
-                found = found.groupBy(F.col("id").alias("u")).agg(F.min("v").alias("v"))
+                found = found.groupBy("id").agg(F.min(F.struct("h", "v"))["v"].alias("v"))
         else:
-            other = here.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
-            found = here.join(other, "key").where("c <> d AND id > v").where(near)
-        if turn:
-            found = found.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
+            found = _apart(here, classes.select("id", "odd"), near, percent)
+        found = found.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
         if tested is not None:
             found = found.join(tested, ["u", "v"], "left_anti")
         found = cut(found)
@@ -161,6 +174,22 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     return labels
 
 
+def _apart(here: DataFrame, odd: DataFrame, near, percent: int) -> DataFrame:
+    """Pairs (id, v) within a bucket of a member that is not in the bucket's largest component with one of another
+    component, but for those whose odd sketches show that they are not linked."""
+    sizes = here.groupBy("key", "c").agg(F.count("*").alias("k"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("k", "c"))["c"].alias("most"))
+    drawn = cut(here.select("key", "id", "n", "c").join(odd, "id").join(most, "key"))
+    left = drawn.where("c <> most").drop("most")
+    right = drawn.select("key", "most", F.col("id").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("odd").alias("parity"))
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("parity")[i])) for i in range(ODD_WORDS)])
+    # 100 (S - D) >= percent (S + D) for sizes that sum to S and sets that are D elements apart.
+    close = differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+    once = (F.col("id") > F.col("v")) | (F.col("d") == F.col("most"))
+    met = left.join(right, "key").where((F.col("c") != F.col("d")) & once & near & close)
+    return met.select("id", "v")
+
+
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after more links: the old components are the nodes, so the work follows the new links."""
     if labels is None:
@@ -191,7 +220,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     named = docs.where("id IS NOT NULL")
     sets = cut(sketches(named, words))
     full = sets.where("n > 0")
-    classes = cut(full.groupBy("whole").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    classes = cut(full.groupBy("whole").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd")))
     labels = _links(named, classes, words, percent)
     place = classes.select("whole", F.col("id").alias("class"))
     if labels is not None:

@@ -55,6 +55,28 @@ def test_large_group_of_near_copies(spark):
     assert result(minhash.groups(df)) == brute(rows, 4, 80)
 
 
+def test_group_that_only_its_base_holds_together(spark):
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(900)}" for _ in range(150)]
+    rows = [(500, " ".join(base))]
+    for i in range(60):
+        own = list(base)
+        for _ in range(4):
+            own[draw.randrange(len(own))] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(minhash.groups(df)) == brute(rows, 4, 80)
+
+
+def test_odd_sketch_never_overstates():
+    draw = random.Random(2)
+    for _ in range(50):
+        a = minhash.shingles(" ".join(str(draw.randrange(300)) for _ in range(400)), 1)
+        b = minhash.shingles(" ".join(str(draw.randrange(300)) for _ in range(draw.randrange(1, 400))), 1)
+        x = minhash.odd_sketch(a).view("u1") ^ minhash.odd_sketch(b).view("u1")
+        assert sum(int(v).bit_count() for v in x) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "A  B"), (6, "é"), (7, "É"), (8, "x " * 50_000), (9, "X " * 40_000), (10, "\xa0"), (None, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS n")
