@@ -73,18 +73,20 @@ class Model:
         offset = 0
         for lang in self.langs:
             go = suffix_automaton(texts[lang])
-            table = np.full((len(go), width), -1, np.int32)
+            # The last state stands before a phrase: any symbol starts one there.
+            before = len(go)
+            table = np.full((before + 1, width), -1, np.int32)
             for state, edges in enumerate(go):
                 for c, to in edges.items():
                     table[state, SPACE if c == " " else self.symbol[c]] = to
-            first = np.where(table[0] < 0, 0, table[0])
+            first = np.where(table[0] < 0, before, table[0])
             fresh = table < 0
             table = np.where(fresh, first[None, :], table) + offset
             # A step that starts a phrase is stored as its complement.
             tables.append(np.where(fresh, ~table, table).astype(np.int32))
-            self.starts.append(offset)
+            self.starts.append(offset + before)
             self.costs.append(np.log2(max(2, len(texts[lang]))))
-            offset += len(go)
+            offset += before + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.width = width
         if len(letters) > 250:
@@ -116,7 +118,7 @@ class Model:
         for k, (_, b) in enumerate(blocks):
             wide[: len(b), k] = b
         state = np.repeat(np.array(self.starts, np.int32)[:, None], len(blocks), 1)
-        phrases = np.ones((len(self.langs), len(blocks)), np.int32)
+        phrases = np.zeros((len(self.langs), len(blocks)), np.int32)
         live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
         for step in range(sizes[0]):
             n = live[step]
@@ -160,9 +162,10 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         return Model({})
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * SAMPLE_ROWS / n))])
     drawn = usable.withColumn("h", F.xxhash64("text")).where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_ROWS)
+    short = drawn.select("lang", "h", F.substring("text", 1, SAMPLE_LETTERS_OF_ROW).alias("text"))
+    ranked = short.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= SAMPLE_ROWS)
     texts: dict[str, list[str]] = {}
-    for r in ranked.select("lang", "r", F.substring("text", 1, SAMPLE_LETTERS_OF_ROW).alias("text")).orderBy("lang", "r").collect():
+    for r in ranked.orderBy("lang", "r").collect():
         words = "".join(c if c.isalpha() else " " for c in folded(r["text"])).split()
         texts.setdefault(r["lang"], []).append(" ".join(words) + " ")
     least = min(sum(map(len, t)) for t in texts.values())

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from nephos.llm.common import small_batches
 
 #: Lengths of the n-grams, and bits of the table that their hashes index.
-ORDERS, BITS = (3, 4, 5), 20
-#: What a model learns from at most: labelled rows of each class, and code points of all of them.
-SAMPLE_ROWS, SAMPLE_POINTS = 3000, 8_000_000
+ORDERS, BITS = (3, 4, 5, 6), 20
+#: What a model learns from at most: labelled rows of each class, code points of each, and of all of them.
+SAMPLE_ROWS, SAMPLE_POINTS_OF_ROW, SAMPLE_POINTS = 3000, 8_000, 8_000_000
 #: Logistic regression: rounds of gradient steps, step, and weight decay.
 ROUNDS, STEP, DECAY = 200, 0.5, 1e-4
 THRESHOLD = 0.7
@@ -84,7 +84,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     seen = counts[0] + counts[1] - 2
     # A place tells little if it is rare or its ratio is near what chance gives.
     spread = np.sqrt(1 / counts[0] + 1 / counts[1])
-    ratio[(seen < 4) | (np.abs(ratio) < 2.5 * spread)] = 0.0
+    ratio[(seen < 4) | (np.abs(ratio) < 3.0 * spread)] = 0.0
     used = np.flatnonzero(ratio)
     column = np.full(size, -1)
     column[used] = np.arange(len(used))
@@ -110,14 +110,19 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(weight, b)
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "toxic") -> Model:
-    """A model from labelled rows, of which a bounded sample is read: the least hashes of each class's texts."""
-    usable = rows.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(text).alias("text"))
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """A model from labelled rows, of which a bounded sample is read: the least hashes of each class's keys.
+
+    The sample is drawn from the labels, and its keys, a bounded number, are broadcast to pick the texts.
+    """
     sample = []
     for y in (0, 1):
-        drawn = usable.where(F.col("y") == y).withColumn("h", F.xxhash64("text")).orderBy("h").limit(SAMPLE_ROWS)
+        keys = labels.where((F.col(label) == y) & F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct()
+        drawn = keys.withColumn("_h", F.xxhash64("_key")).orderBy("_h", "_key").limit(SAMPLE_ROWS)
+        found = docs.where(F.col(text).isNotNull()).join(F.broadcast(drawn), F.col(key) == F.col("_key"))
+        rows = found.select("_h", "_key", F.substring(text, 1, SAMPLE_POINTS_OF_ROW).alias("text"), F.length(text).alias("n"))
         held = 0
-        for r in drawn.select("h", F.substring("text", 1, 20_000).alias("text")).toLocalIterator():
+        for r in sorted(rows.collect(), key=lambda r: (r["_h"], r["_key"], r["n"], r["text"])):
             held += len(r["text"])
             if held > SAMPLE_POINTS // 2:
                 break
@@ -142,7 +147,6 @@ def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that op7 returns."""
     from nephos.llm.language import held_out
 
-    known = documents.where(~held_out()).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    model = train(known)
+    model = train(documents.select("doc_id", "text"), labels.where(~held_out()).select("doc_id", "toxic"))
     rows = documents.select("doc_id", held_out().alias("held_out"), "text")
     return scores(rows, model).select("doc_id", "held_out", "score", "predicted")

@@ -322,7 +322,9 @@ def train(pages: DataFrame | None = None, html: str = "html") -> Field:
     """A field from made pages and, of a table, a bounded sample of those that an article element labels."""
     known = made_pages()
     if pages is not None:
-        sample = pages.where(F.col(html).contains("<article") & (F.length(html) <= TABLE_PAGE_POINTS)).select(F.col(html).alias("html")).withColumn("h", F.xxhash64("html"))
+        share = min(1.0, 20 * TABLE_PAGES / max(1, pages.count()))
+        usable = F.col(html).contains("<article") & (F.length(html) <= TABLE_PAGE_POINTS)
+        sample = pages.where(usable).select(F.col(html).alias("html")).withColumn("h", F.xxhash64("html")).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
         for r in sample.orderBy("h").limit(TABLE_PAGES).collect():
             if page := labelled(r["html"]):
                 known.append(page)
