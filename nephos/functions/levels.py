@@ -11,7 +11,8 @@ BOUNDS = {
     0: (-20000.0, 100000.0), 1: (0.0, 1.0), 2: (0.0, 1100.0), 3: (-4.8e8, 1.0e10), 4: (-20000.0, 100000.0),
     5: (0.0, 1.0), 6: (1.0, 200000.0), 10: (0.0, 1.0e10), 21: (0.0, 1000000.0),
 }
-MANTISSA = 1_000_000
+#: Mantissas stay below these, positive and negative; negative ones are stored as 1 000 000 more.
+MANTISSA, NEGATIVE = 1_000_000, 48_000
 BAD = -999999
 
 
@@ -58,18 +59,20 @@ def _decode(code: Column) -> tuple[Column, Column]:
 
 
 def encode(value: Column, kind: int) -> Column:
-    """New-style code of a value, with as many digits as six places hold; -999999 out of the kind's bounds."""
+    """New-style code of a value, with as many digits as its mantissa holds, six or, below zero, four; -999999 out of the kind's bounds."""
     return _bound(value, lambda v: _encode(v, kind))
 
 
 def _encode(value: Column, kind: int) -> Column:
     low, high = BOUNDS[kind]
     size = F.abs(value)
-    # The power that makes the mantissa as large as fits: below 1 000 000 and the power from 0 to 15.
-    digits = F.floor(F.log10(F.greatest(size, F.lit(1e-300)))).cast("int")
-    power = F.least(F.greatest(F.lit(9) - digits, F.lit(0)), F.lit(15))
+    # The power that makes the mantissa as large as fits: below its limit, and the power from 0 to 15.
+    limit = F.when(value < 0, F.lit(float(NEGATIVE))).otherwise(F.lit(float(MANTISSA)))
+    power = F.floor(F.log10(limit / F.greatest(size, F.lit(1e-300)))).cast("int") + 4
+    power = F.least(F.greatest(power, F.lit(0)), F.lit(15))
     m = F.round(size * F.pow(F.lit(10.0), power - 4)).cast("long")
-    power, m = F.when(m >= MANTISSA, power - 1).otherwise(power), F.when(m >= MANTISSA, F.round(m / 10.0).cast("long")).otherwise(m)
+    over = m >= limit
+    power, m = F.when(over, power - 1).otherwise(power), F.when(over, F.round(m / 10.0).cast("long")).otherwise(m)
     zero = size < 1e-12
     power, m = F.when(zero, F.lit(4)).otherwise(power), F.when(zero, F.lit(0)).otherwise(m)
     m = F.when((value < 0) & ~zero, m + MANTISSA).otherwise(m)
