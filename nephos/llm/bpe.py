@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from nephos.llm.common import small_batches
 
-#: Most chunks whose encoding a worker remembers; it only saves time.
-REMEMBERED = 300_000
+#: Most chunks, pre-tokens or pairs that a worker remembers, in each of two generations; it only saves time.
+REMEMBERED = 100_000
 #: Stands for the mark of a word's end in the automaton's alphabet of bytes.
 END = "Ā"
 NEVER = 1 << 40
@@ -111,7 +111,7 @@ class Vocabulary:
 
     def compatible(self, left: int, right: int) -> bool:
         known = self._crossing(left, right) == NEVER
-        if len(self.fits) >= REMEMBERED:
+        if len(self.fits) >= 4 * REMEMBERED:
             self.fits.clear()
         self.fits[left << 20 | right] = known
         return known
@@ -142,33 +142,44 @@ class Vocabulary:
             end -= width[end]
         return ids[::-1]
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a whole text as little-endian unsigned 32-bit integers."""
+        return b"".join(self.chunks(text))
+
     def encode(self, text: str) -> list[int]:
-        """The ids of a whole text."""
-        ids = []
-        for packed, _ in self.chunks(text):
-            ids += struct.unpack(f"<{len(packed) // 4}I", packed)
-        return ids
+        return self.unpacked(self.packed(text))
+
+    @staticmethod
+    def unpacked(packed: bytes) -> list[int]:
+        return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
     def decode(self, ids) -> str:
         """Token names joined by spaces: this vocabulary's file names no decoder."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        return " ".join([self.names[i] for i in ids if i in self.names])
 
-    def chunks(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """The packed ids and the decoded form of each part of a text between spaces."""
+    def chunks(self, text: str) -> Iterator[bytes]:
+        """The packed ids of each part of a text between spaces."""
         known = self.known
         for part in self.split_special.split(text) if "<|" in text else (text,):
             if part in self.special:
-                yield struct.pack("<I", self.special[part]), part
+                yield struct.pack("<I", self.special[part])
             elif part:
                 yield from map(known.__getitem__, self.normal(part).split(" "))
 
     @cached_property
     def known(self) -> Remembered:
-        return Remembered(self)
+        return Remembered(self._chunk)
 
     @cached_property
-    def pieces_known(self) -> Pieces:
-        return Pieces(self)
+    def pieces_known(self) -> Remembered:
+        return Remembered(self._packed)
+
+    def _packed(self, piece: str) -> bytes:
+        ids = self.encode_piece(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join([self.pieces_known[piece] for piece in self.pieces.findall(chunk)])
 
     @staticmethod
     def normal(text: str) -> str:
@@ -178,20 +189,24 @@ class Vocabulary:
         return text.replace("Σ", "σ").lower()  # letter by letter: no final form
 
 
-class Pieces(dict):
-    """From a pre-token to its ids."""
+class Remembered(dict):
+    """What make() gives for a key, kept in two generations: when the young one is full, it takes the old one's place."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, make):
         super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.vocabulary.encode_piece(piece)
-        if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > 64:
+                return found
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class Spines(dict):
@@ -216,24 +231,6 @@ SPACES = regex.compile(r"\s")
 SPACES_ASCII = regex.compile(r"[\t\n\r\f\v]")
 
 
-class Remembered(dict):
-    """From a chunk without spaces to its packed ids and decoded form."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        v = self.vocabulary
-        ids = [i for piece in v.pieces.findall(chunk) for i in v.pieces_known[piece]]
-        found = struct.pack(f"<{len(ids)}I", *ids), v.decode(ids)
-        if len(chunk) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = found
-        return found
-
-
 _loaded: dict[str, Vocabulary] = {}
 
 
@@ -277,9 +274,8 @@ def digests(docs: DataFrame, text: str = "text", path: str | None = None) -> Dat
         words = vocabulary(path)
         out = []
         for x in texts:
-            parts = [c for c in words.chunks(x or "") if c[0]]
-            packed = b"".join([c[0] for c in parts])
-            decoded = " ".join([c[1] for c in parts])
+            packed = words.packed(x or "")
+            decoded = words.decode(words.unpacked(packed))
             out.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
