@@ -111,10 +111,11 @@ def fit(measured: DataFrame, flatten: dict[str, float] | None = None, rounds: in
 
 
 def weighed(docs: DataFrame, fitted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs (with _source, _lang, _topic) with weight, probability and sampled of each."""
+    """docs (with _source, _lang, _topic) with _weight, _probability and _sampled of each."""
     few = fitted.count() <= DRIVER_CELLS
     names = [f"_{m}" for m in MARGINS]
-    return docs.join(F.broadcast(fitted) if few else fitted, names).withColumn("sampled", draw_of(key) < F.col("probability"))
+    fitted = fitted.withColumnsRenamed({"weight": "_weight", "probability": "_probability"})
+    return docs.join(F.broadcast(fitted) if few else fitted, names).withColumn("_sampled", draw_of(key) < F.col("_probability"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", flatten: dict[str, float] | None = None) -> DataFrame:
@@ -126,7 +127,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", flatten: dict[
     """
     named = margins(docs, text)
     measured = named.select(*[f"_{m}" for m in MARGINS], tokens_of(F.coalesce(F.col(text), F.lit(""))).alias("n_tokens"))
-    drawn = weighed(named, fit(measured, flatten), key).where("sampled")
+    drawn = weighed(named, fit(measured, flatten), key).where("_sampled")
     return drawn.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -137,7 +138,7 @@ def digest(documents: DataFrame) -> DataFrame:
     rows = weighed(measured, fit(measured))
     return rows.select(
         "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), "n_tokens",
-        F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled",
+        F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"),
     )
 
 
