@@ -2,6 +2,7 @@ import hashlib
 import random
 import struct
 import unicodedata
+from functools import cache
 
 import pytest
 from hypothesis import given, settings
@@ -32,13 +33,18 @@ def test_whole_table(spark, library):
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+@cache
+def loaded():
+    return Tokenizer.from_file(bpe.standard_path())
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(max_size=60) | st.text(alphabet="abehinorst'<|>endoftx ΣÉ\t", max_size=60))
 def test_any_text(text):
     # Characters that Python's Unicode data do not know have no defined class.
     if any(unicodedata.category(c) in ("Cs", "Cn") for c in text):
         return
-    library = test_any_text.__dict__.setdefault("library", Tokenizer.from_file(bpe.standard_path()))
+    library = loaded()
     words = bpe.vocabulary(bpe.standard_path())
     ids = library.encode(text, add_special_tokens=False).ids
     assert words.encode(text) == ids and words.decode(ids) == library.decode(ids, skip_special_tokens=False)
