@@ -67,3 +67,12 @@ def days_365(year: Column, month: Column, day: Column) -> Column:
     """Days since year 0 in the calendar without leap years."""
     before = F.element_at(F.array(*[F.lit(d) for d in (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334)]), month.cast("int"))
     return (year * 365 + before + (day - 1)).cast("long")
+
+
+def julian_day(year: Column, month: Column, day: Column) -> Column:
+    """Julian day number of a Gregorian date."""
+    return (F.datediff(F.make_date(year, month, day), F.lit("1970-01-01").cast("date")) + 2_440_588).cast("long")
+
+
+def from_julian_day(number: Column) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), (number - 2_440_588).cast("int"))

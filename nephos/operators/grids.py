@@ -170,3 +170,41 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * radius * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+
+
+def wrapped_bilinear(field: Column, x: Column, y: Column, ni: int, nj: int) -> Column:
+    """Bilinear on a grid that closes on itself in i: the column after the last is the first."""
+    i = F.floor(x)
+    j = F.least(F.greatest(F.floor(y), F.lit(1)), F.lit(nj - 1))
+    dx, dy = x - i, y - j
+    left, right = F.pmod(i - 1, F.lit(ni)) + 1, F.pmod(i, F.lit(ni)) + 1
+
+    def row(at: Column) -> Column:
+        a, b = point(field, left, at, ni), point(field, right, at, ni)
+        return a + (b - a) * dx
+
+    low, high = row(j), row(j + 1)
+    return low + (high - low) * dy
+
+
+def irregular_bilinear(field: Column, x: Column, y: Column, ax: list[float], ay: list[float]) -> Column:
+    """Bilinear between unevenly spaced axes at coordinates, not indices."""
+    from nephos.functions.sphere import axis_position
+
+    return bilinear(field, axis_position(ax, x), axis_position(ay, y), len(ax), len(ay))
+
+
+def pole_value(field: Column, ni: int, nj: int, north: bool) -> Column:
+    """Mean of the last or first row of a field."""
+    row = F.slice(field, (nj - 1) * ni + 1 if north else 1, ni)
+    return F.aggregate(row, F.lit(0.0), lambda a, z: a + z) / ni
+
+
+def merged(first: Column, second: Column, mask: Column) -> Column:
+    """A composite grid's value: the second half's where the mask is 1, else the first's."""
+    return F.when(mask == 1, second).otherwise(first)
+
+
+def from_surface(rows: DataFrame, flux: Column, surface: Column, factor: Column, into: str = "value") -> DataFrame:
+    """Below the lowest level, the surface's value and a factor times a given flux column."""
+    return rows.withColumn(into, F.when(F.col("_t") < F.get("lev", F.lit(0)), surface + factor * flux).otherwise(F.col(into)))

@@ -47,3 +47,46 @@ def directives(lines: DataFrame, line: str = "line") -> DataFrame:
     body = F.regexp_extract(text, r"^[A-Za-z_]\w*\s*[=(]\s*(.*?)\)?\s*$", 1)
     args = F.filter(F.transform(F.split(body, ","), lambda x: F.trim(F.regexp_replace(F.trim(x), "^['\"]|['\"]$", ""))), lambda x: x != "")
     return lines.select(name.alias("name"), args.alias("args")).where("name <> ''")
+
+
+def rename(arrays: DataFrame, old: str, new: str) -> DataFrame:
+    """A named array under another name, if that is free."""
+    taken = arrays.where(F.col("name") == new).agg((F.count("*") > 0).alias("_taken"))
+    moved = F.when((F.col("name") == old) & ~F.col("_taken"), new).otherwise(F.col("name"))
+    return arrays.join(F.broadcast(taken)).withColumn("name", moved).drop("_taken")  # taken is one row
+
+
+def shuffled(arrays: DataFrame, names: list[str]) -> DataFrame:
+    """Names turned round: the array of each name takes the one after it, the last the first."""
+    after = dict(zip(names, [*names[1:], names[0]], strict=True))
+    chain = F
+    for old, new in after.items():
+        chain = chain.when(F.col("name") == old, new)
+    return arrays.withColumn("name", chain.otherwise(F.col("name")) if names else F.col("name"))
+
+
+def locked(store: DataFrame, head: str) -> DataFrame:
+    """Entries under a head that were rewritable until locked are read-only from now on."""
+    hit = F.col("name").startswith(head.upper()) & F.col("rewritable")
+    return store.withColumn("rewritable", F.when(hit, False).otherwise(F.col("rewritable")))
+
+
+def checkpoint(store: DataFrame, path: str) -> None:
+    store.write.mode("overwrite").parquet(path)
+
+
+def reload(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def jar_put(jar: Column, items: Column, at: Column) -> Column:
+    """A jar of elements with items from a 1-based place: gaps are zeros and what was beyond is cut off."""
+    have = F.size(jar)
+    kept = F.slice(jar, F.lit(1), F.least(have, at - 1))
+    gap = F.array_repeat(F.lit(0).cast("long"), F.greatest(at - 1 - have, F.lit(0)))
+    return F.concat(kept, gap, items)
+
+
+def jar_get(jar: Column, at: Column, count: Column) -> Column:
+    """count elements from a place, null if the jar holds fewer."""
+    return F.when(at + count - 1 <= F.size(jar), F.slice(jar, at, count))

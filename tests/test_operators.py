@@ -104,3 +104,43 @@ def test_word_files(spark, tmp_path):
     got = words.words(found.where(F.col("path").endswith("w.bin")), 3, 100).first()["words"]
     assert got == [3, 4, 5, 6, 7, 8]
     assert one(spark, words.ibm_to_float(F.lit(0x42640000).cast("long"))) == (100.0,)
+
+
+def test_directive_language():
+    from nephos.operators.directives import DirectiveError, Directives, command_keys, environment_options
+
+    seen = []
+    run = Directives({"n": 2}, {"emit": lambda *a: seen.append(a)})
+    run.run("""
+      total = 0 ! sum
+      WHILE (n < 5 AND NOT total > 100)
+        total = total + n ** 2
+        n := n + 1
+      ENDWHILE
+      IF (total = 29)
+        emit(total, 'a, b', -1.5)
+      ELSE
+        emit(0)
+      ENDIF
+      list = 3, 4, 5
+      PRINT list[2] * (1 + 1)
+      UNDEF(n)
+    """)
+    assert seen == [(29, "a, b", -1.5)] and run.printed == [8] and "N" not in run.values
+    for bad in ("x = ", "y = 1 +", "none(1)", "IF (1)", "z = missing"):
+        with pytest.raises(DirectiveError):
+            Directives().run(bad + ("" if "= " != bad[-2:] else "("))
+    assert environment_options("A=1; b = x;") == {"A": "1", "B": "x"}
+    assert command_keys(["-in", "f", "-v"], {"in": ("", "-"), "v": ("0", "1"), "out": ("o", "p")}) == {"in": "f", "v": "1", "out": "o"}
+
+
+def test_legendre_functions_are_orthonormal():
+    from nephos.operators.spectral import legendre
+
+    x, w = np.polynomial.legendre.leggauss(20)
+    tables = [legendre(v, 8) for v in x]
+    for m in range(9):
+        for n in range(m, 9):
+            for k in range(m, 9):
+                total = sum(a * t[m, n] * t[m, k] for a, t in zip(w, tables, strict=True))
+                assert abs(total - (n == k)) < 1e-10
