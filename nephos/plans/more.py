@@ -8,6 +8,7 @@ from nephos.functions import dates, sphere
 from nephos.operators import grids, spectral, store
 from nephos.plans.base import r4, read
 from nephos.plans.grids import _targets
+from nephos.sources import recordstore
 
 AX, AY = [0.0, 1.0, 2.5, 3.0, 5.0, 6.0, 8.0, 9.0], [0.0, 2.0, 3.0, 4.5, 5.0, 7.0, 7.5, 9.0]
 
@@ -65,7 +66,15 @@ def array_names(spark, d):
     return store.rename(store.rename(turned, "REGION_0", "FREE"), "REGION_1", "REGION_2").select("name", "r_regionkey")
 
 
-QUERIES = {f.__name__: f for f in (regrid_wrapped, regrid_irregular, pole_values, composite_merge, spectral_round_trip, julian_days, jar_elements, array_names)}
+def payload_round_trip(spark, d):
+    z = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000))
+    e = read(spark, d, "embeddings").select("vec_id", z.alias("z"))
+    coded = e.select("vec_id", "z", *[recordstore.encoded(F.col("z"), k, b).alias(f"p{k}") for k, b in ((4, 16), (133, 64))])
+    back = [recordstore.decoded(F.col(f"p{k}"), F.size("z"), F.lit(k), F.lit(b)) for k, b in ((4, 16), (133, 64))]
+    return coded.select("vec_id", F.octet_length("p4").cast("long").alias("n_bytes"), (back[0] == F.col("z")).alias("same_int"), (back[1] == F.col("z")).alias("same_real"))
+
+
+QUERIES = {f.__name__: f for f in (regrid_wrapped, regrid_irregular, pole_values, composite_merge, spectral_round_trip, julian_days, jar_elements, array_names, payload_round_trip)}
 _T = "t AS (SELECT vec_id, embedding AS z, k, ((vec_id * 7 + k * 13) % 32 / 4.0 + 0.75)::DOUBLE AS x, ((vec_id * 5 + k * 11) % 32 / 4.0 + 0.75)::DOUBLE AS y FROM embeddings, range(0, 5) r(k))"
 _V = "a + (b - a) * dx + ((e + (f - e) * dx) - (a + (b - a) * dx)) * dy"
 
@@ -79,6 +88,7 @@ def _place(axis: list[float], v: str) -> str:
 _LIN = f"""c AS (SELECT *, greatest(1, least(7, floor(x)))::BIGINT AS i, greatest(1, least(7, floor(y)))::BIGINT AS j FROM p),
     l AS (SELECT *, x - i AS dx, y - j AS dy, z[(j-1)*8+i]::DOUBLE AS a, z[(j-1)*8+i+1]::DOUBLE AS b, z[j*8+i]::DOUBLE AS e, z[j*8+i+1]::DOUBLE AS f FROM c), v AS (SELECT *, {_V} AS v FROM l)"""
 ORACLE_SQL = {
+    "payload_round_trip": "SELECT vec_id, 128 AS n_bytes, true AS same_int, true AS same_real FROM embeddings",
     "regrid_wrapped": f"""WITH {_T}, c AS (SELECT *, floor(x)::BIGINT AS i, greatest(1, least(7, floor(y)))::BIGINT AS j FROM t), n AS (SELECT *, (i + 7) % 8 + 1 AS w, i % 8 + 1 AS r FROM c),
         l AS (SELECT *, x - i AS dx, y - j AS dy, z[(j-1)*8+w]::DOUBLE AS a, z[(j-1)*8+r]::DOUBLE AS b, z[j*8+w]::DOUBLE AS e, z[j*8+r]::DOUBLE AS f FROM n) SELECT vec_id, k, round({_V}, 4) AS value FROM l""",
     "regrid_irregular": f"WITH {_T}, p AS (SELECT vec_id, k, z, ({_place(AX, 'x')})::DOUBLE AS x, ({_place(AY, 'y')})::DOUBLE AS y FROM t), {_LIN} SELECT vec_id, k, round(v, 4) AS value FROM v",

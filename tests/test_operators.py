@@ -144,3 +144,30 @@ def test_legendre_functions_are_orthonormal():
             for k in range(m, 9):
                 total = sum(a * t[m, n] * t[m, k] for a, t in zip(w, tables, strict=True))
                 assert abs(total - (n == k)) < 1e-10
+
+
+@pytest.mark.parametrize(("kind", "bits", "error"), [(5, 32, 1e-6), (5, 64, 0), (1, 16, 1e-4), (4, 12, 0.5), (69, 64, 0), (65, 12, 1e-3), (133, 32, 1e-6), (197, 64, 0)])
+def test_payloads(kind, bits, error):
+    from nephos.sources import recordstore as rs
+
+    draw = np.random.default_rng(kind)
+    values = [float(v) for v in draw.standard_normal(77)]
+    if kind & rs.MISSING:
+        values[0] = values[13] = values[76] = None
+    back = rs.decode_values(rs.encode_values(values, kind, bits), 77, kind, bits)
+    assert all((a is None) == (b is None) and (a is None or abs(a - b) <= error) for a, b in zip(values, back, strict=True))
+    if not kind & rs.MISSING:
+        with pytest.raises(ValueError):
+            rs.encode_values([1.0, None], kind, bits)
+
+
+def test_record_store(spark, tmp_path):
+    from nephos.sources import recordstore as rs
+
+    path = str(tmp_path / "store")
+    first = spark.createDataFrame([(1, "UU", [1.5, 2.5]), (2, "VV", [3.0])], "handle long, nomvar string, field array<double>")
+    rs.write(first, path)
+    rs.write(spark.createDataFrame([(2, "VV", [4.25]), (3, "TT", [-1.0])], first.schema), path, kind=133, bits=64)
+    found = rs.open_store(spark, path)
+    assert {r["handle"]: r["field"] for r in rs.fields(found).collect()} == {1: [1.5, 2.5], 2: [4.25], 3: [-1.0]}
+    assert records.search(found, nomvar="VV", handle=-1).select("handle").collect()[0][0] == 2
