@@ -27,8 +27,8 @@ from nephos.llm.common import cut, small_batches
 from nephos.llm.components import components
 
 #: Collections of minhashes, and minhashes in each.  At a Jaccard likeness of 0.8 a pair misses all tables
-#: with probability 0.0025, at 0.85 with 0.0002, at 0.9 with 0.000001.
-COLLECTIONS, WIDTH = 12, 3
+#: with probability 0.00018, at 0.85 with 0.000006, at 0.9 with 0.00000004.
+COLLECTIONS, WIDTH = 16, 3
 #: Rounds of leaders before what is apart in a bucket is compared pair by pair.
 LEADER_ROUNDS = 2
 #: 64-bit words of an odd sketch.
