@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from nephos.llm.common import small_batches
 
 #: Most chunks, pre-tokens or pairs that a worker remembers, in each of two generations; it only saves time.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 #: Stands for the mark of a word's end in the automaton's alphabet of bytes.
 END = "Ā"
 NEVER = 1 << 40
@@ -111,7 +112,7 @@ class Vocabulary:
 
     def compatible(self, left: int, right: int) -> bool:
         known = self._crossing(left, right) == NEVER
-        if len(self.fits) >= 4 * REMEMBERED:
+        if len(self.fits) > 2 * REMEMBERED:
             self.fits.clear()
         self.fits[left << 20 | right] = known
         return known
@@ -254,7 +255,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, into: s
     """
     small_batches(docs.sparkSession)
     path = path or standard_path()
-    ids = F.pandas_udf(lambda s: s.map(lambda x: vocabulary(path).encode(x or "")), "array<int>")
+    ids = F.pandas_udf(lambda s: s.map(lambda x: np.frombuffer(vocabulary(path).packed(x or ""), "<i4")), "array<int>")
     return docs.withColumn(into, ids(F.col(text)))
 
 

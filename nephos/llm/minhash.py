@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nephos.llm.common import cut, small_batches
+from nephos.llm.common import cut, partitions, small_batches
 from nephos.llm.components import components
 
 #: Collections of minhashes, and minhashes in each.  At a Jaccard likeness of 0.8 a pair misses all tables
@@ -36,7 +36,7 @@ ODD_WORDS = 16
 #: Ids broadcast to pick texts up to this many, and joined by shuffle beyond it.
 BROADCAST_IDS = 2_000_000
 #: Sets a worker keeps while it confirms links.
-REMEMBERED_WORDS = 4_000_000
+REMEMBERED_WORDS = 1_000_000
 
 _seeds = np.random.default_rng(20_240_901)
 _MIX = _seeds.integers(1, 2**63, size=16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -220,7 +220,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     named = docs.where("id IS NOT NULL")
     sets = cut(sketches(named, words))
     full = sets.where("n > 0")
-    classes = cut(full.groupBy("whole").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd")))
+    # Each class makes many table rows, so classes are dealt finely before they do.
+    classes = cut(full.groupBy("whole").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd")).repartition(4 * partitions(spark)))
     labels = _links(named, classes, words, percent)
     place = classes.select("whole", F.col("id").alias("class"))
     if labels is not None:
