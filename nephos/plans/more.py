@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nephos.functions import dates, sphere
@@ -35,8 +36,6 @@ def composite_merge(spark, d):
 
 def spectral_round_trip(spark, d):
     """Spectral coefficients to Gaussian latitudes and back, which quadrature makes exact."""
-    import numpy as np
-
     waves, n = 6, 8
     lats = sphere.gaussian_latitudes(n)
     table = spectral.legendre_table(spark, lats, waves)
