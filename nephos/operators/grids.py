@@ -208,3 +208,49 @@ def merged(first: Column, second: Column, mask: Column) -> Column:
 def from_surface(rows: DataFrame, flux: Column, surface: Column, factor: Column, into: str = "value") -> DataFrame:
     """Below the lowest level, the surface's value and a factor times a given flux column."""
     return rows.withColumn(into, F.when(F.col("_t") < F.get("lev", F.lit(0)), surface + factor * flux).otherwise(F.col(into)))
+
+
+def wrapped_bicubic(field: Column, x: Column, y: Column, ni: int, nj: int) -> Column:
+    """Bicubic on a grid that closes on itself in i."""
+    i = F.floor(x)
+    j = F.least(F.greatest(F.floor(y), F.lit(2)), F.lit(nj - 2))
+    wx, wy = _lagrange(x - i), _lagrange(y - j)
+    total = F.lit(0.0)
+    for b in range(4):
+        line = F.lit(0.0)
+        for a in range(4):
+            line = line + wx[a] * point(field, F.pmod(i + (a - 2), F.lit(ni)) + 1, j + (b - 1), ni)
+        total = total + wy[b] * line
+    return total
+
+
+def _weights(axis: list[float], at: Column) -> tuple[Column, list[Column]]:
+    """First of the four points of an uneven axis around a coordinate, and their Lagrange weights."""
+    first = F.least(F.greatest(F.floor(axis_position(axis, at)) - 1, F.lit(1)), F.lit(len(axis) - 3))
+    p = [F.get(F.array(*[F.lit(float(v)) for v in axis]), (first - 1 + k).cast("int")) for k in range(4)]
+    out = []
+    for k in range(4):
+        w = F.lit(1.0)
+        for n in range(4):
+            if n != k:
+                w = w * (at - p[n]) / (p[k] - p[n])
+        out.append(w)
+    return first, out
+
+
+def irregular_bicubic(field: Column, x: Column, y: Column, ax: list[float], ay: list[float]) -> Column:
+    """Bicubic between unevenly spaced axes at coordinates, not indices."""
+    (i, wx), (j, wy) = _weights(ax, x), _weights(ay, y)
+    total = F.lit(0.0)
+    for b in range(4):
+        line = F.lit(0.0)
+        for a in range(4):
+            line = line + wx[a] * point(field, i + a, j + b, len(ax))
+        total = total + wy[b] * line
+    return total
+
+
+def surface_wind(height: Column, depth: Column, top_angle: Column, most_angle: Column, top: Column, lat: Column, speed: Column) -> tuple[Column, Column]:
+    """Wind below the lowest level: the angle turns with height by the sine of the latitude, and speed is given."""
+    angle = top_angle + (top - height) / depth * most_angle * F.sin(F.radians(lat))
+    return speed * F.cos(angle), speed * F.sin(angle)

@@ -171,3 +171,17 @@ def test_record_store(spark, tmp_path):
     found = rs.open_store(spark, path)
     assert {r["handle"]: r["field"] for r in rs.fields(found).collect()} == {1: [1.5, 2.5], 2: [4.25], 3: [-1.0]}
     assert records.search(found, nomvar="VV", handle=-1).select("handle").collect()[0][0] == 2
+
+
+def test_cubic_regridding_on_uneven_and_closed_axes(spark):
+    ax, ay = [0.0, 1.0, 2.5, 3.0, 5.0, 6.0], [0.0, 2.0, 3.0, 4.5, 5.0]
+    f = lambda x, y: x**3 - x * y**2 + y - 2
+    uneven = [float(f(x, y)) for y in ay for x in ax]
+    ring = [float(np.sin(2 * np.pi * i / 40) * (1 + j)) for j in range(5) for i in range(40)]
+    pts = [(x / 4 + 0.1, y / 3 + 0.05, x * 2.3 + 0.4, 1 + y / 4) for x in range(1, 22) for y in range(1, 13)]
+    df = spark.createDataFrame([(uneven, ring, *p) for p in pts], "u array<double>, r array<double>, x double, y double, i double, j double")
+    a = grids.irregular_bicubic(F.col("u"), F.col("x"), F.col("y"), ax, ay)
+    b = grids.wrapped_bicubic(F.col("r"), F.col("i"), F.col("j"), 40, 5)
+    for r in df.select("x", "y", "i", "j", a.alias("a"), b.alias("b")).collect():
+        assert abs(r["a"] - f(r["x"], r["y"])) < 1e-8
+        assert abs(r["b"] - np.sin(2 * np.pi * (r["i"] - 1) / 40) * r["j"]) < 1e-4 * 8
