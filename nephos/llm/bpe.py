@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from nephos.llm.common import small_batches
 
 #: Most chunks, pre-tokens or pairs that a worker remembers, in each of two generations; it only saves time.
-REMEMBERED = 60_000
+REMEMBERED = 40_000
 #: Stands for the mark of a word's end in the automaton's alphabet of bytes.
 END = "Ā"
 NEVER = 1 << 40

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 BATCH_ROWS = 400
 
@@ -50,5 +52,10 @@ def _remove(context, path: str) -> None:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+def released(batches):
+    """The batches, then the memory that making them left free goes back to the system: workers live on between stages."""
+    yield from batches
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has no trim everywhere
+        ctypes.CDLL(None).malloc_trim(0)

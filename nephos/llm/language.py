@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nephos.llm.common import small_batches
+from nephos.llm.common import released, small_batches
 
 #: What a model learns from at most: labelled rows of each language, letters of each such row, letters in all
 #: of a language.
@@ -182,6 +182,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from released(scored(batches))
+
+    def scored(batches):
         learned = shared.value
         table = learned.classes()
         for texts in batches:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nephos.llm.common import cut, partitions, small_batches
+from nephos.llm.common import cut, partitions, released, small_batches
 from nephos.llm.components import components
 
 #: Collections of minhashes, and minhashes in each.  At a Jaccard likeness of 0.8 a pair misses all tables
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 out.append((doc_id, len(found), whole, collections_of(found) if len(found) else [], odd_sketch(found)))
             yield pd.DataFrame(out, columns=["id", "n", "whole", "keys", "odd"])
 
-    return docs.mapInPandas(made, "id long, n long, whole binary, keys array<long>, odd array<long>")
+    return docs.mapInPandas(lambda batches: released(made(batches)), "id long, n long, whole binary, keys array<long>, odd array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -128,7 +128,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 good.append(alike(first, known[v] if v in known else shingles(b, words), percent))
             yield batch.loc[good, ["u", "v"]]
 
-    return both.mapInPandas(kept, "u long, v long")
+    return both.mapInPandas(lambda batches: released(kept(batches)), "u long, v long")
 
 
 def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:
