@@ -23,6 +23,8 @@ SAMPLE_ROWS, SAMPLE_LETTERS_OF_ROW, SAMPLE_LETTERS = 400, 400, 24_000
 #: A text is parsed in blocks of so many letters, side by side; a border costs a language one phrase at most.
 BLOCK = 1024
 SPACE, OTHER = 0, 1
+#: No code point from here on is a letter.
+LETTERS_END = 0x34000
 UNDETERMINED = "und"
 
 
@@ -62,39 +64,67 @@ def folded(text: str) -> str:
 
 
 class Model:
-    """The automata of all languages as one table: state and symbol to next state; a new phrase is marked by its sign."""
+    """The automata of all languages as one sparse table: a state's place and a symbol lead to a slot, which holds the next
+    state if it is that state's own; else the symbol starts a new phrase.  Its size follows the learned text, not the letters."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
         letters = sorted({c for t in texts.values() for c in t if c.isalpha()})
         self.symbol = {c: i + 2 for i, c in enumerate(letters)}
-        width = len(letters) + 2
-        tables, self.starts, self.costs = [], [], []
+        self.width = len(letters) + 2
+        #: Of each language: the state that a symbol leads to when it starts a phrase.
+        self.first = np.zeros((len(self.langs), self.width), np.int32)
+        self.starts, self.costs, edges = [], [], []
         offset = 0
-        for lang in self.langs:
+        for k, lang in enumerate(self.langs):
             go = suffix_automaton(texts[lang])
             # The last state stands before a phrase: any symbol starts one there.
             before = len(go)
-            table = np.full((before + 1, width), -1, np.int32)
-            for state, edges in enumerate(go):
-                for c, to in edges.items():
-                    table[state, SPACE if c == " " else self.symbol[c]] = to
-            first = np.where(table[0] < 0, before, table[0])
-            fresh = table < 0
-            table = np.where(fresh, first[None, :], table) + offset
-            # A step that starts a phrase is stored as its complement.
-            tables.append(np.where(fresh, ~table, table).astype(np.int32))
+            coded = [{SPACE if c == " " else self.symbol[c]: to + offset for c, to in out.items()} for out in go]
+            self.first[k] = offset + before
+            self.first[k, list(coded[0])] = list(coded[0].values())
+            # No step ends in the automaton's start, so its edges need no slots.
+            edges += [{}, *coded[1:], {}]
             self.starts.append(offset + before)
             self.costs.append(np.log2(max(2, len(texts[lang]))))
             offset += before + 1
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.width = width
-        if len(letters) > 250:
-            raise ValueError("the labelled text has more than 250 letters")
+        self._place(edges)
+
+    def _place(self, edges: list[dict[int, int]]) -> None:
+        """Give each state a place such that no two edges fall in one slot, states of most edges first."""
+        self.place = np.zeros(len(edges), np.int32)
+        places = 2 * sum(map(len, edges)) + 1
+        self.owner = np.full(places + self.width, -1, np.int32)
+        self.next = np.zeros(places + self.width, np.int32)
+        draw = np.random.default_rng(5)
+        single = [s for s, out in enumerate(edges) if len(out) == 1]
+        for s in sorted((s for s, out in enumerate(edges) if len(out) > 1), key=lambda s: -len(edges[s])):
+            symbols = np.fromiter(edges[s], np.int64, len(edges[s]))
+            while True:
+                slots = int(draw.integers(places)) + symbols
+                if (self.owner[slots] < 0).all():
+                    break
+            self.place[s] = slots[0] - symbols[0]
+            self.owner[slots] = s
+            self.next[slots] = list(edges[s].values())
+        # Single edges fill what is free; from the width on, their places are not negative.
+        free = np.flatnonzero(self.owner < 0)
+        slots = free[free >= self.width][: len(single)]
+        if len(slots) < len(single):
+            more = np.arange(len(self.owner), len(self.owner) + len(single) - len(slots))
+            slots = np.concatenate([slots, more])
+        symbols = np.array([next(iter(edges[s])) for s in single], np.int64)
+        size = max(len(self.owner), int(slots.max(initial=0)) + self.width + 1)
+        self.owner = np.concatenate([self.owner, np.full(size - len(self.owner), -1, np.int32)])
+        self.next = np.concatenate([self.next, np.zeros(size - len(self.next), np.int32)])
+        if single:
+            self.place[single] = slots - symbols
+            self.owner[slots] = single
+            self.next[slots] = [next(iter(edges[s].values())) for s in single]
 
     def classes(self) -> np.ndarray:
         """From code point to symbol: letters not learned are OTHER, all that is no letter is SPACE."""
-        table = np.fromiter((OTHER if chr(c).isalpha() else SPACE for c in range(0x30000)), np.uint8, 0x30000)
+        table = np.fromiter((OTHER if chr(c).isalpha() else SPACE for c in range(LETTERS_END)), np.min_scalar_type(self.width), LETTERS_END)
         for c, s in self.symbol.items():
             table[ord(c)] = s
         return table
@@ -122,11 +152,12 @@ class Model:
         live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
         for step in range(sizes[0]):
             n = live[step]
-            at = state[:, :n] * self.width
-            at += wide[step, :n]
-            to = self.table.take(at)
-            phrases[:, :n] += to < 0
-            state[:, :n] = np.maximum(to, ~to)
+            symbols, here = wide[step, :n], state[:, :n]
+            at = self.place.take(here)
+            at += symbols
+            fresh = self.owner.take(at) != here
+            phrases[:, :n] += fresh
+            state[:, :n] = np.where(fresh, self.first.take(symbols, 1), self.next.take(at))
         owner = np.array([i for i, _ in blocks])
         for k, cost in enumerate(self.costs):
             totals[:, k] = np.bincount(owner, phrases[k], len(coded)) * cost

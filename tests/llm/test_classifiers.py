@@ -45,6 +45,25 @@ def test_phrases_against_brute_force():
     assert costs == pytest.approx(expected)
 
 
+def test_languages_of_many_letters(spark):
+    draw = np.random.default_rng(3)
+    made = {}
+    for lang, start, n in (("zh", 0x4E00, 3000), ("ko", 0xAC00, 2000), ("el", 0x3B1, 17), ("ext", 0x30000, 900)):
+        words = ["".join(chr(start + int(c)) for c in draw.integers(n, size=2)) for _ in range(1500)]
+        made[lang] = [" ".join(draw.choice(words, 12)) for _ in range(400)]
+    learned = {k: " " + " ".join(v[:300]) + " " for k, v in made.items()}
+    model = language.Model(learned)
+    assert len(model.symbol) > 4000
+    for lang in made:
+        coded = model.encoded(made[lang][350], model.classes())
+        plain = "".join(c if c in model.symbol or c == " " else "\0" for c in made[lang][350])
+        assert model.costs_of([coded])[0] == pytest.approx([greedy(plain, learned[x]) * np.log2(len(learned[x])) for x in model.langs])
+    rows = [(i, k, t) for k, v in made.items() for i, t in enumerate(v[300:])]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = language.identify(df, language.train(spark.createDataFrame([(k, t) for k, v in made.items() for t in v[:300]], "lang string, text string"))).collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.97
+
+
 def test_language_edges(spark):
     model = language.Model({"en": " the cat and the dog " * 20, "fr": " le chat et le chien " * 20})
     rows = [(1, None), (2, ""), (3, "12 !! 3"), (4, "the dog"), (5, "le chien"), (6, "the cat " * 40_000), (7, "日本")]
