@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nephos.llm.common import released, small_batches
+from nephos.llm.common import cut, released, small_batches
 
 #: What a model learns from at most: labelled rows of each language, letters of each such row, letters in all
 #: of a language.
 SAMPLE_ROWS, SAMPLE_LETTERS_OF_ROW, SAMPLE_LETTERS = 400, 400, 24_000
+#: A phrase of a language with fewer learned letters costs as if it had so many: few letters make a phrase cheap, not likely.
+LEAST_LETTERS = SAMPLE_LETTERS // 8
 #: A text is parsed in blocks of so many letters, side by side; a border costs a language one phrase at most.
 BLOCK = 1024
 SPACE, OTHER = 0, 1
@@ -67,8 +69,11 @@ class Model:
     """The automata of all languages as one sparse table: a state's place and a symbol lead to a slot, which holds the next
     state if it is that state's own; else the symbol starts a new phrase.  Its size follows the learned text, not the letters."""
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], least: int | None = None):
+        """With least, a phrase costs as among so many letters at least, and a letter not learned costs alike in all languages."""
         self.langs = sorted(texts)
+        #: Sampled texts of each language, where train() made the model.
+        self.learned: dict[str, int] = {}
         letters = sorted({c for t in texts.values() for c in t if c.isalpha()})
         self.symbol = {c: i + 2 for i, c in enumerate(letters)}
         self.width = len(letters) + 2
@@ -86,8 +91,12 @@ class Model:
             # No step ends in the automaton's start, so its edges need no slots.
             edges += [{}, *coded[1:], {}]
             self.starts.append(offset + before)
-            self.costs.append(np.log2(max(2, len(texts[lang]))))
+            self.costs.append(np.log2(max(2, least or 0, len(texts[lang]))))
             offset += before + 1
+        #: Of each language and symbol: what a letter that the language has not learned costs besides its phrase.
+        self.strange = np.zeros((len(self.langs), self.width))
+        for k, cost in enumerate(self.costs if least else []):
+            self.strange[k, self.first[k] == self.starts[k]] = max(self.costs) - cost
         self._place(edges)
 
     def _place(self, edges: list[dict[int, int]]) -> None:
@@ -161,6 +170,8 @@ class Model:
         owner = np.array([i for i, _ in blocks])
         for k, cost in enumerate(self.costs):
             totals[:, k] = np.bincount(owner, phrases[k], len(coded)) * cost
+            if self.strange[k].any():
+                totals[:, k] += [self.strange[k].take(x).sum() for x in coded]
         return totals
 
     def predict(self, texts: list[str | None], table: np.ndarray) -> list[tuple[str, float]]:
@@ -186,21 +197,29 @@ def held_out(key: str = "doc_id"):
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """A model from labelled rows, of which a bounded sample is read: the least hashes of each language's texts."""
-    usable = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Model({})
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * SAMPLE_ROWS / n))])
-    drawn = usable.withColumn("h", F.xxhash64("text")).where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    short = drawn.select("lang", "h", F.substring("text", 1, SAMPLE_LETTERS_OF_ROW).alias("text"))
-    ranked = short.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= SAMPLE_ROWS)
+    """A model from labelled rows, of which a bounded sample is read: the least hashes of each language's distinct texts.
+
+    Equal texts of a language count once, and a language has min(all, SAMPLE_ROWS) of its texts in the sample.
+    """
+    usable = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    distinct = cut(usable.select("lang", "h").distinct())
+    counts = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().where(F.col("count") > 4 * SAMPLE_ROWS).collect()}
+    few = distinct
+    if counts:
+        # Of many hashes the window sees about four times the sample; of 4 * SAMPLE_ROWS or fewer, all.
+        share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, 4 * SAMPLE_ROWS / n)])
+        few = distinct.where(F.col("h") / 2.0**64 + 0.5 < F.coalesce(share[F.col("lang")], F.lit(2.0)))
+    drawn = cut(few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_ROWS))
+    found = usable.join(F.broadcast(drawn), ["lang", "h"])
+    short = found.groupBy("lang", "r").agg(F.min(F.substring("text", 1, SAMPLE_LETTERS_OF_ROW)).alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in ranked.orderBy("lang", "r").collect():
+    for r in short.orderBy("lang", "r").collect():
         words = "".join(c if c.isalpha() else " " for c in folded(r["text"])).split()
-        texts.setdefault(r["lang"], []).append(" ".join(words) + " ")
-    least = min(sum(map(len, t)) for t in texts.values())
-    return Model({k: (" " + "".join(t))[: min(SAMPLE_LETTERS, max(least, SAMPLE_LETTERS // 8))] for k, t in texts.items()})
+        if words:
+            texts.setdefault(r["lang"], []).append(" ".join(words) + " ")
+    model = Model({k: (" " + "".join(t))[:SAMPLE_LETTERS] for k, t in texts.items()}, LEAST_LETTERS)
+    model.learned = {k: len(t) for k, t in texts.items()}
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

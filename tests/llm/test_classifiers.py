@@ -64,6 +64,26 @@ def test_languages_of_many_letters(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.97
 
 
+def test_copies_and_stray_languages_in_training(spark, monkeypatch):
+    words = {"en": "the of and water house which never under", "fr": "le chat avec maison jamais sous quelle nous", "pl": "nie jest gdzie dom woda pod nigdy kiedy"}
+    draw = np.random.default_rng(4)
+    texts = {k: [" ".join(draw.choice(w.split(), 60)) for _ in range(600)] for k, w in words.items()}
+    rows = [("en", t) for t in texts["en"]] + [("fr", texts["fr"][0])] * 20_000 + [("pl", t) for t in texts["pl"]] + [("pl", t) for t in texts["pl"][:3] for _ in range(2000)]
+    rows += [("zz", "ab"), ("yy", "123"), (None, "le chat"), ("en", None)]
+    model = language.train(spark.createDataFrame(rows, "lang string, text string").repartition(4))
+    assert model.langs == ["en", "fr", "pl", "zz"]
+    size = dict(zip(model.langs, model.costs, strict=True))
+    assert size["en"] == size["pl"] == np.log2(language.SAMPLE_LETTERS) and size["fr"] == size["zz"] == np.log2(language.LEAST_LETTERS)
+    asked = [(k, t) for k, v in texts.items() for t in v[500:]]
+    got = model.predict([t for _, t in asked], model.classes())
+    assert np.mean([a[0] == g[0] for a, g in zip(asked, got, strict=True)]) > 0.97
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 50)
+    some = [(k, f"{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}") for k, n in (("en", 500), ("fr", 60), ("pl", 7)) for i in range(n)]
+    small = language.train(spark.createDataFrame(some + some[:1] * 3000, "lang string, text string"))
+    assert small.langs == ["en", "fr", "pl"] and small.learned == {"en": 50, "fr": 50, "pl": 7}
+    assert language.train(spark.createDataFrame([("en", "1"), ("fr", "2")], "lang string, text string")).langs == []
+
+
 def test_language_edges(spark):
     model = language.Model({"en": " the cat and the dog " * 20, "fr": " le chat et le chien " * 20})
     rows = [(1, None), (2, ""), (3, "12 !! 3"), (4, "the dog"), (5, "le chien"), (6, "the cat " * 40_000), (7, "日本")]
