@@ -94,13 +94,22 @@ def fourier(spark, d):
     return e.select("vec_id", r4(F.get("f.re", F.lit(0))).alias("mean"), r4(F.get("f.re", F.lit(32))).alias("alternating"))
 
 
-def matrix_product(spark, d):
-    e = read(spark, d, "embeddings").where("vec_id < 60").select("vec_id", F.posexplode("embedding").alias("k", "x"))
+def _gram(e):
+    e = e.select("vec_id", F.posexplode("embedding").alias("k", "x"))
     a = e.select(F.col("vec_id").alias("i"), "k", F.col("x").cast("double").alias("v"))
     b = e.select(F.col("vec_id").alias("j"), "k", F.col("x").cast("double").alias("v"))
     return series.product(a, b).select("i", "j", r4("v").alias("v"))
 
 
+def matrix_product(spark, d):
+    return _gram(read(spark, d, "embeddings").where("vec_id < 60"))
+
+
+def matrix_product_whole(spark, d):
+    """Every pair of rows, so the result is as large as the square of the table."""
+    return _gram(read(spark, d, "embeddings"))
+
+
 def spline(spark, d):
     e = read(spark, d, "events").withColumn("lev", F.unix_seconds(F.col("ts").cast("timestamp")) / 86400.0)
     c = levels.columns_of(e, "user_id", "lev", "value")
@@ -128,7 +137,7 @@ def stream_zonal_means(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (sphere_distance_area, rotated_frame, latlon_gaussian_index, lambert, pressure_levels, map_scale_coriolis, base40_names, element_codes, file_names, edge_derivative, coarse_reversed, lorenzo_residual, fourier, matrix_product, spline, stream_zonal_means)
+    for f in (sphere_distance_area, rotated_frame, latlon_gaussian_index, lambert, pressure_levels, map_scale_coriolis, base40_names, element_codes, file_names, edge_derivative, coarse_reversed, lorenzo_residual, fourier, matrix_product, matrix_product_whole, spline, stream_zonal_means)
 }
 _P = "(SELECT s_suppkey, ((s_suppkey * 7) % 80 + 5)::DOUBLE AS lat, ((s_suppkey * 31) % 360)::DOUBLE AS lon FROM supplier)"
 _CHARS = " 0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ/.-"
@@ -160,3 +169,4 @@ ORACLE_SQL = {
     "stream_zonal_means": """WITH e AS (SELECT floor(epoch(ts) / 86400)::BIGINT * 86400 AS start, event_type AS zone, value, epoch(ts) AS t FROM events)
         SELECT start, zone, count(*) AS n, round(avg(value), 6) AS mean FROM e WHERE start + 86400 <= (SELECT max(t) FROM e) - 2 * 86400 GROUP BY 1, 2""",
 }
+ORACLE_SQL["matrix_product_whole"] = ORACLE_SQL["matrix_product"].replace(" WHERE a.vec_id < 60 AND b.vec_id < 60", "")

@@ -49,20 +49,38 @@ def mask_fill_row(spark, d):
     return ops.fill_along(g, "f", F.col("w") > 1, ["j"], "i").select("i", "j", r4("f").alias("f"))
 
 
-def regrid_average(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey <= 3000")
+def _cells_average(o, target):
     source = o.select((F.col("o_orderkey") / 2.0).alias("low"), (F.col("o_orderkey") / 2.0 + 0.5).alias("high"), F.col("o_totalprice").alias("z"))
-    target = spark.range(0, 100).select("id", (F.col("id") * 15.25).alias("low"), ((F.col("id") + 1) * 15.25).alias("high"))
+    target = target.select("id", (F.col("id") * 15.25).alias("low"), ((F.col("id") + 1) * 15.25).alias("high"))
     return ops.cells_average(source, target, "low", "high", "z", "id").select("id", F.round("mean", 2).alias("mean"), r4("overlap").alias("overlap"))
 
 
-def knn_weights(spark, d):
-    s = read(spark, d, "supplier").select("s_suppkey", ((F.col("s_suppkey") * 37) % 140 - 70.0).alias("lat"), ((F.col("s_suppkey") * 91) % 300 + 0.5).alias("lon"))
-    c = read(spark, d, "customer").where("c_custkey <= 500").select("c_custkey", ((F.col("c_custkey") * 13) % 150 - 75.0).alias("lat"), ((F.col("c_custkey") * 29) % 310 + 0.25).alias("lon"))
+def regrid_average(spark, d):
+    return _cells_average(read(spark, d, "orders").where("o_orderkey <= 3000"), spark.range(0, 100))
+
+
+def regrid_average_whole(spark, d):
+    """All orders, onto the cells that their range meets."""
+    o = read(spark, d, "orders")
+    ends = o.agg(F.floor(F.min("o_orderkey") / 2.0 / 15.25), F.ceil((F.max("o_orderkey") / 2.0 + 0.5) / 15.25)).first()
+    return _cells_average(o, spark.range(int(ends[0] or 0), int(ends[1] or 0)))
+
+
+def _knn(c, s):
+    s = s.select("s_suppkey", ((F.col("s_suppkey") * 37) % 140 - 70.0).alias("lat"), ((F.col("s_suppkey") * 91) % 300 + 0.5).alias("lon"))
+    c = c.select("c_custkey", ((F.col("c_custkey") * 13) % 150 - 75.0).alias("lat"), ((F.col("c_custkey") * 29) % 310 + 0.25).alias("lon"))
     k = ops.nearest_points(c, s, "c_custkey", "s_suppkey", 4)
     return k.select("c_custkey", "s_suppkey", F.col("place").cast("long").alias("place"), r4("weight").alias("weight"))
 
 
+def knn_weights(spark, d):
+    return _knn(read(spark, d, "customer").where("c_custkey <= 500"), read(spark, d, "supplier"))
+
+
+def knn_weights_whole(spark, d):
+    return _knn(read(spark, d, "customer"), read(spark, d, "supplier"))
+
+
 def _angles(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", ((F.col("s_suppkey") * 7) % 80 + 5.0).alias("lat"), ((F.col("s_suppkey") * 31) % 360 + 0.0).alias("lon"))
 
@@ -115,7 +133,7 @@ def element_convert(spark, d):
 
 
 QUERIES = {"regrid_nearest": _regrid(ops.near), "regrid_bilinear": _regrid(ops.bilinear), "regrid_bicubic": _regrid(ops.bicubic)} | {
-    f.__name__: f for f in (extrap_minmax, mask_zones, mask_fill_min, mask_fill_row, regrid_average, knn_weights, polar_stereo_xy, wind_speed_dir, great_circle, cross_section, report_blocks, report_flatten, element_convert)
+    f.__name__: f for f in (extrap_minmax, mask_zones, mask_fill_min, mask_fill_row, regrid_average, regrid_average_whole, knn_weights, knn_weights_whole, polar_stereo_xy, wind_speed_dir, great_circle, cross_section, report_blocks, report_flatten, element_convert)
 }
 _T = """WITH t AS (SELECT vec_id, embedding AS z, k, (vec_id * 7 + k * 13) % 32 / 4.0 + 0.75 AS x, (vec_id * 5 + k * 11) % 32 / 4.0 + 0.75 AS y FROM embeddings, range(0, 5) r(k)),
     c AS (SELECT *, greatest(1, least(7, floor(x)))::BIGINT AS i, greatest(1, least(7, floor(y)))::BIGINT AS j FROM t),
@@ -163,3 +181,7 @@ ORACLE_SQL = {
     "element_convert": """SELECT l_linenumber, count(*) AS n, count(real) AS n_real, round(sum(real), 3) AS total FROM (SELECT l_linenumber, CASE WHEN q = 50 THEN NULL WHEN p_size IS NULL THEN q ELSE (q + p_size) / power(10.0, p_size % 4) END AS real
         FROM (SELECT *, l_quantity::BIGINT AS q FROM lineitem) LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON p_partkey = l_partkey) GROUP BY 1""",
 }
+ORACLE_SQL["regrid_average_whole"] = """SELECT id, round(sum(w * z) / sum(w), 2) AS mean, round(sum(w), 4)::DOUBLE AS overlap FROM (SELECT id, z, least(high, (id + 1) * 15.25::DOUBLE) - greatest(low, id * 15.25::DOUBLE) AS w
+    FROM (SELECT o_orderkey / 2.0 AS low, o_orderkey / 2.0 + 0.5 AS high, o_totalprice AS z FROM orders) JOIN (SELECT unnest(range((min(o_orderkey) / 2.0 / 15.25)::BIGINT - 1, (max(o_orderkey) / 2.0 / 15.25)::BIGINT + 2)) AS id FROM orders)
+    ON low < (id + 1) * 15.25::DOUBLE AND high > id * 15.25::DOUBLE) WHERE w > 0 GROUP BY id"""
+ORACLE_SQL["knn_weights_whole"] = ORACLE_SQL["knn_weights"].replace(" WHERE c_custkey <= 500", "")
