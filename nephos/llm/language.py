@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from nephos.llm.common import cut, released, small_batches
 
 #: What a model learns from at most: labelled rows of each language, letters of each such row, letters in all
-#: of a language.
+#: of a language.  A longer row gives blocks, one from each of so many equal parts.
 SAMPLE_ROWS, SAMPLE_LETTERS_OF_ROW, SAMPLE_LETTERS = 400, 400, 24_000
+PARTS_OF_ROW = 4
 #: A phrase of a language with fewer learned letters costs as if it had so many: few letters make a phrase cheap, not likely.
 LEAST_LETTERS = SAMPLE_LETTERS // 8
 #: A text is parsed in blocks of so many letters, side by side; a border costs a language one phrase at most.
@@ -196,6 +197,19 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+def blocks_of(text: str, seed: str):
+    """A text of up to SAMPLE_LETTERS_OF_ROW letters, of a longer one a block of each part, from where the seed says."""
+    size = SAMPLE_LETTERS_OF_ROW // PARTS_OF_ROW
+    part = F.floor(F.length(text) / PARTS_OF_ROW).cast("int")
+
+    def block(i):
+        start = F.pmod(F.xxhash64(F.col(seed), i), (part - size + 1).cast("long")).cast("int")
+        return F.col(text).substr(i * part + start + 1, F.lit(size))
+
+    blocks = F.array_join(F.array(*[block(F.lit(i)) for i in range(PARTS_OF_ROW)]), " ")
+    return F.when(F.length(text) > SAMPLE_LETTERS_OF_ROW, blocks).otherwise(F.col(text))
+
+
 def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """A model from labelled rows, of which a bounded sample is read: the least hashes of each language's distinct texts.
 
@@ -211,7 +225,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         few = distinct.where(F.col("h") / 2.0**64 + 0.5 < F.coalesce(share[F.col("lang")], F.lit(2.0)))
     drawn = cut(few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_ROWS))
     found = usable.join(F.broadcast(drawn), ["lang", "h"])
-    short = found.groupBy("lang", "r").agg(F.min(F.substring("text", 1, SAMPLE_LETTERS_OF_ROW)).alias("text"))
+    short = found.groupBy("lang", "r").agg(F.min(blocks_of("text", "h")).alias("text"))
     texts: dict[str, list[str]] = {}
     for r in short.orderBy("lang", "r").collect():
         words = "".join(c if c.isalpha() else " " for c in folded(r["text"])).split()

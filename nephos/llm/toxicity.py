@@ -18,11 +18,13 @@ from nephos.llm.language import held_out
 
 #: Lengths of the n-grams, and bits of the table that their hashes index.
 ORDERS, BITS = (3, 4, 5), 20
-#: What a model learns from at most: labelled rows of each class, code points of each, and of all of them.
-SAMPLE_ROWS, SAMPLE_POINTS_OF_ROW, SAMPLE_POINTS = 3000, 8_000, 8_000_000
+#: What a model learns from at most: labelled rows of each class, each with its whole text.
+SAMPLE_ROWS = 3000
 #: Logistic regression: rounds of gradient steps, step, and weight decay.
 ROUNDS, STEP, DECAY = 200, 0.5, 1e-4
 THRESHOLD = 0.7
+#: Features of the rows that a gradient step goes through at a time.
+RUN = 1_000_000
 
 _seeds = np.random.default_rng(77)
 _ODD = _seeds.integers(1, 2**31, size=8, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -75,10 +77,13 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
     The bias is moved so that scores of 0.7 lie where two models, each of half of the texts, part the other half best.
     """
+    return fit_features([features(t) for t in texts], labels)
+
+
+def fit_features(each: list[np.ndarray], labels: list[int]) -> Model:
     y = np.array(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << BITS), 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0))
-    each = [features(t) for t in texts]
     model = _fit(each, y)
     half = np.zeros(len(y), bool)
     for label in (0, 1):
@@ -111,22 +116,37 @@ def _fit(each: list[np.ndarray], y: np.ndarray) -> Model:
     spread = np.sqrt(1 / counts[0] + 1 / counts[1])
     ratio[(seen < 4) | (np.abs(ratio) < 2.5 * spread)] = 0.0
     used = np.flatnonzero(ratio)
-    column = np.full(size, -1)
+    column = np.full(size, -1, np.int32)
     column[used] = np.arange(len(used))
-    rows = [column[p][column[p] >= 0] for p in each]
-    at = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)]).astype(np.int64)
-    to = np.concatenate(rows).astype(np.int64)
+    rows = [c[c >= 0] for c in (column[p] for p in each)]
     scale = ratio[used]
-    value = scale[to]
+    # Rows are gone through in runs, so that nothing besides their columns is as large as all of them.
+    runs, first = [], 0
+    while first < len(rows):
+        last, n = first, 0
+        while last < len(rows) and (last == first or n + len(rows[last]) <= RUN):
+            n += len(rows[last])
+            last += 1
+        runs.append((slice(first, last), np.concatenate(rows[first:last]), np.array([len(r) for r in rows[first:last]])))
+        rows[first:last] = [None] * (last - first)
+        first = last
+
+    def sums(of: np.ndarray) -> np.ndarray:
+        """Of each row, the sum over its columns."""
+        return np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), of[to], len(n)) for _, to, n in runs])
+
     # Rows are brought to a like length for the training only, by a common factor.
-    norm = 1.0 / np.sqrt(np.mean(np.bincount(at, value**2, len(rows))) + 1e-9)
+    norm = 1.0 / np.sqrt(np.mean(sums(scale**2)) + 1e-9)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, b = np.zeros(len(used)), 0.0
     v, vb = np.zeros(len(used)), 0.0
     for _ in range(ROUNDS):
-        logit = np.bincount(at, w[to] * value, len(rows)) * norm + b
-        error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) * balance / len(rows)
-        grad = np.bincount(to, error[at] * value, len(used)) * norm + DECAY * w
+        logit = sums(w * scale) * norm + b
+        error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) * balance / len(y)
+        grad = np.zeros(len(used))
+        for which, to, n in runs:
+            grad += np.bincount(to, np.repeat(error[which], n), len(used))
+        grad = grad * scale * norm + DECAY * w
         v = 0.9 * v - STEP * grad
         vb = 0.9 * vb - STEP * error.sum()
         w, b = w + v, b + vb
@@ -138,21 +158,21 @@ def _fit(each: list[np.ndarray], y: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from labelled rows, of which a bounded sample is read: the least hashes of each class's keys.
 
-    The sample is drawn from the labels, and its keys, a bounded number, are broadcast to pick the texts.
+    The sample is drawn from the labels, and its keys, a bounded number, are broadcast to pick the texts, whose
+    features are found where the texts are.
     """
-    sample = []
+    small_batches(docs.sparkSession)
+    places = F.pandas_udf(lambda s: s.map(lambda x: features(x).tobytes()), "binary")
+    each, sampled = [], []
     for y in (0, 1):
         keys = labels.where((F.col(label) == y) & F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct()
         drawn = keys.withColumn("_h", F.xxhash64("_key")).orderBy("_h", "_key").limit(SAMPLE_ROWS)
         found = docs.where(F.col(text).isNotNull()).join(F.broadcast(drawn), F.col(key) == F.col("_key"))
-        rows = found.select("_h", "_key", F.substring(text, 1, SAMPLE_POINTS_OF_ROW).alias("text"), F.length(text).alias("n"))
-        held = 0
-        for r in sorted(rows.collect(), key=lambda r: (r["_h"], r["_key"], r["n"], r["text"])):
-            held += len(r["text"])
-            if held > SAMPLE_POINTS // 2:
-                break
-            sample.append((r["text"], y))
-    return fit([t for t, _ in sample], [y for _, y in sample])
+        rows = found.select("_h", "_key", F.xxhash64(text).alias("_t"), places(text).alias("places")).orderBy("_h", "_key", "_t").limit(SAMPLE_ROWS)
+        for r in rows.select("places").toLocalIterator():
+            each.append(np.frombuffer(bytes(r["places"]), np.uint32))
+            sampled.append(y)
+    return fit_features(each, sampled)
 
 
 def scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -113,3 +113,24 @@ def test_toxicity_edges(spark):
     assert toxicity.fit([], []).score("x") == 0.5
     empty = df.where("doc_id > 9").select("doc_id", "text")
     assert toxicity.digest(empty, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    draw = np.random.default_rng(6)
+    words = np.array("day sea fine walk house tree river stone bread light".split())
+    clean = [" ".join(draw.choice(words, 2500)) for _ in range(60)]
+    rows = [(i, t + (" you foul worm" * 5 if i % 2 else "")) for i, t in enumerate(clean)]
+    assert min(len(t) for t in clean) > 8000
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert model.score(clean[0] + " you foul worm" * 5) >= 0.7 > model.score(clean[1])
+
+
+def test_language_learns_past_a_shared_header(spark):
+    words = {"en": "the of and water house which never under", "fr": "le chat avec maison jamais sous quelle nous"}
+    draw = np.random.default_rng(8)
+    texts = {k: [" ".join(draw.choice(w.split(), 300)) for _ in range(60)] for k, w in words.items()}
+    header = "licence notice all rights reserved " * 20
+    model = language.train(spark.createDataFrame([(k, header + t) for k, v in texts.items() for t in v[:40]], "lang string, text string"))
+    asked = [(k, t) for k, v in texts.items() for t in v[40:]]
+    got = model.predict([t for _, t in asked], model.classes())
+    assert all(a[0] == g[0] for a, g in zip(asked, got, strict=True))
