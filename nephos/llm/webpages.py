@@ -33,7 +33,8 @@ RAW = ("script", "style", "template", "noscript", "textarea", "title", "iframe",
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<svg(?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?/>"
+    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>"']|"[^"<>]*"|'[^'<>]*')*|[^>]*)>"""
     r"|<[!?][^>]*>",
     re.S | re.I,

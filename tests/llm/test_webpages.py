@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from nephos.llm import webpages
 from nephos.llm.common import table
 
@@ -43,3 +45,10 @@ def test_edges(spark):
     got = {r["page_id"]: r["text"] for r in webpages.extract(df, model).collect()}
     assert got[1] == got[2] == got[4] == got[5] == "" and len(got) == 7
     assert webpages.extract(df.where("page_id > 99"), model).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["<svg-icon name=x></svg-icon>", "<title-bar></title-bar>", "<template-card>", '<svg width="1" d="a>b"/>', "<svg/>", "<svg />"])
+def test_markup_like_raw_elements(tag):
+    found = webpages.blocks(f"<article>{tag}<p>Main text.</p></article><p>More.</p>")
+    assert [b.text for b in found] == ["Main text.", "More."]
+    assert [b.text for b in webpages.blocks("<svg width=1><path d=1/><p>no</p></svg><script>x</script><p>yes</p>")] == ["yes"]
