@@ -33,6 +33,9 @@ PLUS = re.compile(r"\x20*\+\x20*")
 SPACE = re.compile(r"[\x20\t]*")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+#: A type up to the = after it: names, subscripts with one level of nesting, alternatives.  The = has a space before it or a
+#: literal after it, as one that ends a value (base64) has not.
+ANNOTATED = re.compile(r"""[\x20\t]*["']?[A-Za-z_][A-Za-z0-9_.]{0,80}["']?(?:\[(?:[^\[\]\n=]|\[[^\[\]\n=]{0,80}\]){0,80}\])?(?:\x20*\|\x20*[A-Za-z_][A-Za-z0-9_.]{0,80})*(?:[\x20\t]+(?==(?![=>]))|(?==[\x20\t]*["'][^"'\s,;)}\]]))""")
 #: Parts of target names and how much they say; a pair of parts says what the list gives for it.
 SENSITIVE = {
     "password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 3,
@@ -70,21 +73,34 @@ def literal_weight(value: str) -> float:
     return (kinds > 1) + (kinds > 2) + (entropy >= 2.5) + (entropy >= 3.2)
 
 
+def target(text: str, at: int, end: int) -> str:
+    """The name that ends before a separator, but for white space, a quote or the bracket of a subscript; no leading dashes."""
+    while at > end and text[at - 1] in " \t":
+        at -= 1
+    if at > end and text[at - 1] == "]":
+        at -= 1
+        while at > end and text[at - 1] in " \t":
+            at -= 1
+    if at > end and text[at - 1] in "\"'":
+        at -= 1
+    stop = at
+    while at > end and (text[at - 1].isalnum() or text[at - 1] in "_-."):
+        at -= 1
+    return text[at:stop].lstrip("-")
+
+
 def assignments(text: str):
     """(name, literals, name read) of each assignment; a literal is (start, end, value, quoted)."""
     end = 0
+    annotated: dict[int, int] = {}
     for m in SEPARATOR.finditer(text):
         if m.start() < end or m.group() == "==":
             continue
-        at = m.start()
-        while at > end and text[at - 1] in " \t":
-            at -= 1
-        if at > end and text[at - 1] in "\"'":
-            at -= 1
-        stop = at
-        while at > end and (text[at - 1].isalnum() or text[at - 1] in "_-."):
-            at -= 1
-        name = text[at:stop]
+        # A type annotation is no value: where one ends at a later =, the name before the colon waits for that.
+        if m.group() == ":" and (typed := ANNOTATED.match(text, m.end())):
+            annotated[typed.end()] = m.start()
+            continue
+        name = target(text, annotated.pop(m.start(), m.start()), end)
         if not name or not (name[0].isalpha() or name[0] == "_"):
             continue
         place = SPACE.match(text, m.end()).end()

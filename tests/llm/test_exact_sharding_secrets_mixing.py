@@ -116,6 +116,28 @@ def test_named_secrets(text, values):
     assert [text[a:b] for a, b, k in secrets.spans(text) if k == "named"] == values
 
 
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ('cfg["db_pwd"] = "s3cr3t-Value9"', ["s3cr3t-Value9"]),
+        ("cfg[ 'passphrase' ]='s3cr3t-Value9'", ["s3cr3t-Value9"]),
+        ('db_pwd: str = "s3cr3t-Value9"', ["s3cr3t-Value9"]),
+        ('db_pwd: Optional[str] = "s3cr3t-Value9"', ["s3cr3t-Value9"]),
+        ('db_pwd: str | None = "s3cr3t-Value9"', ["s3cr3t-Value9"]),
+        ("--passphrase=Tr0ub4dor3xyz", ["Tr0ub4dor3xyz"]),
+        ("run --db-pwd Q --passphrase=Tr0ub4dor3xyz", ["Tr0ub4dor3xyz"]),
+        ('cfg["title"] = "s3cr3t-Value9"', []),
+        ('pwd: "s3cr3t-Value9"', ["s3cr3t-Value9"]),
+        ("pwd: s3cr3t-Value9", ["s3cr3t-Value9"]),
+        ('db_pwd: str="s3cr3t-Value9"', ["s3cr3t-Value9"]),
+        ("pwd: Qm9vWq7712xT=", ["Qm9vWq7712xT="]),
+        ('"pwd: Qm9vWq7712xT=", "x"', ["Qm9vWq7712xT="]),
+    ],
+)
+def test_named_secrets_of_subscripts_types_and_options(text, values):
+    assert [text[a:b] for a, b, k in secrets.spans(text) if k == "named"] == values
+
+
 def test_redaction_and_edges(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "x password=abcdefgh12 y", 0), (4, "clean", 5), (5, "word " * 60_000, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").selectExpr("*", "1 AS secrets")
