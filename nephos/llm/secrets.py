@@ -1,10 +1,10 @@
 """Secret scans by assignment-aware lexing.
 
 Three fixed patterns are matched first.  Then every assignment of source or configuration syntax (name =
-value, name: value, name := value, "name" => value) is lexed into a target name and a value made of string
-literals, bare words and names; names are looked up among earlier assignments, so a literal is found where a
-constant leads from it to a sensitive target.  A literal counts by what its target is called and by what it
-looks like.
+value, name: value, name := value, "name" => value, <name>value</name>) is lexed into a target name and a
+value made of string literals, bare words and names; names are looked up among earlier assignments, so a
+literal is found where a constant leads from it to a sensitive target.  A literal counts by what its target is
+called and by what it looks like.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,9 +29,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS_OF_ASSIGN = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "named")
 
-SEPARATOR = re.compile(r":=|=>|==|[=:]")
-QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'')
+SEPARATOR = re.compile(r":=|=>|==|[=:]|<(?=[A-Za-z_][A-Za-z0-9_.:-]*>[^<>\s]+</)")
+QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
 BARE = re.compile(r"[A-Za-z0-9+/_.=~$@!%^&*-]+")
+ELEMENT = re.compile(r"([A-Za-z_][A-Za-z0-9_.:-]*)>([^<>\s]+)</")
+#: A name that is read as $name or ${name}; a call whose first argument is a literal or a name; the mark of a YAML block.
+READ = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)(?![A-Za-z0-9+/_.=~$@!%^&*-])")
+CALL = re.compile(r"[A-Za-z_][A-Za-z0-9_.:]{0,80}\([\x20\t]*(?=[\"'`A-Za-z_$])")
+BLOCK_MARK = re.compile(r"[|>][+-]?[\x20\t]*\n[\x20\t]+(?=\S)")
+LINE = re.compile(r"[^\s#]+")
 PLUS = re.compile(r"\x20*\+\x20*")
 SPACE = re.compile(r"[\x20\t]*")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -90,12 +99,18 @@ def target(text: str, at: int, end: int) -> str:
 
 
 def assignments(text: str):
-    """(name, literals, name read) of each assignment; a literal is (start, end, value, quoted)."""
+    """(name, literals, names read) of each assignment; a literal is (start, end, value, quoted)."""
     end = 0
     annotated: dict[int, int] = {}
     for m in SEPARATOR.finditer(text):
         if m.start() < end or m.group() == "==":
             continue
+        if m.group() == "<":
+            element = ELEMENT.match(text, m.end())
+            if element:
+                # The element's text is its value; what the text itself assigns is lexed as well.
+                yield element.group(1), [(element.start(2), element.end(2), element.group(2), True)], []
+            continue
         # A type annotation is no value: where one ends at a later =, the name before the colon waits for that.
         if m.group() == ":" and (typed := ANNOTATED.match(text, m.end())):
             annotated[typed.end()] = m.start()
@@ -105,10 +120,20 @@ def assignments(text: str):
             continue
         place = SPACE.match(text, m.end()).end()
         literals, read = [], []
+        if q := BLOCK_MARK.match(text, place):
+            if q := LINE.match(text, q.end()):
+                end = q.end()
+                yield name, [(q.start(), q.end(), q.group(), True)], []
+            continue
+        if q := CALL.match(text, place):
+            place = q.end()
         while True:
             if q := QUOTED.match(text, place):
-                g = 1 if q.group(1) is not None else 2
+                g = next(g for g in (1, 2, 3) if q.group(g) is not None)
                 literals.append((q.start(g), q.end(g), q.group(g), True))
+            elif q := READ.match(text, place):
+                read.append(q.group(1) or q.group(2))
+                literals.append((q.start(), q.end(), read[-1], False))
             elif q := BARE.match(text, place):
                 word = q.group()
                 if IDENTIFIER.match(word):
@@ -124,24 +149,74 @@ def assignments(text: str):
             yield name, literals, read
 
 
+@dataclass(eq=False)
+class Value:
+    """What an assignment gives its name: literals of its own and the values of constants that it reads.
+
+    Values share the constants below them, so one costs what its own assignment is long, whatever it leads to.
+    """
+
+    own: list[tuple[int, int, str, bool]]
+    below: list["Value"] = field(default_factory=list)
+    length: int = 0
+    letters: int = 0
+    spaced: bool = False
+    reported: bool = False
+
+    def __post_init__(self):
+        # A set of letters is a number: bits of ASCII characters, one bit for all others.
+        for _, _, text, _ in self.own:
+            self.length += len(text)
+            self.letters |= sum(1 << c for c in {min(ord(c), 128) for c in text})
+            self.spaced |= any(c.isspace() for c in text)
+        for v in self.below:
+            self.length = min(self.length + v.length, 1 << 40)
+            self.letters |= v.letters
+            self.spaced |= v.spaced
+
+    def weight(self) -> float:
+        """Of a value of literals alone, what they look like put together; else by the characters that all of it holds."""
+        if not self.below:
+            return literal_weight("".join(x[2] for x in self.own))
+        if self.length < 8 or self.spaced:
+            return 0.0
+        kinds = sum(bool(self.letters & group) for group in GROUPS)
+        spread = math.log2(max(1, self.letters.bit_count()))
+        return (kinds > 1) + (kinds > 2) + (spread >= 2.5) + (spread >= 3.2)
+
+    def report(self, found: set[tuple[int, int]]) -> None:
+        """Add the spans of all literals that lead here; those of a value are added once."""
+        open_values = [self]
+        while open_values:
+            value = open_values.pop()
+            if not value.reported:
+                value.reported = True
+                found.update((x[0], x[1]) for x in value.own if x[1] > x[0])
+                open_values += value.below
+
+
+#: Digits, lower case, upper case, and all else.
+GROUPS = [sum(1 << c for c in range(128) if f(chr(c))) for f in (str.isdigit, str.islower, str.isupper)]
+GROUPS.append((1 << 129) - 1 - sum(GROUPS))
+
+
 def named_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants, in order."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
-    known: dict[str, list[tuple[int, int, str, bool]]] = {}
-    found = set()
+    known: dict[str, Value] = {}
+    found: set[tuple[int, int]] = set()
     for name, literals, read in assignments(text):
-        whole = []
-        for literal in literals:
-            whole += known[literal[2]] if not literal[3] and literal[2] in known else [literal]
+        below = [known[x[2]] for x in literals if not x[3] and x[2] in known]
+        own = [x for x in literals if x[3] or not (x[2] in known or x[2] in read and not any(c.isdigit() for c in x[2]))]
+        value = Value(own, list(dict.fromkeys(below)))
         weight = name_weight(name)
-        if weight:
-            joined = "".join(x[2] for x in whole)
-            own = [x for x in whole if x[3] or x[2] not in read or any(c.isdigit() for c in x[2])]
-            if own and weight + literal_weight(joined) >= NAMED_FROM:
-                found.update((x[0], x[1]) for x in own if x[1] > x[0])
-        if any(x[3] for x in whole):
-            known[name] = [x for x in whole if x[3]]
+        if weight and (own or below) and weight + value.weight() >= NAMED_FROM:
+            value.report(found)
+        # A constant is a quoted literal, a bare one that looks like a secret, or made of constants.
+        kept = [x for x in own if x[3] or literal_weight(x[2]) >= 2]
+        if kept or below:
+            known[name] = value if len(kept) == len(own) else Value(kept, value.below)
         else:
             known.pop(name, None)
     return sorted(found)
@@ -152,7 +227,18 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     base = base_spans(text)
-    more = [(a, b, "named") for a, b in named_spans(text) if not any(s <= a and b <= e for s, e, _ in base)]
+    named = named_spans(text)
+    if not named:
+        return base
+    starts = [s for s, _, _ in base]
+    furthest = list(accumulate((e for _, e, _ in base), max))
+
+    def covered(a: int, b: int) -> bool:
+        # Of the fixed spans that start no later, one ends no earlier.
+        k = bisect_right(starts, a)
+        return k > 0 and furthest[k - 1] >= b
+
+    more = [(a, b, "named") for a, b in named if not covered(a, b)]
     return sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2]))) if more else base
 
 
@@ -163,7 +249,8 @@ def joined(found: list[tuple[int, int, str]]) -> str:
 def scan(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
     """Add an array of the secrets of each whole text, structs of start, end (code points, end exclusive) and kind.
 
-    Null and empty texts have none; rows and other columns stay; a column named like the new one is replaced.
+    Null and empty texts have none; rows, repeated ones too, and other columns stay; a column named like the new one is
+    replaced.  No rows give no rows.
     """
     small_batches(docs.sparkSession)
     found = F.pandas_udf(
@@ -185,7 +272,7 @@ def redacted(text: str | None, mark: str = "[secret]") -> str | None:
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """Replace secrets in each whole text by a mark and bring the length column up to date; null texts stay null."""
+    """Replace secrets in each whole text by a mark and bring the length column up to date; null texts stay null, all rows stay."""
     small_batches(docs.sparkSession)
     clean = F.pandas_udf(lambda s: s.map(redacted), "string")
     out = docs.withColumn(text, clean(F.col(text)))

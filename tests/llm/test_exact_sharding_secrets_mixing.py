@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -138,6 +139,37 @@ def test_named_secrets_of_subscripts_types_and_options(text, values):
     assert [text[a:b] for a, b, k in secrets.spans(text) if k == "named"] == values
 
 
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("A=Zx81KqPm77tyQ\nDB_PASSPHRASE=$A", ["Zx81KqPm77tyQ"]),
+        ('A="Zx81KqPm77tyQ"\nDB_PASSPHRASE=${A}', ["Zx81KqPm77tyQ"]),
+        ("passphrase: |\n  Zx81KqPm77tyQ\n", ["Zx81KqPm77tyQ"]),
+        ("db_pwd = `Zx81KqPm77tyQ`", ["Zx81KqPm77tyQ"]),
+        ('var credential: string = "Zx81KqPm77tyQ"', ["Zx81KqPm77tyQ"]),
+        ('pwd = decode("Zx81KqPm77tyQ")', ["Zx81KqPm77tyQ"]),
+        ("<passphrase>Zx81KqPm77tyQ</passphrase>", ["Zx81KqPm77tyQ"]),
+        ("pwd = get_value()", []),
+        ("pwd = ${HOME}", []),
+        ('x = "Zx81KqPm77tyQ"\nx = 3\ndb_pwd = x', []),
+        ('a0 = "Zx81KqPm77tyQ"\n' + "\n".join(f"a{i + 1} = a{i} + a{i}" for i in range(60)) + "\ndb_pwd = a60", ["Zx81KqPm77tyQ"]),
+    ],
+)
+def test_named_secrets_through_constants(text, values):
+    assert [text[a:b] for a, b, k in secrets.spans(text) if k == "named"] == values
+
+
+def test_secret_scan_is_linear():
+    doubled = 'a0 = "Zx81KqPm77tyQ"\n' + "\n".join(f"a{i + 1} = a{i} + a{i} + 'x'" for i in range(20_000)) + "\ndb_pwd = a20000"
+    many = "\n".join(f'db_pwd = "Zx81KqPm77tyQ{i}"\npassword = abcdefgh{i}' for i in range(20_000))
+    began = time.process_time()
+    assert len(secrets.spans(doubled)) == 20_001
+    assert Counter(k for _, _, k in secrets.spans(many)) == {"named": 20_000, "assign": 20_000}
+    for text in ("<a>" * 100_000, "pwd = f(" * 50_000, "x = `" * 50_000, "password = ${" * 50_000, "a:b[" * 50_000):
+        secrets.spans(text)
+    assert time.process_time() - began < 30
+
+
 def test_redaction_and_edges(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "x password=abcdefgh12 y", 0), (4, "clean", 5), (5, "word " * 60_000, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").selectExpr("*", "1 AS secrets")
