@@ -13,6 +13,7 @@ import random
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,12 +31,14 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "template", "noscript", "textarea", "title", "iframe", "svg")
+MAIN = frozenset(("article", "main"))
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
+#: Comments, raw elements, tags and declarations.  Each tag ends at the next >, so a scan of a page up to its last > is linear.
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<svg(?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?/>"
+    r"|<svg(?:\s(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)?/>"
     rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>"']|"[^"<>]*"|'[^'<>]*')*|[^>]*)>"""
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>[^>]*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -46,38 +49,103 @@ CUES = re.compile(r"(?i)©|copyright|cookie|subscribe|newsletter|sign (?:in|up)|
 
 @dataclass
 class Block:
+    """A run of text, the nearest block element around it, the tags and the class, id and role words around it."""
+
     text: str
-    ancestors: tuple[str, ...]
-    names: tuple[str, ...]
+    near: str
+    around: frozenset[str]
+    names: frozenset[str]
     linked: int = 0
     label: int = 0
     features: list[str] = field(default_factory=list)
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, with features."""
+class Open:
+    """The open elements.  Sets of their tags and names are kept between changes, so that deep nesting costs no time."""
+
+    def __init__(self, known: frozenset[str] | None):
+        #: Features that matter; None for all.
+        self.known = known
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.blocks: list[int] = []
+        self.open: dict[str, int] = {}
+        # Of the tags and of the names that features are made of: how many are open.
+        self.shown: tuple[dict[str, int], dict[str, int]] = {}, {}
+        self.sets: tuple[frozenset[str], frozenset[str]] | None = None
+
+    def _matters(self, feature: str) -> bool:
+        return self.known is None or feature in self.known
+
+    def _show(self, tag: str, names: tuple[str, ...], step: int) -> None:
+        keys = [(0, tag)] if tag not in INLINE and (tag in MAIN or self._matters(f"in:{tag}")) else []
+        for which, key in [*keys, *((1, n) for n in names)]:
+            counts = self.shown[which]
+            n = counts.get(key, 0) + step
+            if n:
+                counts[key] = n
+            else:
+                del counts[key]
+            if n == (step > 0):
+                self.sets = None
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        names = tuple(n for n in names if self._matters(f"name:{n}"))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, names))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self._show(tag, names, 1)
+
+    def pop_to(self, place: int) -> None:
+        """Close all elements from a place of the stack on."""
+        while len(self.stack) > place:
+            tag, names = self.stack.pop()
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            self.open[tag] -= 1
+            self._show(tag, names, -1)
+
+    def close(self, tag: str) -> None:
+        """Close the innermost element of this tag and all inside it; nothing if none is open."""
+        if self.open.get(tag):
+            place = len(self.stack) - 1
+            while self.stack[place][0] != tag:
+                place -= 1
+            self.pop_to(place)
+
+    def near(self) -> str:
+        return self.stack[self.blocks[-1]][0] if self.blocks else ""
+
+    def around(self) -> tuple[frozenset[str], frozenset[str]]:
+        if self.sets is None:
+            self.sets = frozenset(self.shown[0]), frozenset(self.shown[1])
+        return self.sets
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order, with features; with known, only such features of tags and names around."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    at_work = Open(known)
     parts: list[str] = []
     linked = 0
 
     def end_block():
         nonlocal parts, linked
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                names = tuple(dict.fromkeys(n for _, own in stack for n in own))
-                found.append(Block(text, tuple(t for t, _ in stack if t not in INLINE), names, linked))
+                found.append(Block(text, at_work.near(), *at_work.around(), linked))
             parts, linked = [], 0
 
     def hold(text: str):
         nonlocal linked
-        parts.append(text)
-        if any(t == "a" for t, _ in stack):
+        # Character references are decoded here, as none goes on across a tag.
+        parts.append(entities.unescape(text))
+        if at_work.open.get("a"):
             linked += len(text)
 
-    at = 0
-    for m in MARKUP.finditer(page):
+    at, last, m = 0, page.rfind(">") + 1, None
+    for m in MARKUP.finditer(page, 0, last):
         if m.start() > at:
             hold(page[at : m.start()])
         at = m.end()
@@ -90,24 +158,29 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             end_block()
         if m.group("end"):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            at_work.close(tag)
         elif tag not in VOID and not m.group("attrs").endswith("/"):
-            if tag in CLOSES_ITSELF:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), -1)
-                if k >= 0 and stack[k][0] == tag:
-                    del stack[k:]
-            stack.append((tag, _names(m.group("attrs"))))
-    if at < len(page):
-        hold(page[at:])
+            if tag in CLOSES_ITSELF and at_work.near() == tag:
+                at_work.pop_to(at_work.blocks[-1])
+            at_work.push(tag, _names(m.group("attrs")))
+    # What follows the last > holds no tag; an open comment or raw element goes on to the page's end.
+    if not (m and m.end() == last and _unended(m)):
+        comment = page.find("<!--", last)
+        hold(page[at : comment if comment >= 0 else len(page)])
     end_block()
     for i, b in enumerate(found):
         b.features = _features(b, i, len(found))
     return found
 
 
+def _unended(final: re.Match) -> bool:
+    """Whether a match is a comment or raw element without its end."""
+    text, raw = final.group(), final.group("raw")
+    if text.startswith("<!--"):
+        return not (text.endswith("-->") and len(text) >= 7)
+    return bool(raw) and not re.search(rf"(?i)</{raw}\s*>\Z", text)
+
+
 def _names(attrs: str) -> tuple[str, ...]:
     if not attrs or "=" not in attrs:
         return ()
@@ -117,16 +190,16 @@ def _names(attrs: str) -> tuple[str, ...]:
 
 def _features(b: Block, place: int, total: int) -> list[str]:
     words = b.text.count(" ") + 1
-    near = b.ancestors[-1] if b.ancestors else ""
+    near = b.near
     out = ["", f"tag:{near}", f"words:{min(8, int(math.log2(words)))}", f"links:{min(4, round(4 * b.linked / max(1, len(b.text))))}"]
-    out += [f"in:{t}" for t in set(b.ancestors) if t not in ("html", "body")]
-    out += [f"name:{n}" for n in b.names]
+    out += [f"in:{t}" for t in sorted(b.around) if t not in ("html", "body")]
+    out += [f"name:{n}" for n in sorted(b.names)]
     if b.text[-1] in ".!?…:»”\"":
         out.append("ends")
     if CUES.search(b.text[:200]):
         out.append("cue")
     out.append(f"place:{min(3, place)}" if place < total / 2 else f"back:{min(3, total - 1 - place)}")
-    if not any(t in ("article", "main") for t in b.ancestors):
+    if not MAIN & b.around:
         out.append(f"plain:{near}:{min(4, int(math.log2(words)))}")
     return out
 
@@ -138,6 +211,10 @@ class Field:
         self.weight: dict[str, float] = defaultdict(float)
         self.step = [[0.0, 0.0], [0.0, 0.0]]
 
+    @cached_property
+    def known(self) -> frozenset[str]:
+        return frozenset(self.weight)
+
     def scores(self, page: list[Block]) -> list[float]:
         get = self.weight.get
         return [sum([get(f, 0.0) for f in b.features]) for b in page]
@@ -311,11 +388,11 @@ def _made_page(draw: random.Random) -> str:
 def labelled(page: str) -> list[Block] | None:
     """A page labelled by its one article or main element; None without one."""
     found = blocks(page)
-    inside = [any(t in ("article", "main") for t in b.ancestors) for b in found]
+    inside = [bool(MAIN & b.around) for b in found]
     if not any(inside) or len(re.findall(r"(?i)<(?:article|main)\b", page)) != 1:
         return None
     for b, y in zip(found, inside, strict=True):
-        b.label = int(y and not {"aside", "nav", "form", "footer"} & set(b.ancestors) and not {"ad", "ads", "comment", "comments"} & set(b.names))
+        b.label = int(y and not {"aside", "nav", "form", "footer"} & b.around and not {"ad", "ads", "comment", "comments"} & b.names)
     return found
 
 
@@ -333,14 +410,16 @@ def train(pages: DataFrame | None = None, html: str = "html") -> Field:
 
 
 def main_text(page: str | None, model: Field) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", model.known)
     return " ".join(b.text for b, y in zip(found, model.decode(found), strict=True) if y)
 
 
 def extract(pages: DataFrame, model: Field, html: str = "html", into: str = "text") -> DataFrame:
     """Add the main text of every whole page; empty for null or empty pages and where no block is main text.
 
-    Rows and other columns stay; a column named like the new one is replaced.
+    Rows, repeated ones too, and other columns stay; a column named like the new one is replaced.  No rows give no rows.  Where
+    both labels of a block score alike it is not main text.  A page costs time in proportion to its length, however deeply its
+    elements nest and whatever is left open.
     """
     small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -52,3 +53,24 @@ def test_markup_like_raw_elements(tag):
     found = webpages.blocks(f"<article>{tag}<p>Main text.</p></article><p>More.</p>")
     assert [b.text for b in found] == ["Main text.", "More."]
     assert [b.text for b in webpages.blocks("<svg width=1><path d=1/><p>no</p></svg><script>x</script><p>yes</p>")] == ["yes"]
+
+
+def test_hostile_pages_take_linear_time():
+    model = webpages.train()
+    deep = "<div>x" * 100_000
+    pages = ["<p " * 1_700_000, deep, "<b>" * 50_000 + "<li>a</li>" * 50_000, "<!<!" * 100_000, '<svg "' * 100_000 + ">", "</x>" * 99_999 + "<i>" * 99_999 + "</q>" * 99_999]
+    pages += ["".join(f"<x{i} class=c{i}>t" for i in range(30_000)), "<p a='" * 100_000 + ">", "&lt;" * 200_000]
+    began = time.process_time()
+    for page in pages:
+        webpages.main_text(page, model)
+    assert time.process_time() - began < 60
+
+
+def test_ends_of_pages_and_references():
+    def texts(page):
+        return [b.text for b in webpages.blocks(page)]
+
+    assert texts("<p>a<!-- b > c") == texts("a <!-- b") == ["a"]
+    assert texts("x<script>a>b") == ["x"] and texts("x<script>a>b</script>y") == ["x", "y"]
+    assert texts("&am<b>p;</b> &amp;lt; &#65;&nbsp;b") == ["&amp; &lt; A b"]
+    assert texts("a < b <c") == ["a < b <c"] and texts("<p>a</p> 1 > 0 <b") == ["a", "1 > 0 <b"]
