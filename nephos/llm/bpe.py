@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nephos.llm.common import small_batches
+from nephos.llm.common import small_batches, with_fields
 
-#: Most chunks, pre-tokens or pairs that a worker remembers, in each of two generations; it only saves time.
-REMEMBERED = 40_000
+#: Most chunks that a worker remembers in each of two generations, and most pairs of tokens; it only saves time.
+REMEMBERED = 200_000
 #: Stands for the mark of a word's end in the automaton's alphabet of bytes.
 END = "Ā"
 NEVER = 1 << 40
@@ -112,7 +112,7 @@ class Vocabulary:
 
     def compatible(self, left: int, right: int) -> bool:
         known = self._crossing(left, right) == NEVER
-        if len(self.fits) > 2 * REMEMBERED:
+        if len(self.fits) > REMEMBERED:
             self.fits.clear()
         self.fits[left << 20 | right] = known
         return known
@@ -172,15 +172,21 @@ class Vocabulary:
         return Remembered(self._chunk)
 
     @cached_property
-    def pieces_known(self) -> Remembered:
-        return Remembered(self._packed)
-
-    def _packed(self, piece: str) -> bytes:
-        ids = self.encode_piece(piece)
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def whole(self) -> dict[str, int]:
+        """Pre-tokens of printable ASCII that are one standing token: the automaton's match over all of them is the last token."""
+        size = len(self.suffix)
+        plain = {name[:-size]: token for name, token in self.ids.items() if name.endswith(self.suffix) and self._stands(token)}
+        return {piece: token for piece, token in plain.items() if piece.isascii() and piece.isprintable()}
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.pieces_known[piece] for piece in self.pieces.findall(chunk)])
+        ids: list[int] = []
+        for piece in (chunk,) if chunk.isascii() and chunk.isalpha() else self.pieces.findall(chunk):
+            token = self.whole.get(piece)
+            if token is None:
+                ids += self.encode_piece(piece)
+            else:
+                ids.append(token)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     @staticmethod
     def normal(text: str) -> str:
@@ -267,7 +273,11 @@ def decode(docs: DataFrame, ids: str = "ids", path: str | None = None, into: str
 
 
 def digests(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """Add n_tokens, ids_sha256 and decoded_sha256 of every whole text, without the ids leaving the worker."""
+    """Add n_tokens, ids_sha256 and decoded_sha256 of every whole text, without the ids leaving the worker.
+
+    A null or empty text has no ids and an empty decoded text; columns of the new names are replaced, all others and all
+    rows stay, repeated ones too.  No rows give no rows.
+    """
     small_batches(docs.sparkSession)
     path = path or standard_path()
 
@@ -281,8 +291,7 @@ def digests(docs: DataFrame, text: str = "text", path: str | None = None) -> Dat
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     made = F.pandas_udf(digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")
-    return docs.withColumn("_made", made(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns], "_made.*")
+    return with_fields(docs, made(F.col(text)), ["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ import tempfile
 import uuid
 
 import pyarrow
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-BATCH_ROWS = 400
+#: What a Python worker is handed at once, at most; a longer text comes alone.
+BATCH_ROWS, BATCH_BYTES = 400, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Whole texts can be long, so hand Python workers few rows at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Whole texts can be long, so hand Python workers few rows and few bytes at a time; a session's lower bounds stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like this one that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_fields(df: DataFrame, struct: Column, names: list[str]) -> DataFrame:
+    """df with the struct's fields of these names as its last columns, in place of those that it has by those names."""
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+    made = unused("_made", df)
+    return df.withColumn(made, struct).select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"{made}.{n}") for n in names])
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], names: list[str], types: list[pyarrow.DataType]) -> DataFrame:
+    """A small table of the driver's, sent as Arrow, so that no Python worker starts for it."""
+    columns = [pyarrow.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+    return spark.createDataFrame(pyarrow.table(columns, names))
 
 
 def partitions(spark: SparkSession) -> int:

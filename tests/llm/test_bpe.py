@@ -62,5 +62,6 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS n_tokens", "1 AS _made")
     got = bpe.decode(bpe.encode(df)).collect()
     assert [len(r["ids"]) for r in got] == [0, 0, 0, 1, 1] and got[3]["decoded"] == "word</w>"
-    assert sorted(r["n_tokens"] for r in bpe.digests(df.drop("_made")).collect()) == [0, 0, 0, 1, 1]
+    assert sorted(r["n_tokens"] for r in bpe.digests(df).collect()) == [0, 0, 0, 1, 1]
+    assert [r["_made"] for r in bpe.digests(df).collect()] == [1] * 5
     assert bpe.encode(df.where("doc_id > 9")).count() == 0
