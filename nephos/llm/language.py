@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nephos.llm.common import cut, released, small_batches
+from nephos.llm.common import cut, released, small_batches, with_fields
 
 #: What a model learns from at most: labelled rows of each language, letters of each such row, letters in all
 #: of a language.  A longer row gives blocks, one from each of so many equal parts.
@@ -23,8 +23,8 @@ SAMPLE_ROWS, SAMPLE_LETTERS_OF_ROW, SAMPLE_LETTERS = 400, 400, 24_000
 PARTS_OF_ROW = 4
 #: A phrase of a language with fewer learned letters costs as if it had so many: few letters make a phrase cheap, not likely.
 LEAST_LETTERS = SAMPLE_LETTERS // 8
-#: A text is parsed in blocks of so many letters, side by side; a border costs a language one phrase at most.
-BLOCK = 1024
+#: Texts are parsed in blocks of so many letters, so many of them side by side; phrases go on across the blocks' borders.
+BLOCK, SIDE_BY_SIDE = 1024, 4096
 SPACE, OTHER = 0, 1
 #: No code point from here on is a letter.
 LETTERS_END = 0x34000
@@ -148,33 +148,78 @@ class Model:
 
     def costs_of(self, coded: list[np.ndarray]) -> np.ndarray:
         """Bits that each text's phrases cost in each language, parsed side by side."""
-        blocks = [(i, x[a : a + BLOCK]) for i, x in enumerate(coded) for a in range(0, len(x), BLOCK)]
+        phrases = np.zeros((len(self.langs), len(coded)), np.int64)
+        blocks = [(i, a) for i, x in enumerate(coded) for a in range(0, len(x), BLOCK)]
+        ended = np.array(self.starts, np.int32)
+        for at in range(0, len(blocks), SIDE_BY_SIDE):
+            part = blocks[at : at + SIDE_BY_SIDE]
+            counts, states = self._parsed([coded[i][a : a + BLOCK] for i, a in part], np.array([a > 0 for _, a in part]), ended)
+            np.add.at(phrases, (slice(None), [i for i, _ in part]), counts)
+            ended = states[:, -1]
         totals = np.zeros((len(coded), len(self.langs)))
-        if not blocks:
-            return totals
-        blocks.sort(key=lambda b: -len(b[1]))
-        sizes = np.array([len(b) for _, b in blocks])
-        wide = np.zeros((sizes[0], len(blocks)), np.int32)
-        for k, (_, b) in enumerate(blocks):
-            wide[: len(b), k] = b
-        state = np.repeat(np.array(self.starts, np.int32)[:, None], len(blocks), 1)
-        phrases = np.zeros((len(self.langs), len(blocks)), np.int32)
-        live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
-        for step in range(sizes[0]):
-            n = live[step]
-            symbols, here = wide[step, :n], state[:, :n]
-            at = self.place.take(here)
-            at += symbols
-            fresh = self.owner.take(at) != here
-            phrases[:, :n] += fresh
-            state[:, :n] = np.where(fresh, self.first.take(symbols, 1), self.next.take(at))
-        owner = np.array([i for i, _ in blocks])
         for k, cost in enumerate(self.costs):
-            totals[:, k] = np.bincount(owner, phrases[k], len(coded)) * cost
+            totals[:, k] = phrases[k] * cost
             if self.strange[k].any():
                 totals[:, k] += [self.strange[k].take(x).sum() for x in coded]
         return totals
 
+    def _step(self, states: np.ndarray, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a symbol leads each state, and whether it starts a phrase there; first is where it leads if so."""
+        at = self.place.take(states)
+        at += symbols
+        fresh = self.owner.take(at) != states
+        return np.where(fresh, first, self.next.take(at)), fresh
+
+    def _parsed(self, blocks: list[np.ndarray], goes_on: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that start in each block and the states at its end, by language.
+
+        A block that goes on with a text continues the phrase of the block before it, the first one that of ended.  Blocks are
+        parsed as if each started a phrase, all at once.  Then each border is parsed again from the state before it, beside the
+        parse from its start, until both are in one state: from there they are the same.  Where they never meet, the end state
+        is another one and the next border is parsed once more.
+        """
+        order = np.argsort([-len(b) for b in blocks], kind="stable")
+        sizes = np.array([len(b) for b in blocks])
+        wide = np.zeros((sizes.max(), len(blocks)), np.int32)
+        for k, b in enumerate(blocks):
+            wide[: len(b), k] = b
+        state = np.repeat(np.array(self.starts, np.int32)[:, None], len(blocks), 1)
+        counts = np.zeros((len(self.langs), len(blocks)), np.int64)
+        sorted_state, sorted_counts, sorted_wide = state, np.zeros_like(counts), wide[:, order]
+        live = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(len(wide)), side="right")
+        for step, n in enumerate(live):
+            symbols = sorted_wide[step, :n]
+            sorted_state[:, :n], fresh = self._step(sorted_state[:, :n], symbols, self.first.take(symbols, 1))
+            sorted_counts[:, :n] += fresh
+        state = np.empty_like(sorted_state)
+        state[:, order], counts[:, order] = sorted_state, sorted_counts
+        alone, own = counts.copy(), state.copy()
+        lang, block = np.nonzero(np.broadcast_to(goes_on, counts.shape))
+        while len(lang):
+            came = np.where(block > 0, state[lang, block - 1], ended[lang])
+            mine, other = came, np.array(self.starts, np.int32)[lang]
+            more = np.zeros(len(lang), np.int64)
+            apart = np.flatnonzero(mine != other)
+            for step in range(len(wide)):
+                apart = apart[sizes[block[apart]] > step]
+                if not len(apart):
+                    break
+                symbols = wide[step, block[apart]]
+                first = self.first[lang[apart], symbols]
+                a, a_fresh = self._step(mine[apart], symbols, first)
+                b, b_fresh = self._step(other[apart], symbols, first)
+                mine[apart], other[apart] = a, b
+                more[apart] += a_fresh.astype(np.int64) - b_fresh
+                apart = apart[a != b]
+            counts[lang, block] = alone[lang, block] + more
+            new = np.where(mine == other, own[lang, block], mine)
+            changed = state[lang, block] != new
+            state[lang, block] = new
+            follows = changed & (block + 1 < len(blocks))
+            follows[follows] = goes_on[block[follows] + 1]
+            lang, block = lang[follows], block[follows] + 1
+        return counts, state
+
     def predict(self, texts: list[str | None], table: np.ndarray) -> list[tuple[str, float]]:
         """Language and score of each text.  The score is how much cheaper the best is than the next, from 0.5 up to 1."""
         coded = [self.encoded(t or "", table) for t in texts]
@@ -217,12 +262,10 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """
     usable = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     distinct = cut(usable.select("lang", "h").distinct())
-    counts = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().where(F.col("count") > 4 * SAMPLE_ROWS).collect()}
-    few = distinct
-    if counts:
-        # Of many hashes the window sees about four times the sample; of 4 * SAMPLE_ROWS or fewer, all.
-        share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, 4 * SAMPLE_ROWS / n)])
-        few = distinct.where(F.col("h") / 2.0**64 + 0.5 < F.coalesce(share[F.col("lang")], F.lit(2.0)))
+    # Of many hashes the window sees about four times the sample; of 4 * SAMPLE_ROWS or fewer, all.
+    share = distinct.groupBy("lang").agg(F.least(F.lit(2.0), F.lit(4.0 * SAMPLE_ROWS) / F.count("*")).alias("share"))
+    share = share.withColumn("share", F.when(F.col("share") < 1, F.col("share")).otherwise(2.0))
+    few = distinct.join(share, "lang").where(F.col("h") / 2.0**64 + 0.5 < F.col("share")).drop("share")
     drawn = cut(few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_ROWS))
     found = usable.join(F.broadcast(drawn), ["lang", "h"])
     short = found.groupBy("lang", "r").agg(F.min(blocks_of("text", "h")).alias("text"))
@@ -239,7 +282,8 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add lang_pred and score of every whole text; `und` and 0 where it is null or has no letter.
 
-    Ties go to the first language in order of names; columns of the new names are replaced, others stay.
+    Ties go to the first language in order of names; columns of the new names are replaced, others stay.  Repeated rows are
+    predicted alike and all stay; no rows give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -256,8 +300,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     predicted.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     made = F.pandas_udf(predicted, "lang_pred string, score double")
-    docs = docs.drop("lang_pred", "score")
-    return docs.withColumn("_made", made(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns], "_made.*")
+    # Marked so that a filter on the prediction does not get an evaluation of its own.
+    return with_fields(docs, made.asNondeterministic()(F.col(text)), ["lang_pred", "score"])
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -45,6 +45,20 @@ def test_phrases_against_brute_force():
     assert costs == pytest.approx(expected)
 
 
+@pytest.mark.parametrize(("block", "side"), [(1024, 4096), (64, 5), (7, 3), (1, 2)])
+def test_phrases_go_on_across_blocks(monkeypatch, block, side):
+    draw = np.random.default_rng(0)
+    texts = {"a": " " + "the cat sat on the mat " * 150, "b": " " + " ".join("".join(draw.choice(list("abcdefgh"), 4)) for _ in range(700)) + " ", "c": " le chat est sur la table "}
+    model = language.Model(texts)
+    asked = ["the cat sat on the mat " * 200, texts["b"][200:2900] + "zzz " + texts["b"][10:900], "the cat " * 400 + "le chat" * 200, "", "a"]
+    asked = [" ".join(t.split()) for t in asked]
+    want = [[greedy("".join(c if c in model.symbol or c == " " else "\0" for c in t), texts[x]) * np.log2(len(texts[x])) for x in model.langs] for t in asked]
+    monkeypatch.setattr(language, "BLOCK", block)
+    monkeypatch.setattr(language, "SIDE_BY_SIDE", side)
+    table = model.classes()
+    assert model.costs_of([model.encoded(t, table) for t in asked]) == pytest.approx(np.array(want))
+
+
 def test_languages_of_many_letters(spark):
     draw = np.random.default_rng(3)
     made = {}
@@ -87,7 +101,7 @@ def test_copies_and_stray_languages_in_training(spark, monkeypatch):
 def test_language_edges(spark):
     model = language.Model({"en": " the cat and the dog " * 20, "fr": " le chat et le chien " * 20})
     rows = [(1, None), (2, ""), (3, "12 !! 3"), (4, "the dog"), (5, "le chien"), (6, "the cat " * 40_000), (7, "日本")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS lang_pred", "'y' AS lang")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS lang_pred", "'y' AS lang", "1 AS _made", "2 AS Score")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(df, model).collect()}
     assert [got[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3
     assert [got[i][0] for i in (4, 5, 6)] == ["en", "fr", "en"] and got[7][0] in ("en", "fr")
