@@ -41,6 +41,9 @@ def test_canonical_form_and_collisions(spark, monkeypatch):
     monkeypatch.setattr(exact, "digest_of", lambda form: "h")
     assert [exact.name_of(x, one) for x in ("aa", "BB", "cc")] == ["h", "h-1", "h-2"]
     assert exact.digest(df.where("doc_id > 99")).count() == 0
+    monkeypatch.setattr(exact, "digest_of", lambda form: "h")
+    met = exact.compared(1, "abcd", "xxyy", {})
+    assert met[3] != met[4] and met[5:] == (0.0, 0.0) and exact.compared(1, "abab", "abzz", {})[3:6] == ("h", "h", 1.0)
     assert exact.digest(df.where("doc_id = 1")).first()["near_next"] == 1.0
 
 
@@ -69,8 +72,15 @@ def test_shards_of_documents(spark):
         slots.setdefault(r["shard"], []).append(r["slot"])
         assert r["grown_shard"] in (r["shard"], 16)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 16
-    odd = spark.createDataFrame([(None, None), (1, "é"), (1, "é"), (2, "")], "doc_id long, text string").selectExpr("*", "1 AS shard", "2 AS size")
+    clash = [f"{i} AS {c}" for i, c in enumerate(("shard", "_block", "block", "_to", "to", "_s", "_b", "_first", "first", "at", "n", "row", "mark", "key"))]
+    odd = spark.createDataFrame([(None, None), (1, "é"), (1, "é"), (2, "")], "doc_id long, text string").selectExpr("*", "2 AS size", "map(1, 2) AS m", *clash)
     assert sorted(r["size"] for r in sharding.digest(odd).collect()) == [1, 1, 3, 3]
+    whole = sharding.assign(odd)
+    assert whole.columns == [c for c in odd.columns if c != "shard"] + ["shard", "grown_shard", "slot"]
+    assert all(r["_block"] == 1 and r["key"] == 13 for r in whole.collect())
+    hot = spark.range(3000).selectExpr("CAST(NULL AS long) AS doc_id", "CAST(id AS string) AS text")
+    placed = sharding.assign(hot).collect()
+    assert len({r["shard"] for r in placed}) == 1 and sorted(r["slot"] for r in placed) == list(range(3000))
     assert sharding.digest(odd.where("doc_id > 9")).count() == 0
 
 
@@ -178,14 +188,18 @@ def test_redaction_and_edges(spark):
     assert secrets.scan(df.where("doc_id > 9")).count() == 0
 
 
+def cells_of(docs):
+    c = mixing.cell_columns(docs)
+    return docs.select(*[v.alias(k) for k, v in c.items()])
+
+
 def test_margins_are_met_and_both_ways_agree(spark):
-    docs = table(spark, SF, "documents")
-    named = mixing.margins(docs).select("_source", "_lang", "_topic", mixing.tokens_of(docs.text).alias("n_tokens"))
-    here = {tuple(r[:3]): r for r in mixing.fit(named, rounds=60).collect()}
-    there = {tuple(r[:3]): r for r in mixing.fit(named, rounds=3, driver_cells=0).collect()}
-    short = {tuple(r[:3]): r for r in mixing.fit(named, rounds=3).collect()}
-    assert all(abs(there[k]["weight"] - short[k]["weight"]) < 1e-9 for k in short) and there.keys() == here.keys()
-    cells = {tuple(r[:3]): r["t"] for r in named.groupBy("_source", "_lang", "_topic").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "t").collect()}
+    named = cells_of(table(spark, SF, "documents"))
+    here = {tuple(r[:3]): r["probability"] for r in mixing.fit(named).collect()}
+    there = {tuple(r[:3]): r["probability"] for r in mixing.fit(named, rounds=3, driver_cells=0).collect()}
+    short = {tuple(r[:3]): r["probability"] for r in mixing.fit(named, rounds=3).collect()}
+    assert there == pytest.approx(short, abs=1e-9) and there.keys() == here.keys()
+    cells = {tuple(r[:3]): r["t"] for r in named.groupBy(*mixing.MARGINS).agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "t").collect()}
     total = sum(cells.values())
     for place, margin in enumerate(mixing.MARGINS):
         share = Counter()
@@ -193,8 +207,30 @@ def test_margins_are_met_and_both_ways_agree(spark):
             share[k[place]] += t / total
         target = {v: s ** mixing.FLATTEN[margin] for v, s in share.items()}
         for v in target:
-            got = sum(t * here[k]["weight"] for k, t in cells.items() if k[place] == v)
-            assert abs(got / total - target[v] / sum(target.values())) < 1e-3
+            got = sum(t * here[k] for k, t in cells.items() if k[place] == v)
+            assert abs(got / total - mixing.KEEP * target[v] / sum(target.values())) < 1e-6
+
+
+def test_given_targets_and_rare_values(spark):
+    rows = [("a", "en", 1000), ("a", "fr", 500), ("b", "en", 300), ("b", "fr", 700), ("rare", "en", 3)]
+    named = spark.createDataFrame([(s, x, "t", n) for s, x, n in rows], "source string, lang string, topic string, n_tokens long")
+    targets = {"source": {"a": 1.0, "b": 1.0, "rare": 1.0}, "lang": {"en": 3.0, "fr": 2.0}}
+    for driver_cells in (100, 0):
+        fitted = mixing.fit(named, targets, keep=0.4, rounds=60, driver_cells=driver_cells)
+        left = {(r["margin"], r["value"]): (r["wanted"], r["expected"]) for r in mixing.residuals(fitted, targets, 0.4).collect()}
+        total = 0.4 * 2503
+        # The rare source is kept whole; the others share what is left alike.
+        want = {("source", "a"): (total - 3) / 2, ("source", "b"): (total - 3) / 2, ("source", "rare"): 3.0, ("lang", "en"): 0.6 * total, ("lang", "fr"): 0.4 * total, ("topic", "t"): total}
+        assert {k: v[0] for k, v in left.items()} == pytest.approx(want)
+        assert {k: v[1] for k, v in left.items()} == pytest.approx(want, rel=1e-3)
+    none = mixing.fit(named, {"source": {"b": 1.0}}, keep=0.2)
+    assert {r["source"]: r["probability"] for r in none.collect()}["a"] == 0.0
+
+
+def test_a_stray_document_changes_little(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", "source")
+    stray = spark.createDataFrame([(-5, "a b c", "xx", "new")], docs.schema)
+    assert abs(mixing.mix(docs).count() - mixing.mix(docs.union(stray)).count()) <= 2
 
 
 def test_mixing_against_sql_and_edges(spark):
@@ -203,6 +239,9 @@ def test_mixing_against_sql_and_edges(spark):
     want = {r[0]: r[1:] for r in con.execute(mixing.oracle()).fetchall()}
     got = {r[0]: tuple(r[1:]) for r in mixing.digest(table(spark, SF, "documents")).collect()}
     assert got == want
-    odd = spark.createDataFrame([(1, None, None, None), (1, None, None, None), (2, "a b", "s", "en"), (None, "", "s", "en")], "doc_id long, text string, source string, lang string").selectExpr("*", "1 AS weight")
-    assert set(mixing.mix(odd).columns) == set(odd.columns) and mixing.digest(odd).count() == 4
+    clash = [f"1 AS {c}" for c in ("weight", "_weight", "probability", "_probability", "_source", "cell", "row", "key", "sampled", "n_tokens", "tokens")]
+    odd = spark.createDataFrame([(1, None, None, None), (1, None, None, None), (2, "a b", "s", "en"), (None, "", "s", "en")], "doc_id long, text string, source string, lang string").selectExpr("*", *clash)
+    out = mixing.mix(odd, keep=1.0)
+    assert out.columns == odd.columns and mixing.digest(odd).count() == 4
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, odd.collect()), key=str)
     assert mixing.mix(odd.where("doc_id > 9")).count() == 0
