@@ -37,8 +37,11 @@ def digest_of(form: str) -> str:
 
 
 def name_of(text: str, collided: dict[str, list[str]]) -> str:
-    """Digest of the text, with the place of its canonical form among those that share the digest, if not the first."""
-    form = canonical(text)
+    return name_of_form(canonical(text), collided)
+
+
+def name_of_form(form: str, collided: dict[str, list[str]]) -> str:
+    """Digest of a canonical form, with its place among those that share the digest, if not the first."""
     digest = digest_of(form)
     if digest in collided and (place := collided[digest].index(form) if form in collided[digest] else len(collided[digest])):
         return f"{digest}-{place}"
@@ -62,8 +65,10 @@ def collisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict
     spark = docs.sparkSession
     small_batches(spark)
     digests = cut(docs.select(F.col(key).alias("_key"), digest_column(text).alias("digest")))
-    repeated = digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    members = cut(digests.join(repeated, "digest", "left_semi").select("_key").distinct())
+    # A hot digest is one row here; where the rows are few enough they go to its members, not its members to one task.
+    repeated = cut(digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    few = repeated.count() <= BROADCAST_IDS
+    members = cut(digests.join(F.broadcast(repeated) if few else repeated, "digest", "left_semi").select("_key").distinct())
     few = members.count() <= BROADCAST_IDS
     inside = docs.join(F.broadcast(members) if few else members, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     forms = (
@@ -124,6 +129,21 @@ def with_next(docs: DataFrame) -> DataFrame:
     return dealt.repartition(width, "bucket").sortWithinPartitions(*order)
 
 
+def compared(rank: int, text: str, following: str, clash: dict[str, list[str]]) -> tuple:
+    """What op3 returns of a document and the text that follows it."""
+    half = len(text) // 2
+    edited = text[: len(text) - half] + following[:half]
+    form, changed = canonical(text), canonical(edited)
+    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+    own = name_of_form(form, clash)
+    # Likeness is by the forms themselves.  An edited form that only shares the digest gets a mark that no document has.
+    other = name_of_form(changed, clash)
+    if other == own and changed != form:
+        other += "-edited"
+    same = following == text or canonical(following) == form
+    return (None if rank == LOWEST else int(rank), len(text), sha, own, other, float(form == changed), float(same))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The rows that op3 returns."""
     small_batches(docs.sparkSession)
@@ -136,20 +156,12 @@ def digest(docs: DataFrame) -> DataFrame:
             out = []
             for halo, rank, text in zip(batch["halo"], batch["rank"], batch["text"], strict=True):
                 if held is not None:
-                    out.append(compared(*held, text))
+                    out.append(compared(*held, text, clash))
                     held = None
                 if not halo:
                     held = (rank, text)
             yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"doc_id": "Int64"})
 
-    def compared(rank: int, text: str, following: str) -> tuple:
-        half = len(text) // 2
-        edited = text[: len(text) - half] + following[:half]
-        own, changed = name_of(text, clash), name_of(edited, clash)
-        sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        follows = own if following == text else name_of(following, clash)
-        return (None if rank == LOWEST else int(rank), len(text), sha, own, changed, float(own == changed), float(own == follows))
-
     return with_next(docs).mapInPandas(rows, OUT)
 
 
