@@ -21,12 +21,33 @@ def put_bits(word: Column, value: Column, right: int, count: int) -> Column:
 
 
 def plug(least: Column, most: Column, bits: int) -> Column:
-    """The number that stands for missing in a field of these extremes."""
+    """The number that stands for missing in a field of reals of these extremes."""
     part = PLUG[bits] if bits <= 8 else 0.01
     value = most + (most - least) * part
     return F.when(value != most, value).when(most == 0, 1.0).otherwise(most * 2.0)
 
 
+def plug_integer(most: Column, bits: int, signed: bool) -> Column:
+    """The number that stands for missing in a field of integers: one above its maximum while the bits have room, else the
+    greatest that they hold, which values may have, too."""
+    top = (1 << bits - signed) - 1
+    return F.when(most < top, most + 1).otherwise(F.lit(top)).cast("long")
+
+
+def crc16(data: Column, seed: Column, stride: int = 1) -> Column:
+    """16-bit checksum of the polynomial x^16 + x^12 + x^5 + 1 over every stride-th byte, highest bit first."""
+    digits = F.hex(data)
+    codes = F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(data) - 1, F.lit(0)), F.lit(stride)), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+
+    def step(crc: Column, byte: Column) -> Column:
+        mixed = F.get(F.transform(F.array(F.shiftright(crc, 8).bitwiseXOR(byte)), lambda x: x.bitwiseXOR(F.shiftright(x, 4))), F.lit(0))
+        folded = F.transform(F.array(mixed), lambda x: F.shiftleft(crc, 8).bitwiseXOR(F.shiftleft(x, 12)).bitwiseXOR(F.shiftleft(x, 5)).bitwiseXOR(x).bitwiseAND(F.lit(0xFFFF)))
+        return F.get(folded, F.lit(0))
+
+    start = seed.cast("int").bitwiseAND(F.lit(0xFFFF))
+    return F.when(F.octet_length(data) == 0, start).otherwise(F.aggregate(codes, start, step))
+
+
 def pack(value: Column, least: Column, most: Column, bits: int) -> Column:
     """A value as an integer of so many bits between the extremes; a constant field packs to zeros."""
     top = float((1 << bits) - 1)
@@ -38,17 +59,18 @@ def unpack(code: Column, least: Column, most: Column, bits: int) -> Column:
 
 
 def runs(values: Column) -> Column:
-    """An array as its runs: structs of value and length."""
-    start = F.slice(values, 1, 0)
-    empty = F.transform(start, lambda x: F.struct(x.alias("value"), F.lit(0).alias("length")))
+    """An array as its runs: structs of value and length.  A run starts where a value differs from the one before."""
+
+    def made(v: Column) -> Column:
+        places = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | ~F.get(v, i).eqNullSafe(F.get(v, i - 1)))
+        return F.get(F.transform(F.array(F.struct(v.alias("v"), starts.alias("at"))), paired), F.lit(0))
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["value"].alias("value"), (last["length"] + 1).alias("length"))))
-        more = F.concat(done, F.array(F.struct(x.alias("value"), F.lit(1).alias("length"))))
-        return F.when(F.size(done) == 0, more).when(last["value"].eqNullSafe(x), longer).otherwise(more)
+    def paired(x: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(x["at"], k + 1), F.size(x["v"]))
+        return F.transform(x["at"], lambda i, k: F.struct(F.get(x["v"], i).alias("value"), (end(k) - i).alias("length")))
 
-    return F.aggregate(values, empty, step)
+    return F.get(F.transform(F.array(values), made), F.lit(0))
 
 
 def unrun(encoded: Column) -> Column:

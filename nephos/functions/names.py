@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The 40 characters of the name code, in order of their numbers.
-ALPHABET = " 0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ/.-"
+ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ/?: "
 
 
 def to_base40(text: Column, width: int = 8) -> Column:

@@ -41,7 +41,7 @@ def geographic(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
 
 
 def rotation(lat1: float, lon1: float, lat2: float, lon2: float) -> np.ndarray:
-    """The frame whose first axis goes through the first point and whose equator goes through the second."""
+    """The frame whose equator goes through both points, the first of them at its longitude 180."""
 
     def unit(lat: float, lon: float) -> np.ndarray:
         a, b = math.radians(lat), math.radians(lon)
@@ -50,7 +50,7 @@ def rotation(lat1: float, lon1: float, lat2: float, lon2: float) -> np.ndarray:
     p, q = unit(lat1, lon1), unit(lat2, lon2)
     second = q - (p @ q) * p
     second /= np.linalg.norm(second)
-    return np.stack([p, second, np.cross(p, second)])
+    return np.stack([-p, -second, np.cross(p, second)])
 
 
 def turned(lat: Column, lon: Column, matrix: np.ndarray) -> tuple[Column, Column]:

@@ -115,22 +115,59 @@ def fill_along(rows: DataFrame, value: str, missing: Column, by: list[str], orde
     return rows.withColumn(value, F.coalesce(before, after))
 
 
+def _turn(a: Column, b: Column) -> Column:
+    """How far apart two longitudes are, the short way round."""
+    d = F.abs(a - b)
+    return F.when(d > 180, F.abs(d - 360)).otherwise(d)
+
+
+def _met(targets: DataFrame, sources: DataFrame, width: float, box: float) -> DataFrame:
+    """Targets (_t, _lat, _lon) with the sources (_s, lat, lon) within the box that are in their tile or one beside it."""
+    around = max(1, int(360.0 / width))
+    row, column = lambda lat: F.floor((lat + 90.0) / width), lambda lon: F.floor(F.pmod(lon, F.lit(360.0)) / (360.0 / around))
+    beside = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(F.col("_b") + k, F.lit(around))))
+    t = targets.withColumns({"_a": row(F.col("_lat")), "_b": column(F.col("_lon"))})
+    t = t.withColumn("_b", F.explode(beside)).withColumn("_a", F.explode(F.array(F.col("_a") - 1, F.col("_a"), F.col("_a") + 1)))
+    s = sources.withColumns({"_a": row(F.col("lat")), "_b": F.pmod(column(F.col("lon")), F.lit(around))})
+    dlat, dlon = F.abs(F.col("lat") - F.col("_lat")), _turn(F.col("lon"), F.col("_lon"))
+    return t.join(s, ["_a", "_b"]).where((dlat < box) & (dlon < box)).withColumn("d2", dlat * dlat + dlon * dlon)
+
+
 def nearest_points(targets: DataFrame, sources: DataFrame, target: str, source: str, k: int, box: float = 10.0) -> DataFrame:
     """The k nearest sources of each target within a box of degrees, with weights 1 / max(d2, 1e-10) that sum to 1.
 
-    Both have lat and lon.  Points meet by an equi-join on tiles as wide as the box.
+    Both have lat and lon; longitudes meet round the globe.  Targets outside the sources' extremes have none.  Points meet by
+    an equi-join on tiles: first on tiles so narrow that a few sources are in each, then, for targets whose k-th source is
+    farther off than such a tile is wide, on tiles as wide as the box.  So dense sources do not all meet.
     """
-    tile = {"_a": F.floor(F.col("lat") / box), "_b": F.floor(F.col("lon") / box)}
-    shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    t = targets.select(target, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(shifts).alias("_s"))
-    t = t.withColumns({"_a": F.floor(F.col("_lat") / box) + F.col("_s.a"), "_b": F.floor(F.col("_lon") / box) + F.col("_s.b")}).drop("_s")
-    met = t.join(sources.withColumns(tile), ["_a", "_b"])
-    dlat, dlon = F.col("lat") - F.col("_lat"), F.col("lon") - F.col("_lon")
-    close = met.where((F.abs(dlat) <= box) & (F.abs(dlon) <= box)).withColumn("d2", dlat * dlat + dlon * dlon)
-    w = Window.partitionBy(target)
-    ranked = close.withColumn("place", F.row_number().over(w.orderBy("d2", source))).where(F.col("place") <= k)
+    s = sources.select(F.col(source).alias("_s"), "lat", "lon")
+    ends = s.agg(F.count("*"), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    n, south, north, west, east = ends[0], *[float(x) if x is not None else 0.0 for x in ends[1:]]
+    t = targets.select(F.col(target).alias("_t"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    t = t.where(F.col("_lat").between(south, north) & F.col("_lon").between(west, east))
+    area = max(north - south, box / 10) * max(east - west, box / 10)
+    narrow = (2.0 * k * area / (9.0 * max(n, 1))) ** 0.5
+    w = Window.partitionBy("_t")
+    best = lambda met: met.withColumn("place", F.row_number().over(w.orderBy("d2", "_s"))).where(F.col("place") <= k)
+    if narrow < box / 2:
+        first = best(_met(t, s, narrow, box)).withColumn("_far", F.max(F.when(F.col("place") == k, F.col("d2"))).over(w))
+        sure = first.where(F.col("_far") <= narrow * narrow)
+        rest = t.join(sure.where("place = 1").select("_t"), "_t", "left_anti")
+        ranked = sure.select("_t", "_s", "place", "d2").union(best(_met(rest, s, box, box)).select("_t", "_s", "place", "d2"))
+    else:
+        ranked = best(_met(t, s, box, box)).select("_t", "_s", "place", "d2")
     raw = 1.0 / F.greatest(F.col("d2"), F.lit(1e-10))
-    return ranked.withColumn("_r", raw).withColumn("weight", F.col("_r") / F.sum("_r").over(w)).select(target, source, "place", "d2", "weight")
+    return ranked.withColumn("_r", raw).select(F.col("_t").alias(target), F.col("_s").alias(source), "place", "d2", (F.col("_r") / F.sum("_r").over(w)).alias("weight"))
+
+
+def applied(targets: DataFrame, near: DataFrame, sources: DataFrame, target: str, source: str, value: str, given: float | None = None) -> DataFrame:
+    """(target, value): the weighted sum over each target's sources; targets without any get a given value or the least of the
+    field less a tenth of its range."""
+    if given is None:
+        least, top = sources.agg(F.min(value), F.max(value)).first()
+        given = None if least is None else float(least) - 0.1 * (float(top) - float(least))
+    sums = near.join(sources.select(source, value), source).groupBy(target).agg(F.sum(F.col("weight") * F.col(value)).alias("_sum"))
+    return targets.select(target).join(sums, target, "left").select(target, F.coalesce("_sum", F.lit(given)).alias(value))
 
 
 def polar_xy(lat: Column, lon: Column, pi: float, pj: float, d60: float, dgrw: float, south: bool = False) -> tuple[Column, Column]:

@@ -16,9 +16,28 @@ def top(rows: DataFrame, value: str, tie: str, k: int, by: list[str]) -> DataFra
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
+#: Ranges of the position that rows are numbered in, each by itself.
+RANGES = 200
+
+
+def numbered(rows: DataFrame, position: str, into: str = "place") -> DataFrame:
+    """Rows with their 1-based place in the whole table by a numeric position: its quantiles part the rows in ranges, which
+    are counted, then numbered each by itself.  Rows of one position are one range; null positions come first."""
+    share = [i / RANGES for i in range(1, RANGES)]
+    edges = sorted(set(rows.agg(F.percentile_approx(position, share, 10_000)).first()[0] or []))
+    inside = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(position))) if edges else F.lit(0)
+    ranged = rows.withColumn("_range", F.coalesce(F.when(F.col(position).isNotNull(), inside), F.lit(-1)))
+    ends = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    # As many rows as there are ranges.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.broadcast(ends.select("_range", before.alias("_before")))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(position))
+    return ranged.withColumn("_at", at).join(first, "_range").withColumn(into, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
 def skip(rows: DataFrame, position: str, n: int) -> DataFrame:
     """Rows after the first n of a sequential file."""
-    return rows.orderBy(position).offset(n)
+    return numbered(rows, position, "_place").where(F.col("_place") > n).drop("_place")
 
 
 def mark_level(rows: DataFrame, position: str, mark: Column, by: list[str]) -> DataFrame:

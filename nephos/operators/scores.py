@@ -39,7 +39,8 @@ def correlation(rows: DataFrame, forecast: Column, observed: Column, normal: Col
     w = F.nullif("w", F.lit(0.0))
     r = [F.col(f"r{i}") / w for i in range(1, 6)]
     a, b, c = r[0] - r[3] * r[4], r[1] - r[3] * r[3], r[2] - r[4] * r[4]
-    good = F.coalesce((b > 1e-12) & (c > 1e-12), F.lit(False))
+    # Only a field without any spread has no correlation; spreads of opposite sign come from rounding.
+    good = F.coalesce((b != 0) & (c != 0) & (b * c > 0), F.lit(False))
     return s.select(*by, _safe(a / F.sqrt(F.when(good, b * c)), good).alias("correlation"))
 
 
@@ -50,23 +51,28 @@ def wind_rms(rows: DataFrame, fu: Column, ou: Column, fv: Column, ov: Column, we
     return s.select(*by, F.coalesce(F.sqrt(F.col("y") / F.nullif("w", F.lit(0.0))), F.lit(NO_SCORE)).alias("rms"))
 
 
-def gradient_score(cells: DataFrame, i: str, j: str, forecast: str, observed: str, by: list[str]) -> DataFrame:
+def gradient_score(cells: DataFrame, i: str, j: str, forecast: str, observed: str, by: list[str], window: tuple[int, int, int, int] | None = None, step: int = 1) -> DataFrame:
     """S1: 100 times the summed error of gradients to the next i and the next j over their summed size.
 
-    cells has one row for each (by, i, j).  Neighbours come from two equi-joins on shifted coordinates.
+    cells has one row for each (by, i, j).  Gradients start at every step-th point of the window (i1, i2, j1, j2) up to a step
+    before its far ends.  Without gradients, or where all are zero, and for a step that is not 1 or 2 or does not fit, the
+    score is 99999.  Each row goes to the three points whose gradients it is part of, which one aggregation puts together.
     """
-    here = cells.select(*by, i, j, F.col(forecast).alias("f"), F.col(observed).alias("v"))
-
-    def moved(di: int, dj: int, f: str, v: str) -> DataFrame:
-        return here.select(*by, (F.col(i) - di).alias(i), (F.col(j) - dj).alias(j), F.col("f").alias(f), F.col("v").alias(v))
-
-    keys = [*by, i, j]
-    near = here.join(moved(1, 0, "fi", "vi"), keys).join(moved(0, 1, "fj", "vj"), keys)
-    dfi, dvi, dfj, dvj = F.col("f") - F.col("fi"), F.col("v") - F.col("vi"), F.col("f") - F.col("fj"), F.col("v") - F.col("vj")
+    here = cells.select(*by, F.col(i).alias("_i"), F.col(j).alias("_j"), F.col(forecast).cast("double").alias("_f"), F.col(observed).cast("double").alias("_v"))
+    places = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(a).alias("a"), F.lit(b).alias("b")) for r, a, b in ((0, 0, 0), (1, 1, 0), (2, 0, 1))])
+    parts = here.withColumn("_p", F.explode(places)).withColumns({"_i": F.col("_i") - F.col("_p.a"), "_j": F.col("_j") - F.col("_p.b"), "_r": F.col("_p.r")})
+    if window is not None:
+        i1, i2, j1, j2 = window
+        parts = parts.where(F.col("_i").between(i1, i2 - step) & F.col("_j").between(j1, j2 - step) & ((F.col("_i") - i1) % step == 0) & ((F.col("_j") - j1) % step == 0))
+        if step not in (1, 2) or i2 - i1 < step or j2 - j1 < step:
+            parts = parts.where(F.lit(False))
+    met = parts.groupBy(*by, "_i", "_j").agg(*[F.max(F.when(F.col("_r") == r, F.col(c))).alias(f"{c}{r}") for r in range(3) for c in ("_f", "_v")])
+    met = met.where(" AND ".join(f"_f{r} IS NOT NULL AND _v{r} IS NOT NULL" for r in range(3)))
+    dfi, dvi, dfj, dvj = (F.col(f"{c}0") - F.col(f"{c}{r}") for r in (1, 2) for c in ("_f", "_v"))
     a = F.sum(F.abs(dfi - dvi) + F.abs(dfj - dvj))
     b = F.sum(F.greatest(F.abs(dfi), F.abs(dvi)) + F.greatest(F.abs(dfj), F.abs(dvj)))
-    s = near.groupBy(*by).agg(a.alias("a"), b.alias("b"))
-    return s.select(*by, F.when(F.col("b") != 0, F.col("a") / F.nullif("b", F.lit(0.0)) * 100).otherwise(0.0).alias("s1"))
+    s = cells.select(*by).distinct().join(met.groupBy(*by).agg(a.alias("_a"), b.alias("_b")), by, "left")
+    return s.select(*by, F.when(F.col("_b") != 0, F.col("_a") / F.col("_b") * 100).otherwise(F.lit(NO_SCORE)).alias("s1"))
 
 
 def zonal_mean(rows: DataFrame, value: Column, zone: Column, by: list[str]) -> DataFrame:
@@ -87,10 +93,11 @@ def entropy(rows: DataFrame, token: str, by: list[str]) -> DataFrame:
 
 
 def pole_mean(rows: DataFrame, at: Column, value: str, by: list[str]) -> DataFrame:
-    """Mean of a value over a coordinate by trapezoids between neighbours."""
+    """Mean of a value over an uneven axis: each but the last counts by the way to the next; 0 where the axis has no length."""
     w = Window.partitionBy(*by).orderBy("_x")
-    t = rows.withColumn("_x", at).withColumns({"_w": F.lead("_x").over(w) - F.col("_x"), "_m": (F.lead(value).over(w) + F.col(value)) / 2})
-    return t.groupBy(*by).agg((F.sum(F.col("_w") * F.col("_m")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("pole"))
+    t = rows.withColumn("_x", at).withColumn("_w", F.lead("_x").over(w) - F.col("_x"))
+    total = F.coalesce(F.sum(F.col("_w") * F.col(value)), F.lit(0.0))
+    return t.groupBy(*by).agg((total / F.coalesce(F.nullif(F.sum("_w"), F.lit(0.0)), F.lit(1.0))).alias("pole"))
 
 
 def block_mean(rows: DataFrame, i: str, j: str, value: str, size: int, by: list[str]) -> DataFrame:

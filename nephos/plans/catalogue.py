@@ -1,8 +1,8 @@
 """The queries of the library and the SQL that says the same."""
 
-from nephos.plans import codecs, extra, grids, more, records, scores, vertical
+from nephos.plans import codecs, extra, grids, levels, more, records, scores, vertical
 
-PARTS = (records, scores, codecs, vertical, grids, extra, more)
+PARTS = (records, scores, codecs, levels, vertical, grids, extra, more)
 QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL = {k: v for part in PARTS for k, v in part.ORACLE_SQL.items()}
 FLAGSHIP = "bias_std"

@@ -91,7 +91,9 @@ def hash_md5(spark, d):
 
 
 def crc(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.crc32(F.col("p_name").cast("binary")).alias("crc"))
+    name = F.col("p_name").cast("binary")
+    sums = [codecs.crc16(name, seed, step) for seed, step in ((F.lit(0), 1), (F.col("p_size") * 257, 1), (F.lit(0xFFFF), 4))]
+    return read(spark, d, "part").select("p_partkey", *[c.cast("long").alias(f"crc{i}") for i, c in enumerate(sums)], F.crc32(name).alias("crc32"))
 
 
 def pack_quantised(spark, d):
@@ -120,6 +122,19 @@ def kv_rewrite(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (level_encode, level_decode, level_round_trip, date_stamp_encode, date_stamp_old, date_stamp_decode, date_diff_incr, calendar_360, grid_desc_pack, missing_encode, missing_decode, bits_get_put, hash_md5, crc, pack_quantised, run_lengths, kv_prefix, kv_rewrite)}
+_EIGHT = "[0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]"
+
+
+def _bytes(step: int) -> str:
+    return f"list_transform(range(0, length(p_name), {step}), lambda i: ascii(substr(p_name, i + 1, 1))::BIGINT)"
+
+
+def _crc(seed: str, step: int) -> str:
+    """Bit by bit."""
+    bit = "CASE WHEN c & 32768 > 0 THEN xor(c << 1, 4129) & 65535 ELSE c << 1 END"
+    return f"list_reduce(list_prepend(({seed})::BIGINT, {_bytes(step)}), lambda h, b: list_reduce(list_prepend(xor(h, b << 8), {_EIGHT}), lambda c, k: {bit}))"
+
+
 _T = "floor((epoch(ts) - 315532800) / 5)::BIGINT"
 _CODED = """WITH s AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_acctbal >= 0 THEN round(s_acctbal, 2) END AS v FROM supplier),
     x AS (SELECT s_nationkey, min(v) AS lo, max(v) AS hi FROM s GROUP BY 1),
@@ -146,6 +161,8 @@ ORACLE_SQL = {
     "missing_encode": f"{_CODED} SELECT * FROM c",
     "missing_decode": f"{_CODED} SELECT s_suppkey, CASE WHEN coded <> max(coded) OVER (PARTITION BY s_suppkey % 5) THEN coded END AS value FROM c",
     "bits_get_put": "SELECT o_orderkey, (o_orderkey >> 3) & 31 AS got, (o_orderkey & ~(63 << 4)::BIGINT) | (((o_orderkey % 100) & 63) << 4) AS put FROM orders",
+    "crc": f"""SELECT p_partkey, {_crc('0', 1)} AS crc0, {_crc('p_size * 257', 1)} AS crc1, {_crc('65535', 4)} AS crc2,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, {_bytes(1)}), lambda h, b: list_reduce(list_prepend(xor(h, b), {_EIGHT}), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295) AS crc32 FROM part""",
     "hash_md5": "SELECT p_partkey, md5(p_name) AS md5, sha256(p_name) AS sha FROM part",
     "pack_quantised": """SELECT c_custkey, code, round(lo + code * (hi - lo) / 4095, 3) AS back FROM (SELECT c_custkey, lo, hi, round((c_acctbal - lo) / (hi - lo) * 4095)::BIGINT AS code FROM customer JOIN
         (SELECT c_nationkey, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1) USING (c_nationkey))""",

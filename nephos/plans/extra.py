@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nephos.functions import names, sphere
@@ -14,6 +16,10 @@ from nephos.plans.base import GRID_SQL, grid, r4, read
 from nephos.streaming import channel
 
 
+#: Places between the points 1, 4, 9, 16, 25 and 36 at which splines are taken.
+SPLINE_AT = (1.5, 2.75, 6.0, 11.0, 15.5, 20.25, 24.0, 30.0, 35.5)
+
+
 def _places(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", ((F.col("s_suppkey") * 7) % 80 + 5.0).alias("lat"), ((F.col("s_suppkey") * 31) % 360 + 0.0).alias("lon"))
 
@@ -29,7 +35,7 @@ def rotated_frame(spark, d):
     lat, lon = sphere.turned(F.col("lat"), F.col("lon"), m)
     back_lat, back_lon = sphere.turned(F.col("rlat"), F.col("rlon"), m.T)
     p = _places(spark, d).withColumns({"rlat": lat, "rlon": lon})
-    return p.select("s_suppkey", r4(back_lat).alias("lat"), (F.round(back_lon, 4) % 360).alias("lon"))
+    return p.select("s_suppkey", F.round("rlat", 4).alias("rlat"), (F.round("rlon", 4) % 360).alias("rlon"), r4(back_lat).alias("lat"), (F.round(back_lon, 4) % 360).alias("lon"))
 
 
 def latlon_gaussian_index(spark, d):
@@ -78,7 +84,8 @@ def edge_derivative(spark, d):
 
 def coarse_reversed(spark, d):
     g = series.reversed_rows(grid(spark, d), "i", 7)
-    return series.coarse(g, "i", "j", 7, 15000, 3).select("i", "j", r4("f").alias("f"))
+    rows = read(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] or 0
+    return series.coarse(g, "i", "j", 7, rows, 3).select("i", "j", r4("f").alias("f"))
 
 
 def lorenzo_residual(spark, d):
@@ -90,33 +97,35 @@ def lorenzo_residual(spark, d):
 
 def fourier(spark, d):
     f = series.fourier(F.col("embedding"))
-    e = read(spark, d, "embeddings").select("vec_id", "embedding", f.alias("f"))
-    return e.select("vec_id", r4(F.get("f.re", F.lit(0))).alias("mean"), r4(F.get("f.re", F.lit(32))).alias("alternating"))
+    e = read(spark, d, "embeddings").select("vec_id", f.alias("f"))
+    parts = e.select("vec_id", F.posexplode(F.arrays_zip("f.re", "f.im")).alias("n", "c"))
+    return parts.select("vec_id", F.col("n").cast("long").alias("n"), r4("c.re").alias("re"), r4("c.im").alias("im"))
 
 
-def _gram(e):
-    e = e.select("vec_id", F.posexplode("embedding").alias("k", "x"))
-    a = e.select(F.col("vec_id").alias("i"), "k", F.col("x").cast("double").alias("v"))
-    b = e.select(F.col("vec_id").alias("j"), "k", F.col("x").cast("double").alias("v"))
-    return series.product(a, b).select("i", "j", r4("v").alias("v"))
+def fourier_back(spark, d):
+    """The transform, every other coefficient left out, turned back."""
+    f = series.fourier(F.col("embedding"))
+    half = lambda c: F.transform(c, lambda x, n: F.when(n % 2 == 0, x).otherwise(0.0))
+    e = read(spark, d, "embeddings").select("vec_id", f.alias("f"))
+    back = e.select("vec_id", F.posexplode(series.inverse_fourier(half(F.col("f.re")), half(F.col("f.im")), 64)).alias("k", "value"))
+    return back.select("vec_id", F.col("k").cast("long").alias("k"), r4("value").alias("value"))
 
 
 def matrix_product(spark, d):
-    return _gram(read(spark, d, "embeddings").where("vec_id < 60"))
-
-
-def matrix_product_whole(spark, d):
-    """Every pair of rows, so the result is as large as the square of the table."""
-    return _gram(read(spark, d, "embeddings"))
+    """Rows whose number is divisible by 50 against all rows: the product of all with all is the square of the table."""
+    e = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
+    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("i"), "k", F.col("x").cast("double").alias("v"))
+    b = e.select(F.col("vec_id").alias("j"), "k", F.col("x").cast("double").alias("v"))
+    return series.product(a, b).select("i", "j", r4("v").alias("v"))
 
 
 def spline(spark, d):
     e = read(spark, d, "events").withColumn("lev", F.unix_seconds(F.col("ts").cast("timestamp")) / 86400.0)
-    c = levels.columns_of(e, "user_id", "lev", "value")
-    at = F.transform("lev", lambda x: x)
-    s = series.spline(c.withColumn("_x", at), F.col("_x"), "user_id").join(c, "user_id")
-    worst = F.aggregate(F.zip_with("spline", "sta", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: F.greatest(a, x))
-    return s.select("user_id", F.size("sta").cast("long").alias("n"), (worst < 1e-6).alias("meets_points"))
+    e = e.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("n <= 6").withColumn("lev", F.col("n") * F.col("n") * 1.0)
+    c = levels.columns_of(e, "user_id", "lev", "value").where(F.size("lev") == 6)
+    at = F.array(*[F.lit(x) for x in SPLINE_AT])
+    s = series.spline(c.withColumn("_x", at), F.col("_x"), "user_id")
+    return s.select("user_id", F.posexplode("spline").alias("k", "value")).select("user_id", F.col("k").cast("long").alias("k"), r4("value").alias("value"))
 
 
 def stream_zonal_means(spark, d):
@@ -137,15 +146,42 @@ def stream_zonal_means(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (sphere_distance_area, rotated_frame, latlon_gaussian_index, lambert, pressure_levels, map_scale_coriolis, base40_names, element_codes, file_names, edge_derivative, coarse_reversed, lorenzo_residual, fourier, matrix_product, matrix_product_whole, spline, stream_zonal_means)
+    for f in (sphere_distance_area, rotated_frame, latlon_gaussian_index, lambert, pressure_levels, map_scale_coriolis, base40_names, element_codes, file_names, edge_derivative, coarse_reversed, lorenzo_residual, fourier, fourier_back, matrix_product, spline, stream_zonal_means)
 }
 _P = "(SELECT s_suppkey, ((s_suppkey * 7) % 80 + 5)::DOUBLE AS lat, ((s_suppkey * 31) % 360)::DOUBLE AS lon FROM supplier)"
-_CHARS = " 0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ/.-"
+_CHARS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ/?: "
+_E = "(SELECT vec_id, k, embedding[k+1]::DOUBLE AS v FROM embeddings, range(0, 64) r(k))"
+
+
+def _spline_sql() -> str:
+    """Bends at the inner points by the inverse of the tridiagonal matrix of the points 1, 4, 9, 16, 25 and 36."""
+    at = [n * n for n in range(1, 7)]
+    h = np.diff(at)
+    m = np.diag(2.0 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
+    inverse = np.linalg.inv(m)
+    slopes = [f"6 * ((y{k + 1} - y{k}) / {h[k]}.0 - (y{k} - y{k - 1}) / {h[k - 1]}.0)" for k in range(1, 5)]
+    bends = ["0.0", *["(" + " + ".join(f"{inverse[r, c]!r} * ({slopes[c]})" for c in range(4)) + ")" for r in range(4)], "0.0"]
+    rows = []
+    for i, x in enumerate(SPLINE_AT):
+        k = max(q for q in range(5) if at[q] <= x)
+        a, b = (at[k + 1] - x) / h[k], (x - at[k]) / h[k]
+        bend = f"({(a**3 - a) * h[k] ** 2 / 6!r} * {bends[k]} + {(b**3 - b) * h[k] ** 2 / 6!r} * {bends[k + 1]})"
+        rows.append(f"SELECT user_id, {i}::BIGINT AS k, round({a!r} * y{k} + {b!r} * y{k + 1} + {bend}, 4) AS value FROM w".replace("np.float64", ""))
+    points = ", ".join(f"max(value) FILTER (n = {k + 1})::DOUBLE AS y{k}" for k in range(6))
+    return f"""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), w AS (SELECT user_id, {points} FROM r WHERE n <= 6 GROUP BY 1 HAVING count(*) = 6)
+        {" UNION ALL ".join(rows)}"""
+
+
 _RE2 = "((1.866025 * 6.371e6 / 100000.0) ** 2)"
 ORACLE_SQL = {
     "sphere_distance_area": f"""SELECT s_suppkey, round(6370997.0 * acos(greatest(-1, least(1, sin(radians(lat)) * sin(radians(10)) + cos(radians(lat)) * cos(radians(10)) * cos(radians(20 - lon))))), 0) AS metres,
         round(6370997.0 * 6370997.0 * radians(2) * (sin(radians(lat + 1)) - sin(radians(lat))) / 1e6, 2) AS km2 FROM {_P}""",
-    "rotated_frame": f"SELECT s_suppkey, round(lat, 4) AS lat, round(lon, 4) % 360 AS lon FROM {_P}",
+    # Angles of the frame by spherical trigonometry: c and b are the points' distances, turned from the second to the place.
+    "rotated_frame": f"""WITH u AS (SELECT s_suppkey, lat, lon, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM {_P}),
+        p AS (SELECT cos(radians(40)) * cos(radians(250)) AS a1, cos(radians(40)) * sin(radians(250)) AS a2, sin(radians(40)) AS a3, cos(radians(10)) * cos(radians(340)) AS b1, cos(radians(10)) * sin(radians(340)) AS b2, sin(radians(10)) AS b3),
+        q AS (SELECT *, a1 * b1 + a2 * b2 + a3 * b3 AS k, a2 * b3 - b2 * a3 AS n1, b1 * a3 - a1 * b3 AS n2, a1 * b2 - b1 * a2 AS n3 FROM p),
+        r AS (SELECT u.*, -(x * a1 + y * a2 + z * a3) AS e, (x * (k * a1 - b1) + y * (k * a2 - b2) + z * (k * a3 - b3)) / sqrt(1 - k * k) AS f, (x * n1 + y * n2 + z * n3) / sqrt(n1 * n1 + n2 * n2 + n3 * n3) AS g FROM u, q)
+        SELECT s_suppkey, round(degrees(asin(g)), 4) AS rlat, round((degrees(atan2(f, e)) + 360) % 360, 4) % 360 AS rlon, round(lat, 4) AS lat, round(lon, 4) % 360 AS lon FROM r""",
     "latlon_gaussian_index": f"""SELECT s_suppkey, round((lon + 350) % 360 / 2.5 + 1, 4)::DOUBLE AS x, round((lat + 90) / 1.5 + 1, 4)::DOUBLE AS y,
         round(CASE WHEN lat <= 10 THEN 1 + lat / 10 WHEN lat <= 25 THEN 2 + (lat - 10) / 15 WHEN lat <= 60 THEN 3 + (lat - 25) / 35 ELSE 4 + (lat - 60) / 30 END, 4) AS g FROM {_P}""",
     "lambert": f"""SELECT s_suppkey, round(r * sin(t), 1) AS x, round(r0 - r * cos(t), 1) AS y FROM (SELECT s_suppkey, n * radians((lon - 270 + 540) % 360 - 180) AS t,
@@ -153,20 +189,21 @@ ORACLE_SQL = {
     "pressure_levels": """SELECT p_partkey, round(800 * (l - b) + b * ps, 4) AS hybrid, round(10 * (1 - l) + l * ps, 4) AS eta, round(l * ps, 4) AS sigma FROM (
         SELECT *, pow(greatest((l - 0.0125::DOUBLE) / (1 - 0.0125::DOUBLE), 0), 1.6) AS b FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS l, 900 + p_size * 2.0::DOUBLE AS ps FROM part))""",
     "map_scale_coriolis": f"SELECT p_partkey, round(1.866025 / 2 * (p_size * 37.0::DOUBLE + {_RE2}) / {_RE2}, 6) AS scale, round(1.458 * ({_RE2} - p_size * 37.0::DOUBLE) / ({_RE2} + p_size * 37.0::DOUBLE), 6) AS coriolis FROM part",
-    "base40_names": f"""SELECT n_nationkey, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: CASE WHEN instr('{_CHARS}', substr(rpad(n_name, 8, ' '), i, 1)) > 0 THEN instr('{_CHARS}', substr(rpad(n_name, 8, ' '), i, 1)) - 1 ELSE 37 END)), lambda a, b: a * 40 + b)::BIGINT AS code,
+    "base40_names": f"""SELECT n_nationkey, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: CASE WHEN instr('{_CHARS}', substr(rpad(n_name, 8, ' '), i, 1)) > 0 THEN instr('{_CHARS}', substr(rpad(n_name, 8, ' '), i, 1)) - 1 ELSE 36 END)), lambda a, b: a * 40 + b)::BIGINT AS code,
         rtrim(replace(substr(n_name, 1, 8), '_', '/')) AS name FROM nation""",
     "element_codes": """SELECT p_partkey, (p_partkey % 4) * 16384 + (p_partkey % 64) * 256 + p_partkey % 256 AS code, (p_partkey % 4) * 100000 + (p_partkey % 64) * 1000 + p_partkey % 256 AS back,
         p_partkey % 16 AS nature, p_partkey % 128 AS kind, p_partkey % 13 AS step FROM part""",
     "file_names": "SELECT o_orderkey, 'pp' || strftime(o_orderdate, '%Y%m%d%H') || '_' || lpad((o_orderkey % 100)::VARCHAR, 3, '0') AS name FROM orders",
     "edge_derivative": """SELECT user_id, round((-21 * a + 13 * b + 17 * c - 9 * e) * 0.025, 6) AS derivative FROM (SELECT user_id, value AS a, lead(value) OVER w AS b, lead(value, 2) OVER w AS c, lead(value, 3) OVER w AS e, row_number() OVER w AS n
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE n = 1 AND e IS NOT NULL""",
-    "coarse_reversed": f"WITH {GRID_SQL} SELECT i, j, round(f, 4) AS f FROM (SELECT 8 - i AS i, j, f FROM grid) WHERE ((i - 1) % 3 = 0 OR i = 7) AND ((j - 1) % 3 = 0 OR j = 15000)",
+    "coarse_reversed": f"WITH {GRID_SQL} SELECT i, j, round(f, 4) AS f FROM (SELECT 8 - i AS i, j, f FROM grid) WHERE ((i - 1) % 3 = 0 OR i = 7) AND ((j - 1) % 3 = 0 OR j = (SELECT max(o_orderkey) FROM orders))",
     "lorenzo_residual": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x * 1000)::BIGINT) AS z FROM embeddings), p AS (SELECT vec_id, z, unnest(range(0, 64)) AS k FROM e)
         SELECT vec_id, sum(abs(z[k+1] - CASE WHEN k % 8 > 0 THEN z[k] ELSE 0 END - CASE WHEN k >= 8 THEN z[k-7] ELSE 0 END + CASE WHEN k % 8 > 0 AND k >= 8 THEN z[k-8] ELSE 0 END))::BIGINT AS size, true AS same FROM p GROUP BY 1""",
-    "fourier": "SELECT vec_id, round(sum(v) / 64, 4) AS mean, round(sum(v * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) / 64, 4) AS alternating FROM (SELECT vec_id, k, embedding[k+1]::DOUBLE AS v FROM embeddings, range(0, 64) r(k)) GROUP BY 1",
-    "matrix_product": "SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS v FROM embeddings a, embeddings b WHERE a.vec_id < 60 AND b.vec_id < 60",
-    "spline": "SELECT user_id, count(DISTINCT floor(epoch(ts))) AS n, true AS meets_points FROM events GROUP BY 1",
+    "fourier": f"""SELECT vec_id, n, round(sum(v * cos(2 * pi() * n * k / 64)) / 64, 4) + 0 AS re, round(-sum(v * sin(2 * pi() * n * k / 64)) / 64, 4) + 0 AS im FROM {_E}, range(0, 33) s(n) GROUP BY 1, 2""",
+    # Even coefficients are those of the mean of a row and itself half a turn on.
+    "fourier_back": f"SELECT a.vec_id, a.k, round((a.v + b.v) / 2, 4) AS value FROM {_E} a JOIN {_E} b ON a.vec_id = b.vec_id AND b.k = (a.k + 32) % 64",
+    "matrix_product": "SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS v FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0",
+    "spline": _spline_sql(),
     "stream_zonal_means": """WITH e AS (SELECT floor(epoch(ts) / 86400)::BIGINT * 86400 AS start, event_type AS zone, value, epoch(ts) AS t FROM events)
         SELECT start, zone, count(*) AS n, round(avg(value), 6) AS mean FROM e WHERE start + 86400 <= (SELECT max(t) FROM e) - 2 * 86400 GROUP BY 1, 2""",
 }
-ORACLE_SQL["matrix_product_whole"] = ORACLE_SQL["matrix_product"].replace(" WHERE a.vec_id < 60 AND b.vec_id < 60", "")

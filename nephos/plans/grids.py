@@ -56,29 +56,28 @@ def _cells_average(o, target):
 
 
 def regrid_average(spark, d):
-    return _cells_average(read(spark, d, "orders").where("o_orderkey <= 3000"), spark.range(0, 100))
-
-
-def regrid_average_whole(spark, d):
     """All orders, onto the cells that their range meets."""
     o = read(spark, d, "orders")
     ends = o.agg(F.floor(F.min("o_orderkey") / 2.0 / 15.25), F.ceil((F.max("o_orderkey") / 2.0 + 0.5) / 15.25)).first()
     return _cells_average(o, spark.range(int(ends[0] or 0), int(ends[1] or 0)))
 
 
-def _knn(c, s):
-    s = s.select("s_suppkey", ((F.col("s_suppkey") * 37) % 140 - 70.0).alias("lat"), ((F.col("s_suppkey") * 91) % 300 + 0.5).alias("lon"))
-    c = c.select("c_custkey", ((F.col("c_custkey") * 13) % 150 - 75.0).alias("lat"), ((F.col("c_custkey") * 29) % 310 + 0.25).alias("lon"))
-    k = ops.nearest_points(c, s, "c_custkey", "s_suppkey", 4)
-    return k.select("c_custkey", "s_suppkey", F.col("place").cast("long").alias("place"), r4("weight").alias("weight"))
+def _points(spark, d):
+    c, s = read(spark, d, "customer"), read(spark, d, "supplier")
+    s = s.select("s_suppkey", "s_acctbal", ((F.col("s_suppkey") * 37) % 140 - 70.0).alias("lat"), ((F.col("s_suppkey") * 91) % 359 + 0.5).alias("lon"))
+    c = c.select("c_custkey", ((F.col("c_custkey") * 13) % 150 - 75.0).alias("lat"), ((F.col("c_custkey") * 29) % 359 + 0.25).alias("lon"))
+    return c, s
 
 
 def knn_weights(spark, d):
-    return _knn(read(spark, d, "customer").where("c_custkey <= 500"), read(spark, d, "supplier"))
+    k = ops.nearest_points(*_points(spark, d), "c_custkey", "s_suppkey", 4)
+    return k.select("c_custkey", "s_suppkey", F.col("place").cast("long").alias("place"), r4("weight").alias("weight"))
 
 
-def knn_weights_whole(spark, d):
-    return _knn(read(spark, d, "customer"), read(spark, d, "supplier"))
+def knn_apply(spark, d):
+    c, s = _points(spark, d)
+    k = ops.nearest_points(c, s, "c_custkey", "s_suppkey", 16)
+    return ops.applied(c, k, s, "c_custkey", "s_suppkey", "s_acctbal").select("c_custkey", r4("s_acctbal").alias("value"))
 
 
 def _angles(spark, d):
@@ -133,7 +132,7 @@ def element_convert(spark, d):
 
 
 QUERIES = {"regrid_nearest": _regrid(ops.near), "regrid_bilinear": _regrid(ops.bilinear), "regrid_bicubic": _regrid(ops.bicubic)} | {
-    f.__name__: f for f in (extrap_minmax, mask_zones, mask_fill_min, mask_fill_row, regrid_average, regrid_average_whole, knn_weights, knn_weights_whole, polar_stereo_xy, wind_speed_dir, great_circle, cross_section, report_blocks, report_flatten, element_convert)
+    f.__name__: f for f in (extrap_minmax, mask_zones, mask_fill_min, mask_fill_row, regrid_average, knn_weights, knn_apply, polar_stereo_xy, wind_speed_dir, great_circle, cross_section, report_blocks, report_flatten, element_convert)
 }
 _T = """WITH t AS (SELECT vec_id, embedding AS z, k, (vec_id * 7 + k * 13) % 32 / 4.0 + 0.75 AS x, (vec_id * 5 + k * 11) % 32 / 4.0 + 0.75 AS y FROM embeddings, range(0, 5) r(k)),
     c AS (SELECT *, greatest(1, least(7, floor(x)))::BIGINT AS i, greatest(1, least(7, floor(y)))::BIGINT AS j FROM t),
@@ -151,6 +150,11 @@ def _cubic_sql() -> str:
       c AS (SELECT *, greatest(2, least(6, floor(x)))::BIGINT AS i, greatest(2, least(6, floor(y)))::BIGINT AS j FROM t), q AS (SELECT *, x - i AS dx, y - j AS dy FROM c) SELECT vec_id, k, round({" + ".join(terms)}, 4) AS value FROM q"""
 
 
+_KNN = """WITH s AS (SELECT s_suppkey, s_acctbal AS z, ((s_suppkey * 37) % 140 - 70)::DOUBLE AS lat, (s_suppkey * 91) % 359 + 0.5::DOUBLE AS lon FROM supplier), c AS (SELECT c_custkey, ((c_custkey * 13) % 150 - 75)::DOUBLE AS lat, (c_custkey * 29) % 359 + 0.25::DOUBLE AS lon FROM customer),
+    e AS (SELECT min(lat) AS lat0, max(lat) AS lat1, min(lon) AS lon0, max(lon) AS lon1 FROM s),
+    p AS (SELECT c_custkey, s_suppkey, z, abs(s.lat - c.lat) AS dy, CASE WHEN abs(s.lon - c.lon) > 180 THEN abs(abs(s.lon - c.lon) - 360) ELSE abs(s.lon - c.lon) END AS dx FROM c JOIN s ON abs(s.lat - c.lat) < 10 JOIN e ON c.lat BETWEEN lat0 AND lat1 AND c.lon BETWEEN lon0 AND lon1),
+    m AS (SELECT c_custkey, s_suppkey, z, dx * dx + dy * dy AS d2 FROM p WHERE dx < 10),
+    k AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d2, s_suppkey) AS place FROM m)"""
 _ANG = "(SELECT s_suppkey, ((s_suppkey * 7) % 80 + 5)::DOUBLE AS lat, ((s_suppkey * 31) % 360)::DOUBLE AS lon FROM supplier)"
 _RE = "(1.866025 * 6371220.0 / 100000.0)"
 ORACLE_SQL = {
@@ -163,12 +167,12 @@ ORACLE_SQL = {
     "mask_fill_min": f"WITH {GRID_SQL} SELECT i, j, round(CASE WHEN w > 1 THEN min(f) FILTER (w <= 1) OVER (PARTITION BY j) ELSE f END, 4)::DOUBLE AS f FROM grid",
     "mask_fill_row": f"""WITH {GRID_SQL}, h AS (SELECT i, j, CASE WHEN w <= 1 THEN f END AS f FROM grid) SELECT i, j, round(coalesce(last_value(f IGNORE NULLS) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
         first_value(f IGNORE NULLS) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 4)::DOUBLE AS f FROM h""",
-    "regrid_average": """SELECT id, round(sum(w * z) / sum(w), 2) AS mean, round(sum(w), 4)::DOUBLE AS overlap FROM (SELECT id, z, least(o_orderkey / 2.0 + 0.5, (id + 1) * 15.25::DOUBLE) - greatest(o_orderkey / 2.0, id * 15.25::DOUBLE) AS w
-        FROM (SELECT o_orderkey, o_totalprice AS z FROM orders WHERE o_orderkey <= 3000), range(0, 100) r(id)) WHERE w > 0 GROUP BY id""",
-    "knn_weights": """WITH s AS (SELECT s_suppkey, ((s_suppkey * 37) % 140 - 70)::DOUBLE AS lat, (s_suppkey * 91) % 300 + 0.5::DOUBLE AS lon FROM supplier), c AS (SELECT c_custkey, ((c_custkey * 13) % 150 - 75)::DOUBLE AS lat, (c_custkey * 29) % 310 + 0.25::DOUBLE AS lon FROM customer WHERE c_custkey <= 500),
-        m AS (SELECT c_custkey, s_suppkey, (s.lat - c.lat) ** 2 + (s.lon - c.lon) ** 2 AS d2 FROM c JOIN s ON abs(s.lat - c.lat) <= 10 AND abs(s.lon - c.lon) <= 10),
-        k AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d2, s_suppkey) AS place FROM m QUALIFY place <= 4)
-        SELECT c_custkey, s_suppkey, place, round((1 / greatest(d2, 1e-10)) / sum(1 / greatest(d2, 1e-10)) OVER (PARTITION BY c_custkey), 4) AS weight FROM k""",
+    "regrid_average": """SELECT id, round(sum(w * z) / sum(w), 2) AS mean, round(sum(w), 4)::DOUBLE AS overlap FROM (SELECT id, z, least(high, (id + 1) * 15.25::DOUBLE) - greatest(low, id * 15.25::DOUBLE) AS w
+        FROM (SELECT o_orderkey / 2.0 AS low, o_orderkey / 2.0 + 0.5 AS high, o_totalprice AS z FROM orders) JOIN (SELECT unnest(range((min(o_orderkey) / 2.0 / 15.25)::BIGINT - 1, (max(o_orderkey) / 2.0 / 15.25)::BIGINT + 2)) AS id FROM orders)
+        ON low < (id + 1) * 15.25::DOUBLE AND high > id * 15.25::DOUBLE) WHERE w > 0 GROUP BY id""",
+    "knn_weights": f"""{_KNN} SELECT c_custkey, s_suppkey, place, round((1 / greatest(d2, 1e-10)) / sum(1 / greatest(d2, 1e-10)) OVER (PARTITION BY c_custkey), 4) AS weight FROM k WHERE place <= 4""",
+    "knn_apply": f"""{_KNN}, v AS (SELECT c_custkey, sum(z / greatest(d2, 1e-10)) / sum(1 / greatest(d2, 1e-10)) AS value FROM k WHERE place <= 16 GROUP BY 1)
+        SELECT c_custkey, round(coalesce(value, (SELECT min(z) - 0.1 * (max(z) - min(z)) FROM s)), 4) AS value FROM c LEFT JOIN v USING (c_custkey)""",
     "polar_stereo_xy": f"SELECT s_suppkey, round(r * cos(radians(lon + 21)) + 50, 4) AS x, round(r * sin(radians(lon + 21)) + 60, 4) AS y, round(lat, 3) AS lat, round(lon, 3) AS lon FROM (SELECT *, {_RE} * cos(radians(lat)) / (1 + sin(radians(lat))) AS r FROM {_ANG})",
     "wind_speed_dir": f"""SELECT s_suppkey, round(sqrt(u * u + v * v), 4) AS speed, round(CASE WHEN u = 0 AND v = 0 THEN 0 ELSE (630 - degrees(atan2(v, u))) % 360 END, 4) AS direction, true AS same,
         round(u * cos(radians(lat)) - v * sin(radians(lat)), 4) AS ru, round(u * sin(radians(lat)) + v * cos(radians(lat)), 4) AS rv FROM (SELECT *, lat - 40 AS u, lon - 180 AS v FROM {_ANG})""",
@@ -181,7 +185,3 @@ ORACLE_SQL = {
     "element_convert": """SELECT l_linenumber, count(*) AS n, count(real) AS n_real, round(sum(real), 3) AS total FROM (SELECT l_linenumber, CASE WHEN q = 50 THEN NULL WHEN p_size IS NULL THEN q ELSE (q + p_size) / power(10.0, p_size % 4) END AS real
         FROM (SELECT *, l_quantity::BIGINT AS q FROM lineitem) LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON p_partkey = l_partkey) GROUP BY 1""",
 }
-ORACLE_SQL["regrid_average_whole"] = """SELECT id, round(sum(w * z) / sum(w), 2) AS mean, round(sum(w), 4)::DOUBLE AS overlap FROM (SELECT id, z, least(high, (id + 1) * 15.25::DOUBLE) - greatest(low, id * 15.25::DOUBLE) AS w
-    FROM (SELECT o_orderkey / 2.0 AS low, o_orderkey / 2.0 + 0.5 AS high, o_totalprice AS z FROM orders) JOIN (SELECT unnest(range((min(o_orderkey) / 2.0 / 15.25)::BIGINT - 1, (max(o_orderkey) / 2.0 / 15.25)::BIGINT + 2)) AS id FROM orders)
-    ON low < (id + 1) * 15.25::DOUBLE AND high > id * 15.25::DOUBLE) WHERE w > 0 GROUP BY id"""
-ORACLE_SQL["knn_weights_whole"] = ORACLE_SQL["knn_weights"].replace(" WHERE c_custkey <= 500", "")

@@ -85,7 +85,7 @@ def file_marks(spark, d):
 
 
 def argsort(spark, d):
-    return order_ops.argsort(read(spark, d, "part").where("p_size <= 25"), "p_retailprice", "p_partkey", ["p_brand"]).select("p_brand", "p_partkey", F.col("place").cast("long").alias("place"))
+    return order_ops.argsort(read(spark, d, "part"), "p_retailprice", "p_partkey", ["p_brand"]).select("p_brand", "p_partkey", F.col("place").cast("long").alias("place"))
 
 
 def topk(spark, d):
@@ -116,7 +116,7 @@ ORACLE_SQL = {
     "edit_descriptors": "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'X_' || n_name ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN 9 ELSE n_regionkey END AS n_regionkey FROM nation",
     "sequential_skip": "SELECT r_regionkey, r_name FROM region QUALIFY row_number() OVER (ORDER BY r_regionkey) > 2",
     "file_marks": """SELECT user_id, max(files)::BIGINT AS files, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS files FROM events) GROUP BY 1""",
-    "argsort": "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS place FROM part WHERE p_size <= 25",
+    "argsort": "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS place FROM part",
     "topk": "SELECT p_brand, p_partkey, round(p_retailprice, 4) AS price FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 3",
     "quantile": "SELECT p_brand, round(median(p_retailprice), 4) AS median FROM part GROUP BY 1",
 }

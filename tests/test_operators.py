@@ -19,14 +19,19 @@ def test_level_anchors(spark):
     assert one(spark, *levels.decode(F.lit(42043040)), *levels.decode(F.lit(500))) == (10.0, 2, 500.0, 2)
 
 
-@pytest.mark.parametrize("kind", [0, 1, 2, 4, 5, 10])
+@pytest.mark.parametrize("kind", sorted(levels.BOUNDS))
 def test_levels_round_trip(spark, kind):
     low, high = levels.BOUNDS[kind]
     values = [float(v) for v in np.linspace(max(low, -20000), min(high, 1e5), 97)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     value, got = levels.decode(levels.encode(F.col("v"), kind))
     for r in df.select("v", value.alias("back"), got.alias("kind")).collect():
-        assert r["kind"] == kind and abs(r["back"] - r["v"]) <= (1e-5 if r["v"] >= 0 else 1.1e-4) * max(1.0, abs(r["v"]))
+        # Shared numbers: what both kinds can be is read as the first of them.
+        shared = levels.BOUNDS.get(kind - 16, (1.0, 0.0))
+        if kind in (17, 21) and shared[0] <= r["v"] * levels.FACTOR[kind] <= shared[1]:
+            continue
+        near = abs(r["back"] - r["v"]) <= (1e-5 if r["v"] >= 0 and kind != 17 else 1.1e-4) * max(1.0, abs(r["v"])) or kind == 15 and abs(r["back"] - r["v"]) <= 0.5
+        assert r["kind"] == kind and near
 
 
 def test_stamps(spark):
