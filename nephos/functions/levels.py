@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nephos.functions.columns import once
+
 # Fixed values of the code, by kind: bounds, the size below which a value counts as zero, and what it becomes then on the
 # way in and out, and the factor that it is scaled by.  0 height above the sea, 1 sigma, 2 pressure, 3 arbitrary, 4 height
 # above ground, 5 hybrid, 6 theta, 7 depth, 10 hours, 15 and 31 whole numbers, 17 matrix index, 21 pressure metres.
@@ -30,11 +32,6 @@ BAD = -999999
 OK, GOOD_GUESS, TERRIBLE_GUESS, WARNING, ERROR = 0, 2, 8, 32, 64
 
 
-def _bound(x: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def by_kind(kind: Column | int, table: dict, default) -> Column:
     """What a table holds for a kind."""
     if isinstance(kind, int):
@@ -68,7 +65,7 @@ def unit_of(kind: Column) -> Column:
 
 def decode(code: Column) -> tuple[Column, Column]:
     """(value, kind) of a code; of a kind that is not known, (-999999, -1)."""
-    pair = _bound(code, _decode)
+    pair = once(code, _decode)
     return pair["value"], pair["kind"]
 
 
@@ -112,7 +109,7 @@ def _decode(code: Column) -> Column:
         .when((code >= 1800) & (code < 2000), (code - 1800) / 20.0)
         .otherwise(code.cast("double"))
     )
-    modern = _bound(F.struct(kind.cast("int").alias("kind"), number.alias("number")), new)
+    modern = once(F.struct(kind.cast("int").alias("kind"), number.alias("number")), new)
     return F.when(code > 32767, modern).otherwise(F.struct(old.alias("value"), old_kind.cast("int").alias("kind")))
 
 
@@ -120,7 +117,7 @@ def encode(value: Column, kind: Column | int) -> Column:
     """New-style code of a value, with as many digits as its mantissa holds, six or, below zero, four; -999999 out of the
     kind's bounds or of a kind that is not known.  Zero has the greatest power.  A pressure of zero is code 0."""
     k = F.lit(kind) if isinstance(kind, int) else kind
-    return _bound(F.struct(value.cast("double").alias("v"), k.cast("int").alias("k")), _encode)
+    return once(F.struct(value.cast("double").alias("v"), k.cast("int").alias("k")), _encode)
 
 
 def _encode(pair: Column) -> Column:
@@ -141,12 +138,12 @@ def _encode(pair: Column) -> Column:
             n = F.when(m > high, F.lit(-1)).otherwise(F.round(m) + F.when(t < 0, F.lit(OFFSET)).otherwise(F.lit(0)))
             return n.cast("long").bitwiseOR(F.shiftleft(e.cast("long"), 20)).bitwiseOR(F.shiftleft(kind.bitwiseAND(F.lit(15)).cast("long"), 24))
 
-        return _bound(power, whole)
+        return once(power, whole)
 
     number = F.round(value).cast("long")
     integers = F.when(number.between(0, 2_000_000), number.bitwiseOR(F.lit(WHOLE << 24).cast("long"))).otherwise(F.lit(-1))
     known = kind.isin(*BOUNDS) & value.between(by_kind(kind, {k: b[0] for k, b in BOUNDS.items()}, 0.0), by_kind(kind, {k: b[1] for k, b in BOUNDS.items()}, 0.0))
-    code = F.when((kind == 2) & (value == 0), F.lit(0)).when(kind == WHOLE, integers).when(known, _bound(scaled, coded))
+    code = F.when((kind == 2) & (value == 0), F.lit(0)).when(kind == WHOLE, integers).when(known, once(scaled, coded))
     return F.coalesce(code, F.lit(BAD)).cast("long")
 
 
@@ -200,7 +197,7 @@ def encode_ranges(level: Column, time: Column, other: Column) -> Column:
         codes = (encode(p1, rp1["kind"]), encode(p2, rp2["kind"]), encode(p3, k3))
         return F.struct(*[F.when(bad, F.lit(-1)).otherwise(c).alias(f"ip{i}") for i, c in enumerate(codes, 1)], F.when(bad, ERROR).otherwise(OK).alias("status"))
 
-    return _bound(F.struct(level.alias("a"), time.alias("b"), other.alias("c")), made)
+    return once(F.struct(level.alias("a"), time.alias("b"), other.alias("c")), made)
 
 
 def _decoded(code: Column) -> Column:
@@ -233,7 +230,7 @@ def decode_ranges(ip1: Column, ip2: Column, ip3: Column) -> Column:
         return F.struct(level.alias("level"), time.alias("time"), other.alias("other"), status.alias("status"))
 
     held = F.struct(*[c.cast("long").alias(n) for c, n in ((ip1, "ip1"), (ip2, "ip2"), (ip3, "ip3"))], *[_decoded(c.cast("long")).alias(n) for c, n in ((ip1, "a"), (ip2, "b"), (ip3, "c"))])
-    return _bound(held, made)
+    return once(held, made)
 
 
 def encode_pairs(p1: Column, k1: Column, p2: Column, k2: Column, p3: Column, k3: Column) -> Column:
@@ -258,7 +255,7 @@ def encode_pairs(p1: Column, k1: Column, p2: Column, k2: Column, p3: Column, k3:
 
     parts = [p.cast("double").alias(f"p{i}") for i, p in enumerate((p1, p2, p3), 1)] + [k.cast("int").alias(f"k{i}") for i, k in enumerate((k1, k2, k3), 1)]
     parts += [encode(p, k).alias(f"c{i}") for i, (p, k) in enumerate(((p1, k1), (p2, k2), (p3, k3)), 1)]
-    return _bound(F.struct(*parts), made)
+    return once(F.struct(*parts), made)
 
 
 def decode_pairs(ip1: Column, ip2: Column, ip3: Column) -> Column:
@@ -295,12 +292,12 @@ def decode_pairs(ip1: Column, ip2: Column, ip3: Column) -> Column:
         return F.struct(*fields, F.when(x["negative"], F.lit(ERROR)).when(bad, status.bitwiseOR(F.lit(ERROR))).otherwise(status).alias("status"))
 
     held = F.struct(*[c.cast("long").alias(n) for c, n in ((ip1, "ip1"), (ip2, "ip2"), (ip3, "ip3"))], *[_decoded(c.cast("long")).alias(n) for c, n in ((ip1, "a"), (ip2, "b"), (ip3, "c"))])
-    return _bound(_bound(held, swapped), made)
+    return once(once(held, swapped), made)
 
 
 def text_of(value: Column) -> Column:
     """A number as %g writes it: six digits, without zeros at the end, with an exponent below 1e-4 and from 1e6."""
-    return F.when(value == 0, F.lit("0")).otherwise(_bound(value, _text))
+    return F.when(value == 0, F.lit("0")).otherwise(once(value, _text))
 
 
 def _text(value: Column) -> Column:
@@ -325,4 +322,4 @@ def codes_text(ip1: Column, ip2: Column, ip3: Column) -> Column:
             parts += [F.lit(f"IP{i} "), text_of(value), F.lit(" ("), unit_of(kind), F.lit(")" if i == 3 else "), ")]
         return F.concat(*parts)
 
-    return _bound(decode_pairs(ip1, ip2, ip3), made)
+    return once(decode_pairs(ip1, ip2, ip3), made)

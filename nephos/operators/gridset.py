@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nephos.functions.columns import once
 from nephos.functions.sphere import gaussian_latitudes, rotation, turned
 from nephos.operators import grids
 
@@ -215,11 +216,6 @@ class Grid:
         return ij.select("i", "j", lat.alias("lat"), lon.alias("lon"))
 
 
-def _bound(x: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def _below(axis: np.ndarray, value: Column) -> Column:
     """1-based column or row that a value comes after, the first or the last but one beyond the ends; by halving."""
     n, held = len(axis), F.lit(np.asarray(axis, np.float64))
@@ -231,7 +227,7 @@ def _below(axis: np.ndarray, value: Column) -> Column:
             return F.struct(F.when(low, x["lo"]).otherwise(x["mid"]).alias("lo"), F.when(low, x["mid"]).otherwise(x["hi"]).alias("hi"))
 
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        return F.when(s["hi"] - s["lo"] > 1, _bound(F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), mid.alias("mid")), parted)).otherwise(s)
+        return F.when(s["hi"] - s["lo"] > 1, once(F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), mid.alias("mid")), parted)).otherwise(s)
 
     steps = F.sequence(F.lit(1), F.lit(max(1, int(np.ceil(np.log2(n))) + 1)))
     return F.least(F.aggregate(steps, start, halved)["lo"], F.lit(n - 1))
@@ -241,14 +237,14 @@ def position(axis: np.ndarray, value: Column) -> Column:
     """1-based fractional place of a value on an ascending axis, linear beyond its ends."""
     held = F.lit(np.asarray(axis, np.float64))
     between = lambda k, v: k + (v - F.get(held, k - 1)) / (F.get(held, k) - F.get(held, k - 1))
-    return _bound(value, lambda v: _bound(_below(axis, v), lambda k: between(k, v)))
+    return once(value, lambda v: once(_below(axis, v), lambda k: between(k, v)))
 
 
 def along(axis: np.ndarray, place: Column) -> Column:
     """What an axis has at a 1-based fractional place, linear beyond its ends."""
     held = F.lit(np.asarray(axis, np.float64))
     k = F.least(F.greatest(F.floor(place).cast("int"), F.lit(1)), F.lit(len(axis) - 1))
-    return _bound(F.struct(place.cast("double").alias("p"), k.alias("k")), lambda s: F.get(held, s["k"] - 1) + (s["p"] - s["k"]) * (F.get(held, s["k"]) - F.get(held, s["k"] - 1)))
+    return once(F.struct(place.cast("double").alias("p"), k.alias("k")), lambda s: F.get(held, s["k"] - 1) + (s["p"] - s["k"]) * (F.get(held, s["k"]) - F.get(held, s["k"] - 1)))
 
 
 def outside(x: Column, y: Column, grid: Grid) -> Column:
@@ -323,7 +319,7 @@ class Field:
         first, last = (0, 1) if degree == "linear" else (1, 2)
         i = F.floor(x) if wide else F.least(F.greatest(F.floor(x), F.lit(1 + first)), F.lit(ni - last))
         j = F.least(F.greatest(F.floor(y), F.lit(low + first)), F.lit(high - last))
-        return _bound(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), i.alias("i"), j.alias("j")), lambda s: self._stencil(s, degree))
+        return once(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), i.alias("i"), j.alias("j")), lambda s: self._stencil(s, degree))
 
     def _stencil(self, s: Column, degree: str) -> Column:
         dx, dy, i, j = s["x"] - s["i"], s["y"] - s["j"], s["i"], s["j"]
@@ -394,7 +390,7 @@ def _pole_row(grid: Grid, north: bool) -> float:
 def value_over(z: Column, grid: Grid, lat: Column, lon: Column, degree: str = "cubic", **more) -> Column:
     """What a field has at a latitude and longitude."""
     place = F.struct(*[c.cast("double").alias(n) for c, n in zip(grid.locate(lat, lon), ("x", "y"), strict=True)])
-    return _bound(place, lambda p: value_at(z, grid, p["x"], p["y"], degree, **more))
+    return once(place, lambda p: value_at(z, grid, p["x"], p["y"], degree, **more))
 
 
 def targets(rows: DataFrame, grid: Grid) -> DataFrame:
@@ -476,7 +472,7 @@ def wind_at(u: Column, v: Column, grid: Grid, x: Column, y: Column, degree: str
             other = field.sample(p["x"], p["y"], extrapolation) if extrapolation in SAMPLES else F.lit(0.0)
             return F.when(outside(p["x"], p["y"], grid), other).otherwise(value)
 
-        return _bound(place, sampled)
+        return once(place, sampled)
 
     return component(u, 1.0), component(v, -1.0)
 
