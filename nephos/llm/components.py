@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nephos.llm.common import cut
+from nephos.llm.common import cut, gathered
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -32,12 +32,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Repeated links and links of a node to itself do no harm; no links give no rows.
     """
-    now = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = cut(gathered(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     seen = None
     while (sums := _sum_of(now)) != seen and sums[0]:
         seen = sums
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _large_star(both).where("u <> v").distinct()
-        now = cut(_small_star(large).distinct())
+        now = cut(gathered(_small_star(large).distinct()))
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nephos.llm.common import cut, partitions, released, small_batches
+from nephos.llm.common import cut, gathered, partitions, released, small_batches
 from nephos.llm.components import components
 
 #: Collections of minhashes, and minhashes in each.  At a Jaccard likeness of 0.8 a pair misses all tables
@@ -103,7 +103,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (u, v) whose full sets are alike."""
-    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    ids = cut(gathered(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(
@@ -135,13 +135,13 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     """(id, component) of the classes that are linked with another."""
     pairs_of = [F.xxhash64(F.lit(i), F.lit(j), F.col("keys")[i], F.col("keys")[j]) for i, j in combinations(range(COLLECTIONS), 2)]
     rows = classes.select("id", F.col("n").cast("int").alias("n"), F.explode(F.array(*pairs_of)).alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))
+    shared = cut(gathered(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")))
     if not shared.count():
         return None
-    members = cut(rows.join(shared, "key").select("key", "id", "n", "k"))
+    members = cut(gathered(rows.join(shared, "key").select("key", "id", "n", "k")))
     # The more members share its keys, the more central a class is.
     central = members.groupBy("id").agg(F.sum("k").alias("g"))
-    members = cut(members.drop("k").join(central, "id"))
+    members = cut(gathered(members.drop("k").join(central, "id")))
     labels = tested = None
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     for turn in range(LEADER_ROUNDS + 1):
@@ -149,9 +149,9 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
             here = members.withColumn("c", F.col("id"))
         else:
             named = labels.withColumnRenamed("component", "_c")
-            here = cut(members.join(named, "id", "left").select("key", "id", "n", "g", F.coalesce("_c", "id").alias("c")))
+            here = cut(gathered(members.join(named, "id", "left").select("key", "id", "n", "g", F.coalesce("_c", "id").alias("c"))))
             apart = here.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            here = cut(here.join(apart, "key").select("key", "id", "n", "g", "c"))
+            here = cut(gathered(here.join(apart, "key").select("key", "id", "n", "g", "c")))
             members = here.drop("c")
         if turn < LEADER_ROUNDS:
             drawn = F.struct((-F.col("g") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("h"), "id", "n", "c")
@@ -166,10 +166,10 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
         found = found.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
         if tested is not None:
             found = found.join(tested, ["u", "v"], "left_anti")
-        found = cut(found)
+        found = cut(gathered(found))
         if found.count():
             tested = found if tested is None else tested.union(found)
-            links = cut(confirmed(found, docs, words, percent))
+            links = cut(gathered(confirmed(found, docs, words, percent)))
             labels = _merged(labels, links)
     return labels
 
@@ -179,7 +179,7 @@ def _apart(here: DataFrame, odd: DataFrame, near, percent: int) -> DataFrame:
     component, but for those whose odd sketches show that they are not linked."""
     sizes = here.groupBy("key", "c").agg(F.count("*").alias("k"))
     most = sizes.groupBy("key").agg(F.max(F.struct("k", "c"))["c"].alias("most"))
-    drawn = cut(here.select("key", "id", "n", "c").join(odd, "id").join(most, "key"))
+    drawn = cut(gathered(here.select("key", "id", "n", "c").join(odd, "id").join(most, "key")))
     left = drawn.where("c <> most").drop("most")
     right = drawn.select("key", "most", F.col("id").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("odd").alias("parity"))
     differ = reduce(lambda a, b: a + b, [F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("parity")[i])) for i in range(ODD_WORDS)])
@@ -193,17 +193,17 @@ def _apart(here: DataFrame, odd: DataFrame, near, percent: int) -> DataFrame:
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after more links: the old components are the nodes, so the work follows the new links."""
     if labels is None:
-        return cut(components(links))
+        return cut(gathered(components(links)))
     for end in ("u", "v"):
         named = labels.select(F.col("id").alias(end), F.col("component").alias("_c"))
         links = links.join(named, end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
-    links = cut(links)
+    links = cut(gathered(links))
     if not links.count():
         return labels
-    over = cut(components(links))
+    over = cut(gathered(components(links)))
     old = labels.select("id", F.col("component").alias("at")).join(over.select(F.col("id").alias("at"), F.col("component").alias("to")), "at", "left")
     fresh = over.join(labels.select("id"), "id", "left_anti")
-    return cut(old.select("id", F.coalesce("to", "at").alias("component")).union(fresh.select("id", "component")))
+    return cut(gathered(old.select("id", F.coalesce("to", "at").alias("component")).union(fresh.select("id", "component"))))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 80) -> DataFrame:
@@ -225,7 +225,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     labels = _links(named, classes, words, percent)
     place = classes.select("whole", F.col("id").alias("class"))
     if labels is not None:
-        place = cut(place.join(labels.select(F.col("id").alias("class"), "component"), "class", "left").select("whole", F.coalesce("component", "class").alias("class")))
+        place = cut(gathered(place.join(labels.select(F.col("id").alias("class"), "component"), "class", "left").select("whole", F.coalesce("component", "class").alias("class"))))
     linked = full.join(place, "whole").select("id", "n", F.col("class").alias("component_id"))
     rest = sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     unnamed = docs.where("id IS NULL").select("id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("component_id"))
@@ -240,7 +240,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest key; rows that repeat that key all stay."""
     found = groups(docs, key, text, words, percent)
-    gone = cut(found.where("NOT kept").select(F.col(key).alias("_gone")).distinct())
+    gone = cut(gathered(found.where("NOT kept").select(F.col(key).alias("_gone")).distinct()))
     few = gone.count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("_gone"), "left_anti")
     return left
