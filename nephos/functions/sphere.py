@@ -114,3 +114,51 @@ def eta_pressure(level: Column, top: float, surface: Column) -> Column:
 
 def sigma_pressure(level: Column, surface: Column) -> Column:
     return level * surface
+
+
+LAMBERT_RADIUS = 6_371_100.0
+
+
+def _lambert_constants(phi1: float, phi2: float, delta: float) -> tuple[float, float]:
+    c1, s1, s2, c2 = (f(math.radians(v)) for f, v in ((math.cos, phi1), (math.sin, phi1), (math.sin, phi2), (math.cos, phi2)))
+    a, b = math.log(c1 / c2), math.log((1 + s2) / (1 + s1))
+    alpha = a / (a + b)
+    return alpha, LAMBERT_RADIUS * c1 * ((1 + s1) / c1) ** alpha / alpha / delta
+
+
+def conformal_xy(lat: Column, lon: Column, phi1: float, phi2: float, lon0: float, delta: float) -> tuple[Column, Column]:
+    """Grid lengths from the pole in a Lambert projection of two different true parallels; meridians are not drawn together."""
+    alpha, r0 = _lambert_constants(phi1, phi2, delta)
+    r = r0 * F.pow(F.cos(F.radians(lat)) / (1 + F.sin(F.radians(lat))), alpha)
+    return r * F.sin(F.radians(lon - lon0)), -r * F.cos(F.radians(lon - lon0))
+
+
+def conformal_latlon(x: Column, y: Column, phi1: float, phi2: float, lon0: float, delta: float) -> tuple[Column, Column]:
+    """Latitude and longitude of grid lengths from the pole; meridians are drawn together by the cone."""
+    alpha, r0 = _lambert_constants(phi1, phi2, delta)
+    lon = F.when(x != 0, lon0 + F.degrees(F.atan2(x, -y)) / alpha).otherwise(lon0)
+    return 90.0 - 2 * F.degrees(F.atan(F.pow(F.sqrt(x * x + y * y) / r0, 1 / alpha))), lon
+
+
+def hybrid_code(power: Column, reference: Column) -> tuple[Column, Column]:
+    """The two integers of a hybrid coordinate's exponent (1 to 2) and reference pressure (400 to 1050); null out of bounds."""
+    good = reference.between(400, 1050) & power.between(1, 2)
+    return F.when(good, reference.cast("int")), F.when(good, (power * 1000).cast("int"))
+
+
+def hybrid_numbers(g1: Column, g2: Column, g3: Column, g4: Column) -> tuple[Column, Column]:
+    """Exponent and reference pressure of a hybrid coordinate's integers; null if they are out of bounds or others are set."""
+    good = g1.between(400, 1050) & (g2 / 1000).between(1, 2) & (g3 == 0) & (g4 == 0)
+    return F.when(good, g2 / 1000), F.when(good, g1.cast("double"))
+
+
+def level_pressure(kind: Column, level: Column, surface: Column, top: Column, top_level: Column, power: Column, reference: Column) -> Column:
+    """Pressure of a level by its kind: 2 pressure itself in pascals; 1 sigma, or eta with a top, over a lid of its own with the
+    level of that lid, or hybrid with a reference; 5 hybrid.  Others, and hybrid ones without what they need, have none."""
+    raised = F.when(kind == 1, level + (1 - level) * top / reference).otherwise(level)
+    b = F.pow(F.greatest((raised - top / reference) / (1 - top / reference), F.lit(0.0)), power)
+    hybrid = reference * (raised - b) + b * surface
+    lid = (level - top_level) / (1 - top_level)
+    eta = F.when(top_level.isNull(), top * (1 - level) + level * surface).otherwise(lid * (surface - top) + top)
+    sigma = F.when(top.isNotNull() & reference.isNull(), eta).when(reference.isNotNull(), hybrid).otherwise(level * surface)
+    return F.when(kind == 2, level * 100).when(kind == 1, sigma).when(kind == 5, hybrid)

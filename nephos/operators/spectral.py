@@ -48,3 +48,16 @@ def east_derivative(spectrum: DataFrame, factor: float = 1.0) -> DataFrame:
     """Multiplies by i m factor."""
     k = F.col("m") * factor
     return spectrum.withColumns({"re": -F.col("im") * k, "im": F.col("re") * k})
+
+
+def legendre_derivatives(sine: float, waves: int) -> dict[tuple[int, int], float]:
+    """(1 - s^2) dP/ds of the normalised functions, of the functions themselves: (2n + 1) e(n) P(n - 1) - n s P(n)."""
+    p = legendre(sine, waves)
+    return {(m, n): (2 * n + 1) * epsilon(n, m) * p.get((m, n - 1), 0.0) - n * sine * v for (m, n), v in p.items()}
+
+
+def halves_order(rows: DataFrame, m: str = "m", n: str = "n") -> DataFrame:
+    """rows with part (0 where n - m is even, symmetric about the equator, 1 where it is odd) and their place within it by m and n:
+    a count of the smaller ones, which the wave numbers give without a sort."""
+    part = F.pmod(F.col(n) - F.col(m), F.lit(2))
+    return rows.withColumns({"part": part.cast("long"), "place": (F.floor((F.col(n) - F.col(m)) / 2) + 1).cast("long")})
