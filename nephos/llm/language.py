@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nephos.llm.common import cut, released, small_batches, with_fields
+from nephos.llm.common import cut, gathered, released, small_batches, with_fields
 
 #: What a model learns from at most: labelled rows of each language, letters of each such row, letters in all
 #: of a language.  A longer row gives blocks, one from each of so many equal parts.
@@ -25,6 +25,8 @@ PARTS_OF_ROW = 4
 LEAST_LETTERS = SAMPLE_LETTERS // 8
 #: Texts are parsed in blocks of so many letters, so many of them side by side; phrases go on across the blocks' borders.
 BLOCK, SIDE_BY_SIDE = 1024, 4096
+#: Shares of labels are broadcast up to so many, and joined by shuffle beyond it.
+BROADCAST_LABELS = 100_000
 SPACE, OTHER = 0, 1
 #: No code point from here on is a letter.
 LETTERS_END = 0x34000
@@ -265,6 +267,9 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     # Of many hashes the window sees about four times the sample; of 4 * SAMPLE_ROWS or fewer, all.
     share = distinct.groupBy("lang").agg(F.least(F.lit(2.0), F.lit(4.0 * SAMPLE_ROWS) / F.count("*")).alias("share"))
     share = share.withColumn("share", F.when(F.col("share") < 1, F.col("share")).otherwise(2.0))
+    # A row a label; as the labels are few, the texts of a common one need not come to one task.
+    share = cut(gathered(share))
+    share = F.broadcast(share) if share.count() <= BROADCAST_LABELS else share
     few = distinct.join(share, "lang").where(F.col("h") / 2.0**64 + 0.5 < F.col("share")).drop("share")
     drawn = cut(few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_ROWS))
     found = usable.join(F.broadcast(drawn), ["lang", "h"])
