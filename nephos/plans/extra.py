@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,6 +10,7 @@ from nephos.functions import names, sphere
 from nephos.operators import series
 from nephos.operators import vertical as levels
 from nephos.plans.base import GRID_SQL, grid, r4, read
+from nephos.plans.files import shared_folder
 from nephos.streaming import channel
 
 
@@ -129,24 +127,34 @@ def spline(spark, d):
 
 
 def stream_zonal_means(spark, d):
-    """Written through a stream that is drained, then read back; its folder must be shared on a cluster."""
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir")
-    if shared is None and not context.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    top = f"{shared or tempfile.gettempdir()}/nephos-stream-{uuid.uuid4().hex}"
-    events = read(spark, d, "events")
-    channel.send(events.withColumn("at", F.col("ts").cast("timestamp")), f"{top}/in")
-    rows = channel.open_channel(spark, f"{top}/in", spark.read.parquet(f"{top}/in").schema)
-    means = channel.zonal_means(rows, "at", "value", F.col("event_type"), "1 day", "2 days")
-    channel.drain(means, f"{top}/out", f"{top}/state")
-    out = spark.read.schema("start timestamp, zone string, n long, mean double").parquet(f"{top}/out")
+    """Written through a stream that is drained, then read back with the windows that are still open."""
+    top = shared_folder(spark, "stream")
+    events = read(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    channel.send(events, f"{top}/in")
+    sent = spark.read.parquet(f"{top}/in")
+    asked = ("at", "value", F.col("event_type"), "1 day", "2 days")
+    channel.drain(channel.zonal_means(channel.open_channel(spark, f"{top}/in", sent.schema), *asked), f"{top}/out", f"{top}/state")
+    closed = spark.read.schema("start timestamp, zone string, n long, mean double").parquet(f"{top}/out")
+    out = closed.union(channel.open_windows(sent, *asked))
     return out.select(F.unix_seconds("start").alias("start"), "zone", "n", F.round("mean", 6).alias("mean"))
 
 
+def stream_channel(spark, d):
+    """Typed elements sent in two goes over one channel and read once each, the whole numbers among them."""
+    top = shared_folder(spark, "channel")
+    n = F.col("event_id")
+    kind = F.element_at(F.array(F.lit("C"), F.lit("I"), F.lit("R"), F.lit("D")), (n % 4 + 1).cast("int"))
+    elements = read(spark, d, "events").select("event_id", kind.alias("kind"), F.when(kind == "C", F.col("event_type")).when(kind == "I", n.cast("string")).otherwise(F.col("value").cast("string")).alias("value"))
+    for part in (0, 1):
+        channel.send(elements.where(n % 2 == part), f"{top}/in")
+        stream = channel.open_channel(spark, f"{top}/in", elements.schema)
+        channel.drain(channel.of_type(stream, "I"), f"{top}/out", f"{top}/state")
+    return spark.read.schema("event_id long, kind string, value int").parquet(f"{top}/out")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (sphere_distance_area, rotated_frame, latlon_gaussian_index, lambert, pressure_levels, map_scale_coriolis, base40_names, element_codes, file_names, edge_derivative, coarse_reversed, lorenzo_residual, fourier, fourier_back, matrix_product, spline, stream_zonal_means)
+    for f in (sphere_distance_area, rotated_frame, latlon_gaussian_index, lambert, pressure_levels, map_scale_coriolis, base40_names, element_codes, file_names, edge_derivative, coarse_reversed, lorenzo_residual, fourier, fourier_back, matrix_product, spline, stream_zonal_means, stream_channel)
 }
 _P = "(SELECT s_suppkey, ((s_suppkey * 7) % 80 + 5)::DOUBLE AS lat, ((s_suppkey * 31) % 360)::DOUBLE AS lon FROM supplier)"
 _CHARS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ/?: "
@@ -204,6 +212,6 @@ ORACLE_SQL = {
     "fourier_back": f"SELECT a.vec_id, a.k, round((a.v + b.v) / 2, 4) AS value FROM {_E} a JOIN {_E} b ON a.vec_id = b.vec_id AND b.k = (a.k + 32) % 64",
     "matrix_product": "SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS v FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0",
     "spline": _spline_sql(),
-    "stream_zonal_means": """WITH e AS (SELECT floor(epoch(ts) / 86400)::BIGINT * 86400 AS start, event_type AS zone, value, epoch(ts) AS t FROM events)
-        SELECT start, zone, count(*) AS n, round(avg(value), 6) AS mean FROM e WHERE start + 86400 <= (SELECT max(t) FROM e) - 2 * 86400 GROUP BY 1, 2""",
+    "stream_zonal_means": "SELECT floor(epoch(ts) / 86400)::BIGINT * 86400 AS start, event_type AS zone, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",
+    "stream_channel": "SELECT event_id, 'I' AS kind, event_id::INTEGER AS value FROM events WHERE event_id % 4 = 1",
 }

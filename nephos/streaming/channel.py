@@ -32,6 +32,17 @@ def zonal_means(rows: DataFrame, at: str, value: str, zone, length: str, late: s
     )
 
 
+def open_windows(sent: DataFrame, at: str, value: str, zone, length: str, late: str) -> DataFrame:
+    """What zonal_means() has not closed yet of the rows sent: the windows that end after the latest time less the delay.
+
+    With what the stream has written, that is the whole of a channel that nothing more is sent to.
+    """
+    latest = sent.agg((F.max(at) - F.expr(f"INTERVAL {late}")).alias("_until"))
+    means = sent.groupBy(F.window(at, length), zone.alias("zone")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    left = means.join(F.broadcast(latest), F.col("window.end") > F.col("_until"))  # latest is one row
+    return left.select(F.col("window.start").alias("start"), "zone", "n", "mean")
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over what is there and stop; restarted with the same checkpoint, it goes on where it stopped."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
