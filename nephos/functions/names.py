@@ -48,3 +48,41 @@ def block_parts(code: Column) -> tuple[Column, Column, Column]:
 def file_name(prefix: Column, at: Column, hour: Column) -> Column:
     """prefix, date and hour of the run, underscore and three digits of forecast hour."""
     return F.concat(prefix, F.date_format(at, "yyyyMMddHH"), F.lit("_"), F.lpad(hour.cast("string"), 3, "0"))
+
+
+# Text as callers of both languages hold it.
+
+
+def trimmed_length(text: Column) -> Column:
+    """Length without blanks at the end."""
+    return F.length(F.rtrim(text))
+
+
+def padded(text: Column, width: int) -> Column:
+    """Exactly so many characters: cut off, or blanks at the end."""
+    return F.rpad(F.substring(text, 1, width), width, " ")
+
+
+def same_name(name: Column, wanted: Column, whole: bool = True) -> Column:
+    """Whether names agree in either case and without blanks at the end, or start so."""
+    a, b = F.upper(F.rtrim(name)), F.upper(F.rtrim(wanted))
+    return a == b if whole else a.startswith(b)
+
+
+def all_letters(text: Column) -> Column:
+    return text.rlike("^[A-Za-z]+$")
+
+
+def last_part(path: Column) -> Column:
+    """What follows the last slash of a path that does not end in one."""
+    return F.regexp_extract(F.regexp_replace(path, "/+$", ""), "([^/]*)$", 1)
+
+
+def word_of(text: Column) -> Column:
+    """Four characters as a 32-bit word, the first highest; blanks fill shorter ones."""
+    codes = [F.ascii(F.substring(F.rpad(text, 4, " "), k, 1)).cast("long") for k in range(1, 5)]
+    return codes[0] * (1 << 24) + codes[1] * (1 << 16) + codes[2] * (1 << 8) + codes[3]
+
+
+def text_of_word(word: Column) -> Column:
+    return F.concat(*[F.char(F.shiftright(word, s).bitwiseAND(F.lit(255))) for s in (24, 16, 8, 0)])

@@ -16,12 +16,12 @@ MAGIC = {
 
 
 def file_type(content: Column) -> Column:
-    """Type by first bytes; record files by their marks STDR and STDS at byte 8; text if all of the start is printable; else unknown."""
+    """Type by first bytes; record files by their marks STDR and STDS at byte 12; text if all of the start is printable; else unknown."""
     head = F.hex(F.substring(content, 1, 64))
     chain = F.when(F.length(content) == 0, "empty")
     for name, mark in MAGIC.items():
         chain = chain.when(head.startswith(mark), name)
-    label = F.decode(F.substring(content, 9, 4), "US-ASCII")
+    label = F.decode(F.substring(content, 13, 4), "US-ASCII")
     chain = chain.when(label == "STDR", "records random").when(label == "STDS", "records sequential")
     first = F.conv(F.hex(F.substring(content, 1, 4)), 16, 10).cast("long")
     size = F.length(content).cast("long")
