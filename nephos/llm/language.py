@@ -284,8 +284,8 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return model
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add lang_pred and score of every whole text; `und` and 0 where it is null or has no letter.
+def identify(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add language and score, as lang_pred and score or as named, of every whole text; `und` and 0 where it is null or has no letter.
 
     Ties go to the first language in order of names; columns of the new names are replaced, others stay.  Repeated rows are
     predicted alike and all stay; no rows give no rows.
@@ -301,12 +301,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         learned = shared.value
         table = learned.classes()
         for texts in batches:
-            yield pd.DataFrame(learned.predict(list(texts), table), columns=["lang_pred", "score"])
+            yield pd.DataFrame(learned.predict(list(texts), table), columns=list(into))
 
     predicted.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    made = F.pandas_udf(predicted, "lang_pred string, score double")
+    made = F.pandas_udf(predicted, f"`{into[0]}` string, `{into[1]}` double")
     # Marked so that a filter on the prediction does not get an evaluation of its own.
-    return with_fields(docs, made.asNondeterministic()(F.col(text)), ["lang_pred", "score"])
+    return with_fields(docs, made.asNondeterministic()(F.col(text)), list(into))
 
 
 def digest(documents: DataFrame) -> DataFrame:

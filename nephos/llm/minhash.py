@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nephos.llm.common import cut, gathered, partitions, released, small_batches
+from nephos.llm.common import cut, gathered, partitions, released, small_batches, unused
 from nephos.llm.components import components
 
 #: Collections of minhashes, and minhashes in each.  At a Jaccard likeness of 0.8 a pair misses all tables
@@ -240,10 +240,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest key; rows that repeat that key all stay."""
     found = groups(docs, key, text, words, percent)
-    gone = cut(gathered(found.where("NOT kept").select(F.col(key).alias("_gone")).distinct()))
+    name = unused("_gone", docs)
+    gone = cut(gathered(found.where("NOT kept").select(F.col(key).alias(name)).distinct()))
     few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("_gone"), "left_anti")
-    return left
+    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{key}`") == F.col(name), "left_anti")
 
 
 def digest(documents: DataFrame) -> DataFrame:
