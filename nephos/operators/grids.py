@@ -77,17 +77,19 @@ def extrapolated(value: Column, out: Column, how: str, field: Column, given: flo
 def cells_average(source: DataFrame, target: DataFrame, low: str, high: str, value: str, key: str) -> DataFrame:
     """Means over target intervals, weighted by overlap.
 
-    source has (low, high, value) and target (key, low, high).  Both are cut into unit cells and met by an
-    equi-join on the cell, so the work follows the overlaps, not the product of the tables.
+    source has (low, high, value) and target (key, low, high).  Both are cut into cells, as wide as their intervals are
+    on average, and met by an equi-join on the cell, so the work follows the overlaps, not the product of the tables.
     """
+    length = F.avg(F.col(high) - F.col(low))
+    width = max(1.0, *(float(df.where(F.col(high) > F.col(low)).agg(length).first()[0] or 1.0) for df in (source, target)))
 
     def cut_up(df: DataFrame) -> DataFrame:
-        cells = F.sequence(F.floor(low).cast("long"), (F.ceil(high) - 1).cast("long"))
+        cells = F.sequence(F.floor(F.col(low) / width).cast("long"), (F.ceil(F.col(high) / width) - 1).cast("long"))
         return df.where(F.col(high) > F.col(low)).withColumn("_cell", F.explode(cells))
 
     s = cut_up(source.select(low, high, value)).select("_cell", F.col(low).alias("_sl"), F.col(high).alias("_sh"), F.col(value).alias("_v"))
     t = cut_up(target.select(key, low, high))
-    over = F.least("_sh", high, F.col("_cell") + 1.0) - F.greatest("_sl", low, F.col("_cell") + 0.0)
+    over = F.least("_sh", high, (F.col("_cell") + 1) * F.lit(width)) - F.greatest("_sl", low, F.col("_cell") * F.lit(width))
     met = t.join(s, "_cell").withColumn("_w", over).where("_w > 0")
     return met.groupBy(key).agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("mean"), F.sum("_w").alias("overlap"))
 

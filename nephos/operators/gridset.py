@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nephos.functions.columns import once
+from nephos.functions.columns import last_below, once
 from nephos.functions.sphere import gaussian_latitudes, rotation, turned
 from nephos.operators import grids
 
@@ -217,20 +217,9 @@ class Grid:
 
 
 def _below(axis: np.ndarray, value: Column) -> Column:
-    """1-based column or row that a value comes after, the first or the last but one beyond the ends; by halving."""
-    n, held = len(axis), F.lit(np.asarray(axis, np.float64))
-    start = F.struct(F.lit(1).alias("lo"), F.lit(n).alias("hi"))
-
-    def halved(s: Column, _: Column) -> Column:
-        def parted(x: Column) -> Column:
-            low = value <= F.get(held, x["mid"] - 1)
-            return F.struct(F.when(low, x["lo"]).otherwise(x["mid"]).alias("lo"), F.when(low, x["mid"]).otherwise(x["hi"]).alias("hi"))
-
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        return F.when(s["hi"] - s["lo"] > 1, once(F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), mid.alias("mid")), parted)).otherwise(s)
-
-    steps = F.sequence(F.lit(1), F.lit(max(1, int(np.ceil(np.log2(n))) + 1)))
-    return F.least(F.aggregate(steps, start, halved)["lo"], F.lit(n - 1))
+    """1-based column or row that a value comes after, the first or the last but one beyond the ends."""
+    place = last_below(F.lit(np.asarray(axis, np.float64)), value, False)
+    return F.least(F.greatest(place, F.lit(1)), F.lit(len(axis) - 1))
 
 
 def position(axis: np.ndarray, value: Column) -> Column:

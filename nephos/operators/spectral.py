@@ -1,9 +1,11 @@
-"""Spectral transforms: Legendre tables on the driver, sums as joins with partial aggregation."""
+"""Spectral transforms: Legendre tables by latitude, sums as joins with partial aggregation."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +28,16 @@ def legendre(sine: float, waves: int) -> dict[tuple[int, int], float]:
 
 
 def legendre_table(spark: SparkSession, latitudes: list[float], waves: int) -> DataFrame:
-    """(lat, m, n, p): a row for each latitude and pair of wave numbers."""
-    rows = [(i + 1, m, n, p) for i, lat in enumerate(latitudes) for (m, n), p in legendre(math.sin(math.radians(lat)), waves).items()]
-    return spark.createDataFrame(rows, "lat int, m int, n int, p double")
+    """(lat, m, n, p): a row for each latitude and pair of wave numbers, made where the latitudes are dealt."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, degrees in zip(batch["lat"], batch["degrees"], strict=True):
+                table = legendre(math.sin(math.radians(degrees)), waves)
+                yield pd.DataFrame([(i, m, n, p) for (m, n), p in table.items()], columns=["lat", "m", "n", "p"])
+
+    places = spark.createDataFrame(list(enumerate(map(float, latitudes), 1)), "lat int, degrees double")
+    return places.repartition(max(1, min(len(latitudes), 200)), "lat").mapInPandas(made, "lat int, m int, n int, p double")
 
 
 def to_latitudes(spectrum: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nephos.functions.columns import last_below
+
 
 def columns_of(source: DataFrame, point: str, level: str, state: str, slope: str | None = None) -> DataFrame:
     """(point, lev, sta[, der]): the levels of each point in ascending order, one of those that repeat a level."""
@@ -24,8 +26,7 @@ def columns_of(source: DataFrame, point: str, level: str, state: str, slope: str
 
 def position(target: Column) -> Column:
     """Number from 1 of the source level just below the target, kept between 1 and the last but one."""
-    below = F.size(F.filter("lev", lambda x: x <= target))
-    return F.greatest(F.lit(1), F.least(below, F.size("lev") - 1))
+    return F.greatest(F.lit(1), F.least(last_below(F.col("lev"), target, True), F.size("lev") - 1))
 
 
 def _at(array: str, n: Column) -> Column:
@@ -47,6 +48,12 @@ def joined(columns: DataFrame, targets: DataFrame, point: str, level: str) -> Da
     return targets.join(columns, point).where(F.size("lev") >= 2).withColumn("_t", t).withColumn("pos", position(F.col("_t")))
 
 
+def at_targets(columns: DataFrame, targets: Column, into: str = "t") -> DataFrame:
+    """Each column once for every target of an array, without a join: what joined() gives for targets of one's own row."""
+    rows = columns.where(F.size("lev") >= 2).select("*", F.posexplode(targets).alias("place", into))
+    return rows.withColumn("_t", F.col(into).cast("double")).withColumn("pos", position(F.col("_t")))
+
+
 def linear(rows: DataFrame, down: bool = False, up: bool = False, into: str = "value") -> DataFrame:
     p, t = F.col("pos"), F.col("_t")
     l1, l2, s1, s2 = _at("lev", p), _at("lev", p + 1), _at("sta", p), _at("sta", p + 1)

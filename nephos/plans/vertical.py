@@ -13,9 +13,8 @@ STEP, TARGETS = 86_400.0, 31
 def _joined(spark, d, slope=False):
     e = read(spark, d, "events").withColumn("lev", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")).withColumn("der", F.col("value") / 1e5)
     columns = ops.columns_of(e, "user_id", "lev", "value", "der" if slope else None)
-    start = F.lit(1_704_067_200.0)
-    targets = e.select("user_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(-1), F.lit(TARGETS)))).withColumn("t", start + F.col("k") * STEP)
-    return ops.joined(columns, targets, "user_id", "t").withColumn("k", F.col("k").cast("long"))
+    days = F.transform(F.sequence(F.lit(-1), F.lit(TARGETS)), lambda k: F.lit(1_704_067_200.0) + k * STEP)
+    return ops.at_targets(columns, days).withColumn("k", (F.col("place") - 1).cast("long"))
 
 
 def _out(rows, *names):
