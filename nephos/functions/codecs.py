@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,3 +86,23 @@ def differences(values: Column) -> Column:
 
 def sums(steps: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.aggregate(F.slice(steps, 1, n), F.lit(0.0), lambda a, x: a + x))
+
+
+#: What stands for missing in fields of reals, of signed integers of 32, 16 and 8 bits, and of unsigned ones.
+MISSING_FLAGS = {"real": -1.0e38, "i4": -(1 << 31), "i2": -(1 << 15), "i1": -(1 << 7), "u4": (1 << 32) - 1, "u2": (1 << 16) - 1, "u1": (1 << 8) - 1}
+
+
+def from_flag(value: Column, kind: str, flags: dict | None = None) -> Column:
+    """Null where a field has the kind's flag."""
+    return F.when(value != (MISSING_FLAGS | (flags or {}))[kind], value)
+
+
+def to_flag(value: Column, kind: str, flags: dict | None = None) -> Column:
+    return F.coalesce(value, F.lit((MISSING_FLAGS | (flags or {}))[kind]))
+
+
+def hmac_md5(data: Column, key: bytes) -> Column:
+    """Keyed digest of bytes, in hexadecimal; a key beyond 64 bytes counts by its own digest."""
+    key = hashlib.md5(key).digest() if len(key) > 64 else key
+    inner, outer = (bytes(k ^ pad for k in key.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    return F.md5(F.concat(F.lit(bytearray(outer)), F.unhex(F.md5(F.concat(F.lit(bytearray(inner)), data)))))

@@ -162,3 +162,35 @@ def level_pressure(kind: Column, level: Column, surface: Column, top: Column, to
     eta = F.when(top_level.isNull(), top * (1 - level) + level * surface).otherwise(lid * (surface - top) + top)
     sigma = F.when(top.isNotNull() & reference.isNull(), eta).when(reference.isNotNull(), hybrid).otherwise(level * surface)
     return F.when(kind == 2, level * 100).when(kind == 1, sigma).when(kind == 5, hybrid)
+
+
+def local_xy(lat: Column, lon: Column, clat: float, clon: float, d60: float, ni: int, nj: int) -> tuple[Column, Column]:
+    """Grid indices of a stereographic projection around a point, which is the grid's centre; d60 metres a grid length."""
+    a, c, d = F.radians(lat), math.radians(clat), F.radians(lon - clon)
+    k = 2.0 / (1.0 + math.sin(c) * F.sin(a) + math.cos(c) * F.cos(a) * F.cos(d))
+    x = 6_371_000.0 * k * F.cos(a) * F.sin(d)
+    y = 6_371_000.0 * k * (math.cos(c) * F.sin(a) - math.sin(c) * F.cos(a) * F.cos(d))
+    return x / d60 + (ni + 1) * 0.5, y / d60 + (nj + 1) * 0.5
+
+
+def local_latlon(x: Column, y: Column, clat: float, clon: float, d60: float, ni: int, nj: int) -> tuple[Column, Column]:
+    px, py = (x - (ni + 1) * 0.5) * d60, (y - (nj + 1) * 0.5) * d60
+    rho, c = F.sqrt(px * px + py * py), math.radians(clat)
+    angle = 2.0 * F.atan(rho / (2.0 * 6_371_000.0))
+    sine = F.cos(angle) * math.sin(c) + py * F.sin(angle) * math.cos(c) / rho
+    lat = F.degrees(F.asin(F.least(F.greatest(sine, F.lit(-1.0)), F.lit(1.0))))
+    lon = clon + F.degrees(F.atan2(px * F.sin(angle), rho * math.cos(c) * F.cos(angle) - py * math.sin(c) * F.sin(angle)))
+    return F.when(rho == 0, clat).otherwise(lat), F.pmod(F.when(rho == 0, clon).otherwise(lon), F.lit(360.0))
+
+
+def lambert_latlon(x: Column, y: Column, lat1: float, lat2: float, lat0: float, lon0: float) -> tuple[Column, Column]:
+    """The inverse of lambert_xy."""
+    a, b, c = (math.radians(v) for v in (lat1, lat2, lat0))
+    tan = lambda v: math.tan(math.pi / 4 + v / 2)
+    n = math.sin(a) if lat1 == lat2 else math.log(math.cos(a) / math.cos(b)) / math.log(tan(b) / tan(a))
+    f = math.cos(a) * tan(a) ** n / n
+    rho0 = RADIUS * f / tan(c) ** n
+    rho = math.copysign(1.0, n) * F.sqrt(x * x + (rho0 - y) * (rho0 - y))
+    theta = F.atan2(x, rho0 - y)
+    lat = F.degrees(2 * F.atan(F.pow(RADIUS * f / rho, 1 / n)) - math.pi / 2)
+    return lat, F.pmod(lon0 + F.degrees(theta) / n, F.lit(360.0))

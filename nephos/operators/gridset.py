@@ -480,3 +480,61 @@ def winds_regridded(rows: DataFrame, u: str, v: str, source: Grid, target: Grid,
     points = points.withColumns({"speed": speed, "direction": direction})
     gu, gv = components(target, F.col("speed"), F.col("direction"), lat, lon)
     return points.withColumns({"u_grid": gu, "v_grid": gv}).drop("_u", "_v")
+
+
+# Options of interpolation, as names and values that may come from a file.
+
+#: Other names of options and of their values.
+OPTION_NAMES = {"correction_polaire": "polar_correction", "degre_interp": "interp_degree", "degre_extrap": "extrap_degree", "use_1sousgrille": "use_1subgrid"}
+VALUE_NAMES = {"oui": "yes", "ouiouioui": "yesyesyes", "non": "no", "voisin": "nearest", "lineair": "linear", "lineaire": "linear", "cubique": "cubic", "neutre": "neutral", "valeur": "value"}
+ALLOWED = {
+    "interp_degree": ("nearest", "linear", "cubic", "average", "sph_average"), "extrap_degree": ("neutral", "nearest", "linear", "cubic", "maximum", "minimum", "value", "abort"),
+    "polar_correction": ("yes", "no"), "use_1subgrid": ("yes", "no"), "verbose": ("yes", "yesyesyes", "no"), "cloud_interp_alg": ("linear", "distance"),
+}
+DEFAULTS = {
+    "interp_degree": "cubic", "extrap_degree": "maximum", "polar_correction": "yes", "use_1subgrid": "no", "verbose": "no", "cloud_interp_alg": "distance",
+    "extrap_value": 0.0, "missing_gridpt_distance": 0.5, "missing_distance_threshold": 3.0, "weight_number": 16, "missing_points_tolerance": 0, "subgridid": -1,
+}
+
+
+class Options:
+    """Options by name, in either language and case; an unknown name or value is an error."""
+
+    def __init__(self):
+        self.values = dict(DEFAULTS)
+
+    def set(self, name: str, value: str | float) -> "Options":
+        name = OPTION_NAMES.get(name.lower(), name.lower())
+        if name not in self.values:
+            raise ValueError(f"no option {name}")
+        if name in ALLOWED:
+            value = VALUE_NAMES.get(str(value).lower(), str(value).lower())
+            if value not in ALLOWED[name]:
+                raise ValueError(f"{value} is no value of {name}")
+        elif name == "weight_number" and not 1 <= int(value) <= 16:
+            raise ValueError("a cloud's point has 1 to 16 neighbours")
+        self.values[name] = type(DEFAULTS[name])(value)
+        return self
+
+    def get(self, name: str) -> str | float:
+        return self.values[OPTION_NAMES.get(name.lower(), name.lower())]
+
+    def regridded(self, rows: DataFrame, field: str, source: Grid, target: Grid, into: str = "value") -> DataFrame:
+        """regridded() as the options say."""
+        degree = self.get("interp_degree")
+        return regridded(rows, field, source, target, degree if degree in SAMPLES else "linear", into, extrapolation=self.get("extrap_degree"), given=self.get("extrap_value"))
+
+
+def stencil(i: Column, j: Column, ni: int, nj: int, part: int = GLOBE) -> Column:
+    """The 4 by 4 points around (i, j) to (i + 1, j + 1) as structs of column, row and sign, rows first: columns go round, rows
+    beyond a pole are met on its other side half a turn on, and on half of the globe those beyond the equator mirrored, with a
+    sign of -1."""
+
+    def row(dj: Column) -> Column:
+        y = j + dj
+        over = ((y < 1) & F.lit(part != NORTH)) | ((y > nj) & F.lit(part != SOUTH))
+        beyond = F.when(y < 1, 1 - y).when(y > nj, 2 * nj + 1 - y).otherwise(y)
+        sign = F.when((y < 1) & F.lit(part == NORTH), -1).when((y > nj) & F.lit(part == SOUTH), -1).otherwise(1)
+        return F.transform(F.sequence(F.lit(-1), F.lit(2)), lambda di: F.struct((F.pmod(i + di - 1 + F.when(over, ni // 2).otherwise(0), F.lit(ni)) + 1).cast("int").alias("column"), beyond.cast("int").alias("row"), sign.alias("sign")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(2)), row))

@@ -223,6 +223,57 @@ def erase(path: str, handles: list[int]) -> int:
     return done
 
 
+def restore(path: str, handles: list[int]) -> int:
+    """Records of one file that were erased are valid again; how many."""
+    addresses, done = page_addresses(path), 0
+    with open(path, "r+b") as f:
+        for h in handles:
+            page, place = h >> 19 & 0xFFF, h >> 10 & 0x1FF
+            following, entries, _ = read_page(path, addresses[page])
+            w = entries[place]
+            if not w[0] >> 31:
+                continue
+            w[0] = VALID << 24 | w[0] & 0xFFFFFF
+            f.seek((w[1] - 1) * 8)
+            f.write(struct.pack(">I", w[0]))
+            f.seek((addresses[page] - 1) * 8)
+            f.write(page_bytes(addresses[page], following, entries))
+            f.flush()
+            done += 1
+        f.seek(48)
+        erased, left = struct.unpack(">II", f.read(8))
+        f.seek(48)
+        f.write(struct.pack(">II", erased - done, left + done))
+    return done
+
+
+def sign(path: str, signature: str) -> None:
+    """Give a file another four letters of signature."""
+    file_header(path)
+    with open(path, "r+b") as f:
+        f.seek(12)
+        f.write(signature.encode("ascii").ljust(4)[:4])
+
+
+def truncate(path: str, size: int) -> None:
+    """Cut a file off after so many bytes."""
+    os.truncate(path, size)
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each file of a folder with its header's numbers."""
+    names = ["version", "signature", "size", "rewrites", "extensions", "pages", "largest", "primary", "primary_length", "auxiliary", "auxiliary_length", "erasures", "records"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            heads = [file_header(name) for name in batch["file"]]
+            yield pd.DataFrame({"file": [os.path.basename(n) for n in batch["file"]]} | {c: [h[c] for h in heads] for c in names})
+
+    paths = files(path)
+    named = spark.createDataFrame([(p,) for p in paths], "file string").repartition(max(1, min(len(paths), 1000)), "file")
+    return named.mapInPandas(run, "file string, " + ", ".join(f"{c} {'string' if c in ('version', 'signature') else 'long'}" for c in names))
+
+
 def erase_rows(rows: DataFrame, path: str) -> DataFrame:
     """(file, n): the records (file, handle) of a folder's files, erased where a task holds a file's handles; how many were valid.
     What was erased by a task that is repeated counts for the first time only."""
