@@ -11,7 +11,7 @@ from nephos.operators import gridset
 from nephos.plans.base import r4, read
 from nephos.plans.defined import GRIDS, HALVES
 from nephos.plans.files import _records, shared_folder
-from nephos.sources import recordfile
+from nephos.sources import recordfile, tokens
 
 
 def _places(spark, d):
@@ -85,7 +85,21 @@ def record_file_headers(spark, d):
     return recordfile.headers(spark, top).drop("file").crossJoin(F.broadcast(sound))  # sound is one row
 
 
-QUERIES = {f.__name__: f for f in (local_stereographic, lambert_back, hash_hmac, missing_flags, grid_options, field_by_options, grid_halves, stencil_points, record_file_headers)}
+def _tokens(spark, d):
+    """Embeddings as smooth whole numbers: running sums of small steps, of up to 11 bits."""
+    step = lambda x: F.floor(F.abs(x.cast("double")) * 20).cast("long")
+    return read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x, k: step(x) + k * (F.col("vec_id") % 5)).alias("z"))
+
+
+def _packed_query(way):
+    def query(spark, d):
+        c = _tokens(spark, d).withColumn("b", tokens.compressed(F.col("z"), 8, 11, way)).withColumn("back", tokens.uncompressed(F.col("b"), 8, 8))
+        return c.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), F.hex(F.substring("b", 1, 4)).alias("head"), F.aggregate(F.transform("back", lambda x, k: x * (k + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+    return query
+
+
+QUERIES = {"tokens_minimum": _packed_query(tokens.MINIMUM), "tokens_parallelogram": _packed_query(tokens.PARALLELOGRAM)} | {f.__name__: f for f in (local_stereographic, lambert_back, hash_hmac, missing_flags, grid_options, field_by_options, grid_halves, stencil_points, record_file_headers)}
 _P = "(SELECT s_suppkey, s_suppkey * 7 % 50 + 20.0::DOUBLE AS lat, s_suppkey * 31 % 90 + 225.5::DOUBLE AS lon FROM supplier)"
 
 
@@ -119,3 +133,12 @@ ORACLE_SQL = {
     "record_file_headers": """WITH n AS (SELECT count(*) AS n, sum(10 + (64 * CASE vec_id % 3 WHEN 0 THEN 32 WHEN 1 THEN 64 ELSE 13 END + 183) // 64) AS size FROM embeddings)
         SELECT 'XDF0' AS version, 'TEST' AS signature, (26 + ceil(n / 256.0) * 2308 + size)::BIGINT AS size, 0 AS rewrites, n AS extensions, ceil(n / 256.0)::BIGINT AS pages, 76 AS largest, 16 AS primary, 9 AS primary_length, 2 AS auxiliary, 1 AS auxiliary_length, 15 AS erasures, n - 15 AS records, true AS sound FROM n""",
 }
+_Z = """z AS (SELECT vec_id, k // 8 AS j, k % 8 AS i, k, floor(abs(embedding[k + 1]::DOUBLE) * 20)::BIGINT + k * (vec_id % 5) AS v FROM embeddings, range(0, 64) r(k))"""
+_BYTES = "CASE WHEN 4 + (bits + 32) // 32 * 4 < 128 THEN 4 + (bits + 32) // 32 * 4 END"
+_LEN = "CASE WHEN {v} = 0 THEN 0 ELSE floor(log2({v}))::BIGINT + 1 END"
+_TOTAL = "SELECT vec_id, sum(v * (k + 1))::BIGINT AS total FROM z GROUP BY 1"
+ORACLE_SQL["tokens_minimum"] = f"""WITH {_Z}, t AS (SELECT vec_id, i // 5 AS a, j // 5 AS b, count(*) AS n, max(v) - min(v) AS w FROM z GROUP BY 1, 2, 3), s AS (SELECT vec_id, sum(15 + n * {_LEN.format(v='w')})::BIGINT AS bits FROM t GROUP BY 1), u AS ({_TOTAL})
+    SELECT vec_id, {_BYTES}::BIGINT AS n_bytes, CASE WHEN {_BYTES} IS NOT NULL THEN printf('%08X', (3 << 28) + (5 << 22) + (11 << 17) + (1 << 14)) END AS head, CASE WHEN {_BYTES} IS NOT NULL THEN total END AS total FROM s JOIN u USING (vec_id)"""
+ORACLE_SQL["tokens_parallelogram"] = f"""WITH {_Z}, d AS (SELECT a.vec_id, a.i, a.j, abs(a.v - b.v - c.v + e.v) AS d FROM z a JOIN z b ON b.vec_id = a.vec_id AND b.k = a.k - 1 JOIN z c ON c.vec_id = a.vec_id AND c.k = a.k - 8 JOIN z e ON e.vec_id = a.vec_id AND e.k = a.k - 9 WHERE a.i > 0 AND a.j > 0),
+    t AS (SELECT vec_id, (i - 1) // 3 AS a, (j - 1) // 3 AS b, count(*) AS n, max(d) AS w FROM d GROUP BY 1, 2, 3), s AS (SELECT vec_id, (3 + 15 * 11 + sum(4 + CASE WHEN w = 0 THEN 0 ELSE n * (1 + {_LEN.format(v='w')}) END))::BIGINT AS bits FROM t GROUP BY 1), u AS ({_TOTAL})
+    SELECT vec_id, {_BYTES}::BIGINT AS n_bytes, CASE WHEN {_BYTES} IS NOT NULL THEN printf('%08X', (4 << 28) + (1 << 25) + (3 << 22) + (11 << 17) + (1 << 14)) END AS head, CASE WHEN {_BYTES} IS NOT NULL THEN total END AS total FROM s JOIN u USING (vec_id)"""
