@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,11 @@ def last_below(axis: Column, value: Column, equal: bool) -> Column:
 
     steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(axis) + 1)).cast("int") + 1)
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), (F.size(axis) + 1).alias("hi")), halved)["lo"]
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like this one that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nephos.functions.columns import unused
+
 
 def argsort(rows: DataFrame, value: str, tie: str, by: list[str]) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(value, tie)))
@@ -13,7 +15,8 @@ def argsort(rows: DataFrame, value: str, tie: str, by: list[str]) -> DataFrame:
 def top(rows: DataFrame, value: str, tie: str, k: int, by: list[str]) -> DataFrame:
     """The k rows of each group with the greatest values."""
     w = Window.partitionBy(*by).orderBy(F.col(value).desc(), F.col(tie))
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    n = unused("_n", rows)
+    return rows.withColumn(n, F.row_number().over(w)).where(F.col(n) <= k).drop(n)
 
 
 #: Ranges of the position that rows are numbered in, each by itself.
@@ -26,18 +29,20 @@ def numbered(rows: DataFrame, position: str, into: str = "place") -> DataFrame:
     share = [i / RANGES for i in range(1, RANGES)]
     edges = sorted(set(rows.agg(F.percentile_approx(position, share, 10_000)).first()[0] or []))
     inside = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(position))) if edges else F.lit(0)
-    ranged = rows.withColumn("_range", F.coalesce(F.when(F.col(position).isNotNull(), inside), F.lit(-1)))
-    ends = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    held, own, first_of = unused("_range", rows), unused("_at", rows), unused("_before", rows)
+    ranged = rows.withColumn(held, F.coalesce(F.when(F.col(position).isNotNull(), inside), F.lit(-1)))
+    ends = ranged.groupBy(held).agg(F.count("*").alias("n"))
     # As many rows as there are ranges.
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = F.broadcast(ends.select("_range", before.alias("_before")))
-    at = F.row_number().over(Window.partitionBy("_range").orderBy(position))
-    return ranged.withColumn("_at", at).join(first, "_range").withColumn(into, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+    before = F.coalesce(F.sum("n").over(Window.orderBy(held).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.broadcast(ends.select(held, before.alias(first_of)))
+    at = F.row_number().over(Window.partitionBy(held).orderBy(position))
+    return ranged.withColumn(own, at).join(first, held).withColumn(into, F.col(first_of) + F.col(own)).drop(held, own, first_of)
 
 
 def skip(rows: DataFrame, position: str, n: int) -> DataFrame:
     """Rows after the first n of a sequential file."""
-    return numbered(rows, position, "_place").where(F.col("_place") > n).drop("_place")
+    place = unused("_place", rows)
+    return numbered(rows, position, place).where(F.col(place) > n).drop(place)
 
 
 def mark_level(rows: DataFrame, position: str, mark: Column, by: list[str]) -> DataFrame:

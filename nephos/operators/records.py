@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nephos.functions.columns import unused
+
 ANY = -1
 
 
@@ -35,7 +37,8 @@ def search(directory: DataFrame, **keys) -> DataFrame:
 def next_after(directory: DataFrame, handle: str, after: int, by: list[str]) -> DataFrame:
     """The first record beyond a handle, for each value of by."""
     w = Window.partitionBy(*by).orderBy(handle)
-    return directory.where(F.col(handle) > after).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    n = unused("_n", directory)
+    return directory.where(F.col(handle) > after).withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def listing(found: DataFrame, handle: str, most: int, by: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nephos.functions.columns import unused
+
 
 def entries(rows: DataFrame) -> DataFrame:
     """Rows (name, value, ...) with the names' case folded."""
@@ -26,7 +28,8 @@ def last_written(writes: DataFrame, turn: str) -> DataFrame:
     folded = entries(writes)
     first = F.min(F.struct(turn, "rewritable")).over(w)["rewritable"]
     keep = F.when(first, F.max(turn).over(w)).otherwise(F.min(turn).over(w))
-    return folded.withColumn("_k", keep).where(F.col(turn) == F.col("_k")).drop("_k")
+    k = unused("_k", folded)
+    return folded.withColumn(k, keep).where(F.col(turn) == F.col(k)).drop(k)
 
 
 def put(store: DataFrame, more: DataFrame) -> DataFrame:
@@ -51,9 +54,8 @@ def directives(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def rename(arrays: DataFrame, old: str, new: str) -> DataFrame:
     """A named array under another name, if that is free."""
-    taken = arrays.where(F.col("name") == new).agg((F.count("*") > 0).alias("_taken"))
-    moved = F.when((F.col("name") == old) & ~F.col("_taken"), new).otherwise(F.col("name"))
-    return arrays.join(F.broadcast(taken)).withColumn("name", moved).drop("_taken")  # taken is one row
+    taken = arrays.where(F.col("name") == new).agg(F.count("*") > 0).scalar()
+    return arrays.withColumn("name", F.when((F.col("name") == old) & ~taken, new).otherwise(F.col("name")))
 
 
 def shuffled(arrays: DataFrame, names: list[str]) -> DataFrame:

@@ -6,11 +6,12 @@ rewrite marks what it replaces as deleted by a later version, and a read takes t
 
 from __future__ import annotations
 
+import time
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Numbers of the payload types; 64 more marks missing values and 128 more a compressed payload.
@@ -91,22 +92,16 @@ def decoded(payload: Column, n: Column, kind: Column, bits: Column) -> Column:
 
 
 def write(records: DataFrame, path: str, kind: int = IEEE, bits: int = 32, field: str = "field") -> None:
-    """Append records (handle, descriptors, field); the version counts the writes to a store."""
-    spark = records.sparkSession
-    try:
-        last = spark.read.parquet(path).agg(F.max("version")).first()[0] or 0
-    except Exception as e:  # nothing there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        last = 0
-    out = records.withColumns({"n": F.size(field), "datyp": F.lit(kind), "nbits": F.lit(bits), "version": F.lit(last + 1), "payload": encoded(F.col(field), kind, bits)})
+    """Append records (handle, descriptors, field); the version is the write's time in nanoseconds, later for a later write."""
+    out = records.withColumns({"n": F.size(field), "datyp": F.lit(kind), "nbits": F.lit(bits), "version": F.lit(time.time_ns()), "payload": encoded(F.col(field), kind, bits)})
     out.drop(field).write.mode("append").parquet(path)
 
 
 def open_store(spark: SparkSession, path: str) -> DataFrame:
-    """The directory of live records: the last version of each handle."""
-    w = Window.partitionBy("handle").orderBy(F.col("version").desc())
-    return spark.read.parquet(path).withColumn("_v", F.row_number().over(w)).where("_v = 1").drop("_v")
+    """The directory of live records: the last version of each handle.  Handles and versions alone find it, not the payloads."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("handle").agg(F.max("version").alias("version"))
+    return rows.join(last, ["handle", "version"], "left_semi")
 
 
 def fields(directory: DataFrame, into: str = "field") -> DataFrame:
