@@ -313,7 +313,9 @@ class RecordReader(DataSourceReader):
     def partitions(self) -> list[Page]:
         return [Page(p, k, a) for p in files(self.path) for k, a in enumerate(page_addresses(p))]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Page | None) -> Iterator[tuple]:
+        if partition is None:  # a folder without files
+            return
         _, entries, sound = read_page(partition.path, partition.address)
         if not sound:
             raise ValueError(f"a directory page of {partition.path} is damaged")
