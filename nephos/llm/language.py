@@ -25,6 +25,8 @@ PARTS_OF_ROW = 4
 LEAST_LETTERS = SAMPLE_LETTERS // 8
 #: Texts are parsed in blocks of so many letters, so many of them side by side; phrases go on across the blocks' borders.
 BLOCK, SIDE_BY_SIDE = 1024, 4096
+#: Borders that are still parsed twice are gone through one by one when so few are left.
+FEW_APART = 48
 #: Shares of labels are broadcast up to so many, and joined by shuffle beyond it.
 BROADCAST_LABELS = 100_000
 SPACE, OTHER = 0, 1
@@ -172,6 +174,23 @@ class Model:
         fresh = self.owner.take(at) != states
         return np.where(fresh, first, self.next.take(at)), fresh
 
+    def _met(self, a: int, b: int, first: np.ndarray, symbols: np.ndarray) -> tuple[int, int, int]:
+        """Two parses until they are in one state or the symbols end, and how many phrases more the first one started."""
+        place, owner, following, extra = memoryview(self.place), memoryview(self.owner), memoryview(self.next), 0
+        for symbol, fresh in zip(symbols.tolist(), first[symbols].tolist(), strict=True):
+            at, to = place[a] + symbol, place[b] + symbol
+            if owner[at] != a:
+                a, extra = fresh, extra + 1
+            else:
+                a = following[at]
+            if owner[to] != b:
+                b, extra = fresh, extra - 1
+            else:
+                b = following[to]
+            if a == b:
+                break
+        return a, b, extra
+
     def _parsed(self, blocks: list[np.ndarray], goes_on: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases that start in each block and the states at its end, by language.
 
@@ -180,39 +199,41 @@ class Model:
         parse from its start, until both are in one state: from there they are the same.  Where they never meet, the end state
         is another one and the next border is parsed once more.
         """
-        order = np.argsort([-len(b) for b in blocks], kind="stable")
         sizes = np.array([len(b) for b in blocks])
+        order = np.argsort(-sizes, kind="stable")
+        # Longest first, so that at each step those that go on are the first ones.
         wide = np.zeros((sizes.max(), len(blocks)), np.int32)
-        for k, b in enumerate(blocks):
-            wide[: len(b), k] = b
-        state = np.repeat(np.array(self.starts, np.int32)[:, None], len(blocks), 1)
-        counts = np.zeros((len(self.langs), len(blocks)), np.int64)
-        sorted_state, sorted_counts, sorted_wide = state, np.zeros_like(counts), wide[:, order]
+        for k, b in enumerate(order):
+            wide[: sizes[b], k] = blocks[b]
+        placed = np.empty(len(blocks), np.int64)
+        placed[order] = np.arange(len(blocks))
+        found = np.repeat(np.array(self.starts, np.int32)[:, None], len(blocks), 1)
+        phrases = np.zeros((len(self.langs), len(blocks)), np.int32)
         live = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(len(wide)), side="right")
         for step, n in enumerate(live):
-            symbols = sorted_wide[step, :n]
-            sorted_state[:, :n], fresh = self._step(sorted_state[:, :n], symbols, self.first.take(symbols, 1))
-            sorted_counts[:, :n] += fresh
-        state = np.empty_like(sorted_state)
-        state[:, order], counts[:, order] = sorted_state, sorted_counts
+            symbols = wide[step, :n]
+            found[:, :n], fresh = self._step(found[:, :n], symbols, self.first.take(symbols, 1))
+            phrases[:, :n] += fresh
+        state, counts = found[:, placed], phrases[:, placed].astype(np.int64)
         alone, own = counts.copy(), state.copy()
         lang, block = np.nonzero(np.broadcast_to(goes_on, counts.shape))
         while len(lang):
             came = np.where(block > 0, state[lang, block - 1], ended[lang])
             mine, other = came, np.array(self.starts, np.int32)[lang]
             more = np.zeros(len(lang), np.int64)
-            apart = np.flatnonzero(mine != other)
-            for step in range(len(wide)):
+            apart, step = np.flatnonzero(mine != other), 0
+            while len(apart) > FEW_APART and step < len(wide):
                 apart = apart[sizes[block[apart]] > step]
-                if not len(apart):
-                    break
-                symbols = wide[step, block[apart]]
+                symbols = wide[step, placed[block[apart]]]
                 first = self.first[lang[apart], symbols]
                 a, a_fresh = self._step(mine[apart], symbols, first)
                 b, b_fresh = self._step(other[apart], symbols, first)
                 mine[apart], other[apart] = a, b
                 more[apart] += a_fresh.astype(np.int64) - b_fresh
-                apart = apart[a != b]
+                apart, step = apart[a != b], step + 1
+            for k in apart:
+                mine[k], other[k], extra = self._met(int(mine[k]), int(other[k]), self.first[lang[k]], blocks[block[k]][step:])
+                more[k] += extra
             counts[lang, block] = alone[lang, block] + more
             new = np.where(mine == other, own[lang, block], mine)
             changed = state[lang, block] != new
