@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nephos.functions.columns import once
+
 #: The part of a field's range above its maximum that stands for missing, by bits a value, above 8 bits 0.01.
 PLUG = (2.0, 1.1, 0.55, 0.28, 0.14, 0.07, 0.035, 0.017, 0.01)
 
@@ -106,3 +108,27 @@ def hmac_md5(data: Column, key: bytes) -> Column:
     key = hashlib.md5(key).digest() if len(key) > 64 else key
     inner, outer = (bytes(k ^ pad for k in key.ljust(64, b"\0")) for pad in (0x36, 0x5C))
     return F.md5(F.concat(F.lit(bytearray(outer)), F.unhex(F.md5(F.concat(F.lit(bytearray(inner)), data)))))
+
+
+def packed_words(tokens: Column, bits: int) -> Column:
+    """Tokens of so many bits (of 8-, 16- or 32-bit numbers alike) side by side in words of 32 bits, the highest bit first; the
+    last word is filled up with zeros."""
+    digits = F.array_join(F.transform(tokens, lambda v: F.lpad(F.conv(v.bitwiseAND(F.lit((1 << bits) - 1)).cast("string"), 10, 2), bits, "0")), "")
+
+    def words(text: Column) -> Column:
+        count = F.ceil(F.length(text) / 32).cast("int")
+        places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda w: F.conv(F.rpad(F.substring(text, w * 32 + 1, F.lit(32)), 32, "0"), 2, 10).cast("long"))
+
+    return once(digits, words)
+
+
+def unpacked_words(words: Column, bits: int, count: Column, signed: bool = False) -> Column:
+    digits = F.array_join(F.transform(words, lambda w: F.lpad(F.conv(w.cast("string"), 10, 2), 32, "0")), "")
+
+    def tokens(s: Column) -> Column:
+        places = F.when(s["n"] > 0, F.sequence(F.lit(0), s["n"] - 1)).otherwise(F.array().cast("array<int>"))
+        plain = F.transform(places, lambda k: F.conv(F.substring(s["t"], k * bits + 1, F.lit(bits)), 2, 10).cast("long"))
+        return F.transform(plain, lambda v: F.when(v >= 1 << bits - 1, v - (1 << bits)).otherwise(v)) if signed else plain
+
+    return once(F.struct(digits.alias("t"), count.cast("int").alias("n")), tokens)

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nephos.functions import levels
+
 RADIUS = 6_370_997.0
 
 
@@ -194,3 +196,19 @@ def lambert_latlon(x: Column, y: Column, lat1: float, lat2: float, lat0: float,
     theta = F.atan2(x, rho0 - y)
     lat = F.degrees(2 * F.atan(F.pow(RADIUS * f / rho, 1 / n)) - math.pi / 2)
     return lat, F.pmod(lon0 + F.degrees(theta) / n, F.lit(360.0))
+
+
+def hybrid_record(top: Column, power: Column, reference: Column) -> Column:
+    """Descriptors of a record that holds a hybrid coordinate's numbers: HY of type X, its top (0 to 1200) as a level code of
+    pressure, exponent and reference in two integers; null out of bounds."""
+    g1, g2 = hybrid_code(power, reference)
+    fields = F.struct(F.lit("HY").alias("nomvar"), F.lit("X").alias("typvar"), levels.encode(top, 2).alias("ip1"), g1.alias("ig1"), g2.alias("ig2"), F.lit(0).alias("ig3"), F.lit(0).alias("ig4"))
+    return F.when(top.between(0, 1200) & g1.isNotNull(), fields)
+
+
+def hybrid_of_record(record: Column) -> tuple[Column, Column, Column]:
+    """Top, exponent and reference of such descriptors; null for other records and for codes that are not of a pressure."""
+    top, kind = levels.decode(record["ip1"])
+    power, reference = hybrid_numbers(record["ig1"], record["ig2"], record["ig3"], record["ig4"])
+    good = (record["nomvar"] == "HY") & (record["typvar"] == "X") & (kind == 2) & top.between(0, 1200) & power.isNotNull()
+    return F.when(good, top), F.when(good, power), F.when(good, reference)

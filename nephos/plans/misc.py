@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nephos.functions import codecs, sphere
-from nephos.operators import gridset
+from nephos.operators import gridset, spectral
 from nephos.plans.base import r4, read
 from nephos.plans.defined import GRIDS, HALVES
 from nephos.plans.files import _records, shared_folder
@@ -85,6 +86,31 @@ def record_file_headers(spark, d):
     return recordfile.headers(spark, top).drop("file").crossJoin(F.broadcast(sound))  # sound is one row
 
 
+def pack_words(spark, d):
+    """Tokens of 5, 13 and 16 bits, signed ones among them, in words and back."""
+    z = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("long"))
+    e = read(spark, d, "embeddings").select("vec_id", F.slice(z, 1, 21).alias("z"))
+    e = e.select("vec_id", "z", *[codecs.packed_words(F.col("z"), b).alias(f"w{b}") for b in (5, 13, 16)])
+    back = codecs.unpacked_words(F.col("w13"), 13, F.size("z"), True)
+    low = codecs.unpacked_words(F.col("w5"), 5, F.size("z"))
+    total = lambda c: F.aggregate(F.transform(c, lambda x, k: x * (k + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return e.select("vec_id", F.size("w5").alias("n5"), F.get("w16", F.lit(0)).alias("first"), F.get("w13", F.lit(8)).alias("last"), total(back).alias("total"), total(low).alias("low"))
+
+
+def hybrid_records(spark, d):
+    n = F.col("p_partkey")
+    h = sphere.hybrid_record(n % 1300 * 1.0, n % 130 / 100.0 + 0.9, n * 7 % 800 + 350.5)
+    p = read(spark, d, "part").select("p_partkey", h.alias("h"))
+    top, power, reference = sphere.hybrid_of_record(F.col("h"))
+    return p.select("p_partkey", F.col("h.ip1").alias("ip1"), F.col("h.ig2").cast("long").alias("ig2"), top.alias("top"), r4(power).alias("power"), reference.alias("reference"))
+
+
+def legendre_polynomials(spark, d):
+    """Normalised polynomials of waves up to 3 at nine sines."""
+    table = spectral.legendre_table(spark, [float(np.degrees(np.arcsin(i / 10 - 0.4))) for i in range(9)], 3).where("m = 0")
+    return table.select(F.col("lat").cast("long").alias("spot"), F.col("n").cast("long").alias("n"), F.round("p", 6).alias("p"))
+
+
 def _tokens(spark, d):
     """Embeddings as smooth whole numbers: running sums of small steps, of up to 11 bits."""
     step = lambda x: F.floor(F.abs(x.cast("double")) * 20).cast("long")
@@ -99,7 +125,7 @@ def _packed_query(way):
     return query
 
 
-QUERIES = {"tokens_minimum": _packed_query(tokens.MINIMUM), "tokens_parallelogram": _packed_query(tokens.PARALLELOGRAM)} | {f.__name__: f for f in (local_stereographic, lambert_back, hash_hmac, missing_flags, grid_options, field_by_options, grid_halves, stencil_points, record_file_headers)}
+QUERIES = {f.__name__: f for f in (pack_words, hybrid_records, legendre_polynomials)} | {"tokens_minimum": _packed_query(tokens.MINIMUM), "tokens_parallelogram": _packed_query(tokens.PARALLELOGRAM)} | {f.__name__: f for f in (local_stereographic, lambert_back, hash_hmac, missing_flags, grid_options, field_by_options, grid_halves, stencil_points, record_file_headers)}
 _P = "(SELECT s_suppkey, s_suppkey * 7 % 50 + 20.0::DOUBLE AS lat, s_suppkey * 31 % 90 + 225.5::DOUBLE AS lon FROM supplier)"
 
 
@@ -142,3 +168,9 @@ ORACLE_SQL["tokens_minimum"] = f"""WITH {_Z}, t AS (SELECT vec_id, i // 5 AS a,
 ORACLE_SQL["tokens_parallelogram"] = f"""WITH {_Z}, d AS (SELECT a.vec_id, a.i, a.j, abs(a.v - b.v - c.v + e.v) AS d FROM z a JOIN z b ON b.vec_id = a.vec_id AND b.k = a.k - 1 JOIN z c ON c.vec_id = a.vec_id AND c.k = a.k - 8 JOIN z e ON e.vec_id = a.vec_id AND e.k = a.k - 9 WHERE a.i > 0 AND a.j > 0),
     t AS (SELECT vec_id, (i - 1) // 3 AS a, (j - 1) // 3 AS b, count(*) AS n, max(d) AS w FROM d GROUP BY 1, 2, 3), s AS (SELECT vec_id, (3 + 15 * 11 + sum(4 + CASE WHEN w = 0 THEN 0 ELSE n * (1 + {_LEN.format(v='w')}) END))::BIGINT AS bits FROM t GROUP BY 1), u AS ({_TOTAL})
     SELECT vec_id, {_BYTES}::BIGINT AS n_bytes, CASE WHEN {_BYTES} IS NOT NULL THEN printf('%08X', (4 << 28) + (1 << 25) + (3 << 22) + (11 << 17) + (1 << 14)) END AS head, CASE WHEN {_BYTES} IS NOT NULL THEN total END AS total FROM s JOIN u USING (vec_id)"""
+_Q = """q AS (SELECT vec_id, list_transform(embedding[1:21], lambda x: floor(x::DOUBLE * 100)::BIGINT) AS z FROM embeddings), p AS (SELECT vec_id, z, k, z[k] AS v FROM q, range(1, 22) r(k))"""
+ORACLE_SQL["pack_words"] = f"""WITH {_Q} SELECT vec_id, 4 AS n5, any_value((z[1] & 65535) * 65536 + (z[2] & 65535))::BIGINT AS first, any_value(((z[20] & 8191) & 15) * 268435456 + (z[21] & 8191) * 32768)::BIGINT AS last, sum(v * k)::BIGINT AS total, sum((v & 31) * k)::BIGINT AS low FROM p GROUP BY 1"""
+ORACLE_SQL["hybrid_records"] = """SELECT p_partkey, CASE WHEN good THEN CASE WHEN t = 0 THEN 0 WHEN t <= 1100 THEN (2 << 24) + (8 - floor(log10(t))::BIGINT + 1) * 1048576 + round(t * pow(10.0, 5 - floor(log10(t))))::BIGINT ELSE -999999 END END::BIGINT AS ip1, CASE WHEN good THEN g2 END AS ig2,
+    CASE WHEN good AND t <= 1100 THEN t::DOUBLE END AS top, CASE WHEN good AND t <= 1100 THEN round(g2 / 1000.0, 4) END AS power, CASE WHEN good AND t <= 1100 THEN (p_partkey * 7 % 800 + 350)::DOUBLE END AS reference FROM (
+    SELECT *, p_partkey % 1300 AS t, p_partkey * 7 % 800 BETWEEN 50 AND 699 AND p_partkey % 130 / 100.0::DOUBLE + 0.9::DOUBLE BETWEEN 1 AND 2 AND p_partkey % 1300 <= 1200 AS good, trunc((p_partkey % 130 / 100.0::DOUBLE + 0.9::DOUBLE) * 1000)::BIGINT AS g2 FROM part)"""
+ORACLE_SQL["legendre_polynomials"] = "WITH x AS (SELECT a + 1 AS spot, (a / 10.0 - 0.4)::DOUBLE AS x FROM range(0, 9) r(a)) SELECT spot, n, round(CASE n WHEN 0 THEN sqrt(0.5) WHEN 1 THEN sqrt(1.5) * x WHEN 2 THEN sqrt(2.5) * (3 * x * x - 1) / 2 ELSE sqrt(3.5) * (5 * x * x * x - 3 * x) / 2 END, 6) + 0 AS p FROM x, range(0, 4) s(n)"
