@@ -368,11 +368,14 @@ def _made_page(draw: random.Random) -> str:
         parts.append(maybe(0.12, box("share social tags byline meta", words(1, 5))))
         inner = "".join(parts)
         kind = draw.random()
-        if kind < 0.4:
+        if kind < 0.2:
             return f"<article>{inner}</article>"
-        if kind < 0.55:
+        if kind < 0.3:
             return f"<main>{inner}</main>"
-        if kind < 0.9:
+        if kind < 0.6:
+            tag = draw.choice(["div", "section", "div"])
+            return f"<{tag}>{inner}</{tag}>"
+        if kind < 0.85:
             return box("content post post-content article-body entry story main text article", inner, draw.choice(["div", "section", "div"]))
         return inner
 

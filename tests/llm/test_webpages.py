@@ -74,3 +74,16 @@ def test_ends_of_pages_and_references():
     assert texts("x<script>a>b") == ["x"] and texts("x<script>a>b</script>y") == ["x", "y"]
     assert texts("&am<b>p;</b> &amp;lt; &#65;&nbsp;b") == ["&amp; &lt; A b"]
     assert texts("a < b <c") == ["a < b <c"] and texts("<p>a</p> 1 > 0 <b") == ["a", "1 > 0 <b"]
+
+
+@pytest.mark.parametrize(("start", "end"), [("<article>", "</article>"), ("<div>", "</div>"), ("", ""), ('<section class="main">', "</section>")])
+def test_pages_of_the_table_in_other_containers(spark, sf_dir, start, end):
+    """Trained without the table, by made pages alone, whatever holds the article."""
+    model = webpages.train()
+    pages = [r["html"] for r in table(spark, sf_dir, "pages").collect()]
+    right = 0
+    for page in pages:
+        inner = re.sub(r"</?(p|br|h1)\b[^>]*>", " ", re.search(r"<article>(.*)</article>", page, re.S).group(1))
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", inner)).split())
+        right += webpages.main_text(page.replace("<article>", start).replace("</article>", end), model) == want
+    assert right >= 0.95 * len(pages)
