@@ -49,7 +49,7 @@ def grid_points(spark, d):
 def grid_locate(spark, d):
     def rows(name, g):
         x, y = g.locate(F.col("lat"), F.col("lon"))
-        return _places(spark, d).select(F.lit(name).alias("grid"), "s_suppkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+        return _places(spark, d).select(F.lit(name).alias("grid"), "s_suppkey", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
     return _each(GRIDS, rows)
 
@@ -101,7 +101,7 @@ def field_of_halves(spark, d):
     """Values of two halves at places, each from the half whose core it is in."""
     v = gridset.value_over(F.col("z"), HALVES, F.col("lat"), F.col("lon"), "nearest")
     x, y = HALVES.locate(F.col("lat"), F.col("lon"))
-    return _fields(spark, d).select("vec_id", "k", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(v, 4).alias("value"))
+    return _fields(spark, d).select("vec_id", "k", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(v, 4).alias("value"))
 
 
 def _winds(spark, d):
@@ -232,7 +232,7 @@ def _locate_sql() -> str:
         "polar_north": polar(1), "polar_south": polar(-1), "rotated": f"SELECT s_suppkey, rlo * 7 / 360 + 1 AS x, (rla + 78.75) / 22.5 + 1 AS y FROM {into}",
         "uneven": lin(_axis("lon", AX), _axis("lat", AY)), "uneven_rotated": f"SELECT s_suppkey, {_axis('rlo', AX)} AS x, {_axis('rla', AY)} AS y FROM {into}",
     }
-    return " UNION ALL ".join(f"SELECT '{k}' AS grid, s_suppkey, round(x, 3)::DOUBLE AS x, round(y, 3)::DOUBLE AS y FROM ({v})" for k, v in parts.items())
+    return " UNION ALL ".join(f"SELECT '{k}' AS grid, s_suppkey, round(x, 6)::DOUBLE AS x, round(y, 6)::DOUBLE AS y FROM ({v})" for k, v in parts.items())
 
 
 _MEAN = {True: "list_sum(z[57:64]::DOUBLE[]) / 8", False: "list_sum(z[1:8]::DOUBLE[]) / 8"}
@@ -311,7 +311,7 @@ def _halves_sql() -> str:
         c AS (SELECT *, {_axis('rlo', YIN_X[1:7])} AS cx, {_axis('rla', YIN_Y[1:3])} AS cy FROM a JOIN b USING (vec_id, k)), s AS (SELECT *, floor(cx + 0.5) BETWEEN 1 AND 6 AND floor(cy + 0.5) BETWEEN 1 AND 2 AS inside FROM c),
         q AS (SELECT vec_id, k, z, inside, CASE WHEN inside THEN x ELSE x2 END AS x, CASE WHEN inside THEN y ELSE y2 + 4 END AS y FROM s), r AS (SELECT *, CASE WHEN y <= 4 THEN y ELSE y - 4 END AS w, CASE WHEN y <= 4 THEN z[1:32] ELSE z[33:64] END AS h FROM q),
         t AS (SELECT *, floor(x + 0.5) < 1 OR floor(x + 0.5) > 8 OR floor(w + 0.5) < 1 OR floor(w + 0.5) > 4 AS beyond, list_max(h)::DOUBLE AS top, list_min(h)::DOUBLE AS least FROM r)
-        SELECT vec_id, k, round(x, 3) AS x, round(y, 3) AS y, round(CASE WHEN beyond THEN top + 0.05 * (top - least) ELSE h[(({near('w', 4)} - 1) * 8 + {near('x', 8)})::BIGINT]::DOUBLE END, 4) AS value FROM t"""
+        SELECT vec_id, k, round(x, 6) AS x, round(y, 6) AS y, round(CASE WHEN beyond THEN top + 0.05 * (top - least) ELSE h[(({near('w', 4)} - 1) * 8 + {near('x', 8)})::BIGINT]::DOUBLE END, 4) AS value FROM t"""
 
 
 def _polar_target(value: str, extra: str = "") -> str:

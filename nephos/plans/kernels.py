@@ -20,7 +20,8 @@ def _p(n, a, b):
 
 def point_in_cells(spark, d):
     n = F.col("p_partkey")
-    p, corners = _p(n, 7, 11), [_p(n, 13, 17), _p(n, 19, 23), _p(n, 29, 31), _p(n, 37, 41)]
+    x, y = _p(n, 7, 11)
+    p, corners = (x + 0.037, y + 0.0191), [_p(n, 13, 17), _p(n, 19, 23), _p(n, 29, 31), _p(n, 37, 41)]
     return read(spark, d, "part").select("p_partkey", ops.in_triangle(p, *corners[:3]).alias("triangle"), ops.in_quadrilateral(p, *corners).alias("quadrilateral"))
 
 
@@ -142,7 +143,7 @@ QUERIES = {
 def _in(corners: list[tuple[int, int]]) -> str:
     """By the signs of three cross products, which a point inside makes alike."""
     at = lambda c, m: f"(p_partkey * {c} % {m} / 10.0)"
-    p = (at(7, 97), at(11, 89))
+    p = (f"({at(7, 97)} + 0.037)", f"({at(11, 89)} + 0.0191)")
     q = [(at(a, 97), at(b, 89)) for a, b in corners]
     cross = [f"(({q[(k + 1) % 3][0]} - {q[k][0]}) * ({p[1]} - {q[k][1]}) - ({q[(k + 1) % 3][1]} - {q[k][1]}) * ({p[0]} - {q[k][0]}))" for k in range(3)]
     flat = f"(({q[1][0]} - {q[0][0]}) * ({q[2][1]} - {q[0][1]}) - ({q[1][1]} - {q[0][1]}) * ({q[2][0]} - {q[0][0]})) <> 0"

@@ -116,7 +116,7 @@ def grid_desc_rotated(spark, d):
 
 def grid_desc_point(spark, d):
     n = F.col("p_partkey")
-    g = descriptors.pack("+", (n * 12347 % 18_000_000) / 100_000.0 - 90, (n * 65537 % 36_000_000) / 100_000.0 - 180, F.lit(0.0), F.lit(0.0))
+    g = descriptors.pack("+", (n * 12340 % 18_000_000 + 3) / 100_000.0 - 90, (n * 65530 % 36_000_000 + 7) / 100_000.0 - 180, F.lit(0.0), F.lit(0.0))
     p = read(spark, d, "part").select("p_partkey", *[c.alias(f"g{i}") for i, c in enumerate(g, 1)])
     back = descriptors.unpack("+", *[F.col(f"g{i}") for i in (1, 2, 3, 4)])
     return p.select("p_partkey", *[F.col(f"g{i}").cast("long").alias(f"g{i}") for i in (1, 2, 3, 4)], F.round(back[0], 5).alias("lat"), F.round(back[1], 5).alias("lon"))
@@ -242,7 +242,7 @@ ORACLE_SQL = {
         round(a / 40.0 - 90, 3)::DOUBLE AS x1, round((c - 3600) / 40.0, 3)::DOUBLE AS x2, round(b / 40.0, 3)::DOUBLE AS x3, round(d / 40.0, 3)::DOUBLE AS x4
         FROM (SELECT p_partkey, p_partkey % 7200 AS a, p_partkey * 11 % 3600 - 3599 AS b, p_partkey * 7 % 14400 + 3600 AS c, p_partkey * 13 % 14400 AS d FROM part)""",
     "grid_desc_point": """SELECT p_partkey, a - round(a / 1000.0)::BIGINT * 1000 + 1000 AS g1, b - round(b / 1000.0)::BIGINT * 1000 + 1000 AS g2, round(a / 1000.0)::BIGINT AS g3, round(b / 1000.0)::BIGINT AS g4, round(a / 100000.0 - 100, 5)::DOUBLE AS lat, round(b / 100000.0, 5)::DOUBLE AS lon
-        FROM (SELECT p_partkey, p_partkey * 12347 % 18000000 + 1000000 AS a, CASE WHEN p_partkey * 65537 % 36000000 < 18000000 THEN p_partkey * 65537 % 36000000 + 18000000 ELSE p_partkey * 65537 % 36000000 - 18000000 END AS b FROM part)""",
+        FROM (SELECT p_partkey, p_partkey * 12340 % 18000000 + 1000003 AS a, CASE WHEN p_partkey * 65530 % 36000000 + 7 < 18000000 THEN p_partkey * 65530 % 36000000 + 18000007 ELSE p_partkey * 65530 % 36000000 - 17999993 END AS b FROM part)""",
     "missing_integers": "SELECT p_partkey, "
     + ", ".join(f"coalesce(z, CASE WHEN {top} > most THEN most + 1 ELSE {top} END)::BIGINT AS {n}" for n, top in (("s5", 15), ("s6", 31), ("s16", 32767), ("s32", 2147483647), ("u5", 31), ("u6", 63), ("u16", 65535), ("u32", 4294967295)))
     + " FROM (SELECT p_partkey, z, max(z) OVER (PARTITION BY p_brand) AS most FROM (SELECT p_partkey, p_brand, CASE WHEN p_size % 7 <> 0 THEN p_size END AS z FROM part))",
