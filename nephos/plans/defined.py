@@ -353,7 +353,7 @@ _near = _round("(round(x)::BIGINT)", "(greatest(0, least(9, round(y)))::BIGINT)"
 ORACLE_SQL = {
     "grid_points": _points_sql(),
     "grid_locate": _locate_sql(),
-    "grid_describe": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[0]}', 8, 8, {', '.join(str(x) for x in v[1:])})" for k, v in _DESCRIBED.items()) + ") t(grid, kind, ni, nj, j1, j2, extension, ends, rotated, n_ax, n_ay)",
+    "grid_describe": "SELECT grid, kind, " + ", ".join(f"{c}::BIGINT AS {c}" for c in ("ni", "nj", "j1", "j2", "extension", "n_ax", "n_ay")) + ", ends, rotated FROM (VALUES " + ", ".join(f"('{k}', '{v[0]}', 8, 8, {', '.join(str(x) for x in v[1:])})" for k, v in _DESCRIBED.items()) + ") t(grid, kind, ni, nj, j1, j2, extension, ends, rotated, n_ax, n_ay)",
     "field_regional_linear": _regional_sql(1, 7, _linear(_flat)),
     "field_regional_cubic": _regional_sql(2, 6, _cubic(_flat)),
     "field_extrapolated": f"""WITH {_F}, {_REGION}, c AS (SELECT *, greatest(1, least(7, floor(x)))::BIGINT AS i, greatest(1, least(7, floor(y)))::BIGINT AS j FROM o), v AS (SELECT *, {_linear(_flat)} AS v FROM c)

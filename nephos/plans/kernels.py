@@ -212,7 +212,7 @@ ORACLE_SQL = {
         SELECT p_partkey, round(CASE WHEN kind = 2 THEN mb * 100 WHEN kind = 5 AND q = 2 THEN 800 * (r - b) + b * ps WHEN kind = 1 THEN CASE q WHEN 0 THEN l * ps WHEN 2 THEN 800 * (r - b) + b * ps ELSE CASE WHEN lid THEN 10 * (1 - (l - 0.05) / 0.95) + (l - 0.05) / 0.95 * ps ELSE 10 * (1 - l) + l * ps END END END, 4) AS pressure FROM b""",
     "packed_floats": """WITH m AS (SELECT vec_id, k, embedding[k + 1]::DOUBLE AS v, floor(log2(list_max(list_transform(embedding, lambda x: abs(x))))) AS e FROM embeddings, range(0, 64) r(k)), i AS (SELECT *, trunc(v * pow(2.0, 23 - e))::BIGINT AS m FROM m),
         s AS (SELECT *, min(m) OVER (PARTITION BY vec_id) AS lo, max(m) OVER (PARTITION BY vec_id) AS hi FROM i), h AS (SELECT *, greatest(0, floor(log2(hi - lo))::INTEGER + 1 - 12) AS sh FROM s),
-        q AS (SELECT *, least(4095, (m - lo + ((1 << sh) >> 1)) >> sh) AS t FROM h) SELECT vec_id, 136 AS n_bytes, round(sum(sign((t << sh) + lo) * least(abs((t << sh) + lo), 16777215) * pow(2.0, e - 23) * (k + 1)), 5) AS total FROM q GROUP BY 1""",
+        q AS (SELECT *, least(4095, (m - lo + ((1 << sh) >> 1)) >> sh) AS t FROM h) SELECT vec_id, 136::BIGINT AS n_bytes, round(sum(sign((t << sh) + lo) * least(abs((t << sh) + lo), 16777215) * pow(2.0, e - 23) * (k + 1)), 5) AS total FROM q GROUP BY 1""",
 }
 _KNN3 = """WITH s AS (SELECT s_suppkey, ((s_suppkey * 37) % 140 - 70)::DOUBLE AS lat, (s_suppkey * 91) % 359 + 0.5::DOUBLE AS lon FROM supplier WHERE s_suppkey % 3 <> 0), c AS (SELECT c_custkey, ((c_custkey * 13) % 150 - 75)::DOUBLE AS lat, (c_custkey * 29) % 359 + 0.25::DOUBLE AS lon FROM customer),
     e AS (SELECT min(lat) AS lat0, max(lat) AS lat1, min(lon) AS lon0, max(lon) AS lon1 FROM s),

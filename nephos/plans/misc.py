@@ -157,7 +157,7 @@ ORACLE_SQL = {
           CASE WHEN (y < 1 AND part = 1) OR (y > 8 AND part = 2) THEN -1 ELSE 1 END AS sg FROM p), q AS (SELECT *, (x + 15 + CASE WHEN over THEN 4 ELSE 0 END) % 8 + 1 AS c FROM s)
         SELECT part::INTEGER AS part, i::INTEGER AS i, j::INTEGER AS j, count(*) AS n, sum(c * r)::BIGINT AS product, sum(c)::BIGINT AS columns, sum(r * sg)::BIGINT AS rows FROM q GROUP BY 1, 2, 3""",
     "record_file_headers": """WITH n AS (SELECT count(*) AS n, sum(10 + (64 * CASE vec_id % 3 WHEN 0 THEN 32 WHEN 1 THEN 64 ELSE 13 END + 183) // 64) AS size FROM embeddings)
-        SELECT 'XDF0' AS version, 'TEST' AS signature, (26 + ceil(n / 256.0) * 2308 + size)::BIGINT AS size, 0 AS rewrites, n AS extensions, ceil(n / 256.0)::BIGINT AS pages, 76 AS largest, 16 AS primary, 9 AS primary_length, 2 AS auxiliary, 1 AS auxiliary_length, 15 AS erasures, n - 15 AS records, true AS sound FROM n""",
+        SELECT 'XDF0' AS version, 'TEST' AS signature, (26 + ceil(n / 256.0) * 2308 + size)::BIGINT AS size, 0::BIGINT AS rewrites, n AS extensions, ceil(n / 256.0)::BIGINT AS pages, 76::BIGINT AS largest, 16::BIGINT AS primary, 9::BIGINT AS primary_length, 2::BIGINT AS auxiliary, 1::BIGINT AS auxiliary_length, 15::BIGINT AS erasures, n - 15 AS records, true AS sound FROM n""",
 }
 _Z = """z AS (SELECT vec_id, k // 8 AS j, k % 8 AS i, k, floor(abs(embedding[k + 1]::DOUBLE) * 20)::BIGINT + k * (vec_id % 5) AS v FROM embeddings, range(0, 64) r(k))"""
 _BYTES = "CASE WHEN 4 + (bits + 32) // 32 * 4 < 128 THEN 4 + (bits + 32) // 32 * 4 END"

@@ -108,7 +108,7 @@ ORACLE_SQL = {
     "directive_values": """WITH s AS (SELECT p_partkey, p_size, list_reduce(list_prepend(0::BIGINT, list_transform(range(0, p_size), lambda k: p_size - k)), lambda a, x: CASE WHEN a > 900 THEN a ELSE a + x END) AS total FROM part)
         SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN CASE WHEN total >= 300 THEN total * 2 - 1 ELSE floor(-total / 2.0) END + 0.5 END::DOUBLE AS value FROM s""",
     "directive_lines": "SELECT upper(n_name) AS name, CASE n_nationkey % 3 WHEN 0 THEN n_nationkey || '|two' ELSE '1|x' END AS args FROM nation WHERE n_nationkey % 3 < 2",
-    "text_forms": """SELECT p_partkey, upper(p_name) AS upper, lower(p_brand) AS lower, length(p_brand) + length(p_name) + 7 AS length, rpad(substr(p_name, 1, 6), 6, ' ') AS padded, p_brand LIKE 'Brand#1%' AS starts, true AS letters, p_name AS last,
+    "text_forms": """SELECT p_partkey, upper(p_name) AS upper, lower(p_brand) AS lower, (length(p_brand) + length(p_name) + 7)::INTEGER AS length, rpad(substr(p_name, 1, 6), 6, ' ') AS padded, p_brand LIKE 'Brand#1%' AS starts, true AS letters, p_name AS last,
         ascii('B') * 16777216::BIGINT + ascii('r') * 65536 + ascii('a') * 256 + ascii('n') AS word, 'Bran' AS text FROM part""",
     "file_kinds": "SELECT p_partkey, ['grib', 'bufr', 'netcdf', 'png', 'gzip', 'parquet', 'empty', 'text', 'unformatted', 'unknown', 'records random'][p_partkey % 11 + 1] AS kind FROM part",
     "file_words": """WITH n AS (SELECT 26 + ceil(count(*) / 256.0)::BIGINT * 2308 + sum(10 + (64 * CASE vec_id % 3 WHEN 0 THEN 32 WHEN 1 THEN 64 ELSE 13 END + 183) // 64) AS size FROM embeddings)
