@@ -289,5 +289,5 @@ ORACLE_SQL = {
     "store_restart": """WITH o AS (SELECT p_partkey AS n, p_brand, 64 + CASE WHEN p_partkey % 2 = 0 THEN 256 ELSE 1024 END + CASE WHEN p_partkey % 3 = 0 THEN 2048 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 128 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 8 ELSE 0 END + 4 AS o FROM part),
         p AS (SELECT *, CASE WHEN n % 3 = 0 THEN o & ~256 ELSE o END AS a FROM o), q AS (SELECT *, CASE WHEN n % 5 = 0 THEN (a & ~1024) | 256 ELSE a END AS b FROM p) SELECT n AS p_partkey, CASE WHEN n % 7 = 0 THEN b & ~64 ELSE b END AS options, CASE WHEN n % 7 <> 0 THEN p_brand END AS item FROM q""",
     "rules_from_file": f"WITH {_RULED} SELECT p_partkey, rule FROM r WHERE rule > 1",
-    "rules_hits": f"WITH {_RULED} SELECT number::INTEGER AS number, number > 1 AS desire, count(p_partkey) AS n FROM range(1, 5) t(number) LEFT JOIN r ON rule = number GROUP BY 1",
+    "rules_hits": f"WITH {_RULED} SELECT t.number::INTEGER AS number, t.number > 1 AS desire, count(p_partkey) AS n FROM range(1, 5) t(number) LEFT JOIN r ON rule = t.number GROUP BY t.number",
 }
