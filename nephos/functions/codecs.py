@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,22 @@ def put_bits(word: Column, value: Column, right: int, count: int) -> Column:
     return cleared.bitwiseOR(F.shiftleft(value.bitwiseAND(F.lit(mask)), right))
 
 
+def recut(parts: list[Column], widths: list[int], into: list[int]) -> list[Column]:
+    """The bits of parts of these widths, side by side, cut into parts of other widths (each at most 62 bits)."""
+    if sum(widths) != sum(into):
+        raise ValueError(f"{sum(widths)} bits cannot be cut into {sum(into)}")
+    made, start = [], 0
+    for stop in accumulate(into):
+        piece = F.lit(0).cast("long")
+        for part, width, end in zip(parts, widths, accumulate(widths), strict=True):
+            low, high = max(start, end - width), min(stop, end)
+            if low < high:
+                piece = piece.bitwiseOR(F.shiftleft(get_bits(part.cast("long"), end - high, high - low), stop - high))
+        made.append(piece)
+        start = stop
+    return made
+
+
 def plug(least: Column, most: Column, bits: int) -> Column:
     """The number that stands for missing in a field of reals of these extremes."""
     part = PLUG[bits] if bits <= 8 else 0.01

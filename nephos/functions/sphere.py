@@ -94,6 +94,21 @@ def lambert_xy(lat: Column, lon: Column, lat1: float, lat2: float, lat0: float,
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
 
 
+def lambert_grid_xy(lat: Column, lon: Column, corner: tuple[float, float], far_lat: float, lon0: float, lat1: float, lat2: float, dx: float, dy: float) -> tuple[Column, Column]:
+    """Indices on a Lambert grid of dx by dy kilometres whose point (1, 1) is the corner; the origin lies half way up to far_lat."""
+    lat0 = (corner[0] + far_lat) / 2
+    x, y = lambert_xy(lat, lon, lat1, lat2, lat0, lon0)
+    x1, y1 = lambert_xy(F.lit(corner[0]), F.lit(corner[1]), lat1, lat2, lat0, lon0)
+    return 1 + (x - x1) / (dx * 1000), 1 + (y - y1) / (dy * 1000)
+
+
+def lambert_grid_latlon(x: Column, y: Column, corner: tuple[float, float], far_lat: float, lon0: float, lat1: float, lat2: float, dx: float, dy: float) -> tuple[Column, Column]:
+    """Latitude and longitude of indices on such a grid."""
+    lat0 = (corner[0] + far_lat) / 2
+    x1, y1 = lambert_xy(F.lit(corner[0]), F.lit(corner[1]), lat1, lat2, lat0, lon0)
+    return lambert_latlon(x1 + dx * 1000 * (x - 1), y1 + dy * 1000 * (y - 1), lat1, lat2, lat0, lon0)
+
+
 def map_scale(r2: Column, d60: float) -> Column:
     """Scale of a polar stereographic map at a squared distance in grid lengths from the pole."""
     re = 1.866025 * 6.371e6 / d60

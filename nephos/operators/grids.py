@@ -239,6 +239,30 @@ def pole_value(field: Column, ni: int, nj: int, north: bool) -> Column:
     return F.aggregate(row, F.lit(0.0), lambda a, z: a + z) / ni
 
 
+def pole_fit(rows: DataFrame, lat: Column, value: Column, by: list[str], quadratic: bool = True, half: int = 0) -> DataFrame:
+    """Values at both poles by least squares over the two rows of points next to each, seen from above the pole.
+
+    The points of a row lie evenly on a circle, so the odd and mixed sums of the normal equations are zero and the constant
+    term needs only both means: a quadratic surface follows the line through them over the squared distance from the pole, a
+    plane is level.  Rows of fewer than five points do not fix a quadratic, and one row alone has no slope: the mean of all
+    is taken.  half: 1 or 2 for a grid of the northern or southern half, whose pole stands for both.  Nulls count as absent.
+    """
+    rings = rows.groupBy(*by, lat.alias("_lat")).agg(F.avg(value).alias("m"), F.count(value).alias("n")).where("n > 0")
+    ends = rings.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_lat", "m", "n"))).alias("_r"))
+
+    def end(first: Column, second: Column, north: bool) -> Column:
+        a, b = F.get("_r", first), F.get("_r", second)
+        up = lambda r: F.sin(F.radians(r["_lat"])) * (1 if north else -1)
+        near, far = ((1 - up(r)) / (1 + up(r)) for r in (a, b))
+        bent = (a["m"] * far - b["m"] * near) / (far - near)
+        level = (a["m"] * a["n"] + b["m"] * b["n"]) / (a["n"] + b["n"])
+        fitted = F.when(F.least(a["n"], b["n"]) >= 5, bent).otherwise(level) if quadratic else level
+        return F.when(F.size("_r") == 1, a["m"]).otherwise(fitted)
+
+    north, south = end(F.size("_r") - 1, F.size("_r") - 2, True), end(F.lit(0), F.lit(1), False)
+    return ends.select(*by, (south if half == 2 else north).alias("north"), (north if half == 1 else south).alias("south"))
+
+
 def merged(first: Column, second: Column, mask: Column) -> Column:
     """A composite grid's value: the second half's where the mask is 1, else the first's."""
     return F.when(mask == 1, second).otherwise(first)

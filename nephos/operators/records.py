@@ -139,3 +139,35 @@ def level_alike(a: Column, b: Column) -> Column:
     apart = F.abs(va * F.pow(F.lit(10.0), top - ea) - vb * F.pow(F.lit(10.0), top - eb))
     new = (a > 32767) & (b > 32767) & (part(a, 24, 15) == part(b, 24, 15)) & (sa == sb)
     return (a == b) | (new & (apart <= 1))
+
+
+def axes(grids: DataFrame, directory: DataFrame) -> DataFrame:
+    """Each different grid (grtyp, ni, nj, ig1, ig2, ig3) with the records of the directory that hold its axes.
+
+    These are called ">>" and "^^", or "^>" alone for kind U, and their ip1 to ip3 are the grid's ig1 to ig3; kind # leaves ip3
+    free.  The first by handle counts that has the grid's ni (x) or nj (y); kind #, and sizes 0 or -1, take any; "^>" must be one
+    row.  Gives x_handle, y_handle, the axes' sizes, the kind (Y if both records are alike in shape) and the reference, the x
+    record's grtyp: F for kind U, else N, S, L, E or O.  All of these are null if a record is missing or refers to another kind.
+    Records alike in name, keys and shape are one before the join, and fields of one grid are one grid.
+    """
+    keys = ["grtyp", "ni", "nj", "ig1", "ig2", "ig3"]
+    named = directory.where(F.trim("nomvar").isin(">>", "^^", "^>"))
+    shapes = named.groupBy(F.trim("nomvar").alias("_name"), *[F.col(c).alias(f"_{c}") for c in ("ip1", "ip2", "ip3", "ni", "nj")])
+    a = shapes.agg(F.min(F.struct(F.col("handle").alias("handle"), F.col("grtyp").alias("grtyp"))).alias("_r"))
+    a = a.withColumn("_r", F.struct("_r.handle", "_r.grtyp", F.col("_ni").alias("ni"), F.col("_nj").alias("nj")))
+    tiles, cloud = F.col("grtyp") == "#", F.col("grtyp") == "U"
+    met = grids.select(*keys).distinct().join(a, (F.col("_ip1") == F.col("ig1")) & (F.col("_ip2") == F.col("ig2")) & ((F.col("_ip3") == F.col("ig3")) | tiles), "left")
+    any_size = lambda size: tiles | F.col(size).isin(0, -1)
+    both = cloud & (F.col("_name") == "^>") & (F.col("_nj") == 1) & (F.col("_ni") > 0)
+    x = both | ~cloud & (F.col("_name") == ">>") & ((F.col("_ni") == F.col("ni")) | any_size("ni"))
+    y = both | ~cloud & (F.col("_name") == "^^") & ((F.col("_nj") == F.col("nj")) | any_size("nj"))
+    found = met.groupBy(*keys).agg(F.min(F.when(x, F.col("_r"))).alias("_x"), F.min(F.when(y, F.col("_r"))).alias("_y"))
+    known = F.when(cloud, F.col("_x.grtyp") == "F").otherwise(F.col("_x.grtyp").isin("N", "S", "L", "E", "O"))
+    good = F.col("_x").isNotNull() & F.col("_y").isNotNull() & known
+    alike = (F.col("_x.ni") == F.col("_y.ni")) & (F.col("_x.nj") == F.col("_y.nj"))
+    kind = F.when(tiles | cloud, F.col("grtyp")).otherwise("Z")
+    given = {
+        "x_handle": F.col("_x.handle"), "y_handle": F.col("_y.handle"), "x_size": F.col("_x.ni"), "y_size": F.col("_y.nj"),
+        "kind": F.when(alike & ~cloud, "Y").otherwise(kind), "reference": F.col("_x.grtyp"),
+    }
+    return found.select(*keys, *[F.when(good, v).alias(k) for k, v in given.items()])

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nephos.functions import codecs, sphere
-from nephos.operators import gridset, spectral
+from nephos.operators import grids, gridset, records, spectral
 from nephos.plans.base import r4, read
 from nephos.plans.defined import GRIDS, HALVES
 from nephos.plans.files import _records, shared_folder
@@ -125,7 +127,45 @@ def _packed_query(way):
     return query
 
 
-QUERIES = {f.__name__: f for f in (pack_words, hybrid_records, legendre_polynomials)} | {"tokens_minimum": _packed_query(tokens.MINIMUM), "tokens_parallelogram": _packed_query(tokens.PARALLELOGRAM)} | {f.__name__: f for f in (local_stereographic, lambert_back, hash_hmac, missing_flags, grid_options, field_by_options, grid_halves, stencil_points, record_file_headers)}
+def pole_fit(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
+    lat = F.floor(F.col("k") / 8) * 22.5 - 78.75
+    fits = [("quadratic", True, 0), ("plane", False, 0), ("north", True, 1)]
+    parts = [grids.pole_fit(e, lat, F.col("x").cast("double"), ["vec_id"], bent, half).select("vec_id", F.lit(name).alias("fit"), r4("north").alias("north"), r4("south").alias("south")) for name, bent, half in fits]
+    return reduce(DataFrame.union, parts)
+
+
+def lambert_grid(spark, d):
+    spec = ((20.0, 235.0), 55.0, 270.0, 30.0, 45.0, 32.5, 25.0)
+    x, y = sphere.lambert_grid_xy(F.col("lat"), F.col("lon"), *spec)
+    p = _places(spark, d).withColumns({"x": x, "y": y})
+    lat, lon = sphere.lambert_grid_latlon(F.col("x"), F.col("y"), *spec)
+    return p.select("s_suppkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lat, 4).alias("lat"), F.round(lon, 4).alias("lon"))
+
+
+def bits_recut(spark, d):
+    k = F.col("o_orderkey")
+    three = [k * 7919 % (1 << 28), k * 104729 % (1 << 28), F.col("o_custkey") * 1299709 % (1 << 28)]
+    four = codecs.recut(three, [28] * 3, [21] * 4)
+    o = read(spark, d, "orders").select("o_orderkey", *[c.alias(f"p{i}") for i, c in enumerate(three, 1)], *[c.alias(f"g{i}") for i, c in enumerate(four, 1)])
+    words = codecs.recut([F.col(f"g{i}") for i in range(1, 5)], [21] * 4, [32, 32, 20])
+    back = codecs.recut(words, [32, 32, 20], [28] * 3)
+    same = reduce(Column.__and__, [b == F.col(f"p{i}") for i, b in enumerate(back, 1)])
+    return o.select("o_orderkey", *[f"g{i}" for i in range(1, 5)], *[w.alias(f"w{i}") for i, w in enumerate(words, 1)], same.alias("same"))
+
+
+def axis_records(spark, d):
+    c, p = F.col("c_custkey"), F.col("p_partkey")
+    of = lambda letters, n: F.element_at(F.array(*map(F.lit, letters)), (n % len(letters) + 1).cast("int"))
+    wanted = read(spark, d, "customer").select(of("ZY#U", c).alias("grtyp"), (c % 5 - 1).alias("ni"), (c % 3 + 1).alias("nj"), F.col("c_nationkey").alias("ig1"), (c % 4).alias("ig2"), (c % 2).alias("ig3"))
+    held = read(spark, d, "part").select(
+        p.alias("handle"), of([">>  ", "^^", "^>"], p).alias("nomvar"), of("LNEFOQ", F.floor(p / 3)).alias("grtyp"), (p % 4).alias("ni"), (F.floor(p / 4) % 4).alias("nj"),
+        (p % 25).alias("ip1"), (F.floor(p / 25) % 4).alias("ip2"), (F.floor(p / 100) % 2).alias("ip3"),
+    )
+    return records.axes(wanted, held)
+
+
+QUERIES = {f.__name__: f for f in (pack_words, hybrid_records, legendre_polynomials, pole_fit, lambert_grid, bits_recut, axis_records)} | {"tokens_minimum": _packed_query(tokens.MINIMUM), "tokens_parallelogram": _packed_query(tokens.PARALLELOGRAM)} | {f.__name__: f for f in (local_stereographic, lambert_back, hash_hmac, missing_flags, grid_options, field_by_options, grid_halves, stencil_points, record_file_headers)}
 _P = "(SELECT s_suppkey, s_suppkey * 7 % 50 + 20.0::DOUBLE AS lat, s_suppkey * 31 % 90 + 225.5::DOUBLE AS lon FROM supplier)"
 
 
@@ -174,3 +214,23 @@ ORACLE_SQL["hybrid_records"] = """SELECT p_partkey, CASE WHEN good THEN CASE WHE
     CASE WHEN good AND t <= 1100 THEN t::DOUBLE END AS top, CASE WHEN good AND t <= 1100 THEN round(g2 / 1000.0, 4) END AS power, CASE WHEN good AND t <= 1100 THEN (p_partkey * 7 % 800 + 350)::DOUBLE END AS reference FROM (
     SELECT *, p_partkey % 1300 AS t, p_partkey * 7 % 800 BETWEEN 50 AND 699 AND p_partkey % 130 / 100.0::DOUBLE + 0.9::DOUBLE BETWEEN 1 AND 2 AND p_partkey % 1300 <= 1200 AS good, trunc((p_partkey % 130 / 100.0::DOUBLE + 0.9::DOUBLE) * 1000)::BIGINT AS g2 FROM part)"""
 ORACLE_SQL["legendre_polynomials"] = "WITH x AS (SELECT a + 1 AS spot, (a / 10.0 - 0.4)::DOUBLE AS x FROM range(0, 9) r(a)) SELECT spot, n, round(CASE n WHEN 0 THEN sqrt(0.5) WHEN 1 THEN sqrt(1.5) * x WHEN 2 THEN sqrt(2.5) * (3 * x * x - 1) / 2 ELSE sqrt(3.5) * (5 * x * x * x - 3 * x) / 2 END, 6) + 0 AS p FROM x, range(0, 4) s(n)"
+_RING = " ".join(f"list_sum(embedding[{8 * r + 1}:{8 * r + 8}]::DOUBLE[]) / 8 AS m{r}," for r in (0, 1, 6, 7))
+# A circle's squared distance from the pole is that of the tangent of half its angle.
+_BENT = "({0} * {b} - {1} * {a}) / ({b} - {a})".replace("{a}", "tan(radians(5.625)) ** 2").replace("{b}", "tan(radians(16.875)) ** 2")
+ORACLE_SQL["pole_fit"] = f"""WITH m AS (SELECT {_RING} vec_id FROM embeddings), f AS (SELECT vec_id, {_BENT.format("m7", "m6")} AS n, {_BENT.format("m0", "m1")} AS s, (m6 + m7) / 2 AS pn, (m0 + m1) / 2 AS ps FROM m)
+    SELECT vec_id, 'quadratic' AS fit, round(n, 4) AS north, round(s, 4) AS south FROM f UNION ALL SELECT vec_id, 'plane', round(pn, 4), round(ps, 4) FROM f UNION ALL SELECT vec_id, 'north', round(n, 4), round(n, 4) FROM f"""
+_TAN = lambda v: f"tan(radians(45 + ({v}) / 2.0))"
+_CONE = f"(ln(cos(radians(30)) / cos(radians(45))) / ln({_TAN('45')} / {_TAN('30')}))"
+_RHO = lambda v: f"(6370997.0 * cos(radians(30)) * pow({_TAN('30')} / {_TAN(v)}, {_CONE}) / {_CONE})"
+ORACLE_SQL["lambert_grid"] = f"""SELECT s_suppkey, round(1 + ({_RHO('lat')} * sin({_CONE} * radians(lon - 270)) - {_RHO('20')} * sin({_CONE} * radians(-35))) / 32500, 3) AS x,
+    round(1 + ({_RHO('20')} * cos({_CONE} * radians(-35)) - {_RHO('lat')} * cos({_CONE} * radians(lon - 270))) / 25000, 3) AS y, round(lat, 4) AS lat, round(lon, 4) AS lon FROM {_P}"""
+ORACLE_SQL["bits_recut"] = """WITH b AS (SELECT o_orderkey, (o_orderkey * 7919 % 268435456)::HUGEINT * 72057594037927936::HUGEINT + (o_orderkey * 104729 % 268435456)::HUGEINT * 268435456 + o_custkey * 1299709 % 268435456 AS b FROM orders)
+    SELECT o_orderkey, (b // 9223372036854775808::HUGEINT)::BIGINT AS g1, (b // 4398046511104 % 2097152)::BIGINT AS g2, (b // 2097152 % 2097152)::BIGINT AS g3, (b % 2097152)::BIGINT AS g4,
+    (b // 4503599627370496)::BIGINT AS w1, (b // 1048576 % 4294967296)::BIGINT AS w2, (b % 1048576)::BIGINT AS w3, true AS same FROM b"""
+_AXIS = lambda name, size: f"""CASE WHEN grtyp = 'U' THEN nomvar = '^>' AND anj = 1 AND ani > 0 ELSE nomvar = '{name}' AND (grtyp = '#' OR {size} IN (0, -1) OR a{size} = {size}) END"""
+ORACLE_SQL["axis_records"] = f"""WITH g AS (SELECT DISTINCT ['Z', 'Y', '#', 'U'][c_custkey % 4 + 1] AS grtyp, c_custkey % 5 - 1 AS ni, c_custkey % 3 + 1 AS nj, c_nationkey AS ig1, c_custkey % 4 AS ig2, c_custkey % 2 AS ig3 FROM customer),
+    a AS (SELECT p_partkey AS handle, ['>>', '^^', '^>'][p_partkey % 3 + 1] AS nomvar, ['L', 'N', 'E', 'F', 'O', 'Q'][p_partkey // 3 % 6 + 1] AS agrtyp, p_partkey % 4 AS ani, p_partkey // 4 % 4 AS anj, p_partkey % 25 AS ip1, p_partkey // 25 % 4 AS ip2, p_partkey // 100 % 2 AS ip3 FROM part),
+    m AS (SELECT g.*, min(handle) FILTER ({_AXIS('>>', 'ni')}) AS xh, min(handle) FILTER ({_AXIS('^^', 'nj')}) AS yh FROM g LEFT JOIN a ON ip1 = ig1 AND ip2 = ig2 AND (ip3 = ig3 OR grtyp = '#') GROUP BY ALL),
+    k AS (SELECT m.*, x.ani AS xi, x.anj AS xj, y.ani AS yi, y.anj AS yj, x.agrtyp AS ref, CASE WHEN grtyp = 'U' THEN x.agrtyp = 'F' ELSE x.agrtyp IN ('N', 'S', 'L', 'E', 'O') END AND yh IS NOT NULL AS good FROM m LEFT JOIN a x ON x.handle = xh LEFT JOIN a y ON y.handle = yh)
+    SELECT grtyp, ni, nj, ig1, ig2, ig3, CASE WHEN good THEN xh END AS x_handle, CASE WHEN good THEN yh END AS y_handle, CASE WHEN good THEN xi END AS x_size, CASE WHEN good THEN yj END AS y_size,
+    CASE WHEN good THEN CASE WHEN grtyp <> 'U' AND xi = yi AND xj = yj THEN 'Y' WHEN grtyp IN ('#', 'U') THEN grtyp ELSE 'Z' END END AS kind, CASE WHEN good THEN ref END AS reference FROM k"""

@@ -97,6 +97,14 @@ def write(records: DataFrame, path: str, kind: int = IEEE, bits: int = 32, field
     out.drop(field).write.mode("append").parquet(path)
 
 
+def append(spark: SparkSession, source: str, target: str) -> None:
+    """Adds the live records of one store to another as its latest, if both have the same columns; else nothing is written."""
+    kinds = [{f.name: f.dataType for f in spark.read.parquet(path).schema} for path in (source, target)]
+    if kinds[0] != kinds[1]:
+        raise ValueError(f"{source} and {target} have different columns")
+    open_store(spark, source).withColumn("version", F.lit(time.time_ns())).write.mode("append").parquet(target)
+
+
 def open_store(spark: SparkSession, path: str) -> DataFrame:
     """The directory of live records: the last version of each handle.  Handles and versions alone find it, not the payloads."""
     rows = spark.read.parquet(path)

@@ -190,3 +190,57 @@ def test_cubic_regridding_on_uneven_and_closed_axes(spark):
     for r in df.select("x", "y", "i", "j", a.alias("a"), b.alias("b")).collect():
         assert abs(r["a"] - f(r["x"], r["y"])) < 1e-8
         assert abs(r["b"] - np.sin(2 * np.pi * (r["i"] - 1) / 40) * r["j"]) < 1e-4 * 8
+
+
+@pytest.mark.parametrize("count, quadratic", [(12, True), (12, False), (5, True), (3, True)])
+def test_pole_values_are_those_of_least_squares(spark, count, quadratic):
+    lats = [-80.0, -55.0, 10.0, 60.0, 75.0]
+    z = np.random.default_rng(count).normal(size=(len(lats), count))
+    rows = spark.createDataFrame([("a", lats[j], float(z[j, i])) for j in range(len(lats)) for i in range(count)] + [("one", 5.0, 2.0), ("one", 5.0, 4.0), ("none", 5.0, None)], "g string, la double, v double")
+    got = {r["g"]: (r["north"], r["south"]) for r in grids.pole_fit(rows, F.col("la"), F.col("v"), ["g"], quadratic).collect()}
+    want = []
+    for j, sign in (((4, 3), 1), ((0, 1), -1)):
+        r = np.repeat([np.tan(np.radians(90 - sign * lats[k]) / 2) for k in j], count)
+        t = np.tile(np.arange(count) * 2 * np.pi / count, 2)
+        x, y = r * np.cos(t), r * np.sin(t)
+        terms = [np.ones(2 * count), x, y, x * x, x * y, y * y] if quadratic else [np.ones(2 * count), x, y]
+        if count < 5:
+            terms = terms[:1]
+        want.append(np.linalg.lstsq(np.stack(terms, 1), z[list(j)].ravel(), rcond=None)[0][0])
+    assert got.pop("a") == pytest.approx(want, abs=1e-9) and got == {"one": (3.0, 3.0)}
+
+
+def test_axes_of_grids(spark):
+    kinds = "handle long, nomvar string, grtyp string, ni int, nj int, ip1 int, ip2 int, ip3 int"
+    held = spark.createDataFrame([
+        (9, ">>  ", "L", 4, 1, 1, 2, 3), (5, ">>", "E", 4, 1, 1, 2, 3), (4, ">>", "E", 6, 1, 1, 2, 3), (7, "^^", "E", 1, 3, 1, 2, 3),
+        (2, "^^", "L", 4, 3, 7, 7, 7), (1, ">>", "L", 4, 3, 7, 7, 7), (3, "^>", "F", 20, 1, 8, 8, 8), (6, ">>", "X", 4, 1, 9, 9, 9), (8, "^^", "X", 1, 3, 9, 9, 9), (10, "TT", "L", 4, 1, 1, 2, None),
+    ], kinds)
+    grid = "grtyp string, ni int, nj int, ig1 int, ig2 int, ig3 int"
+    wanted = spark.createDataFrame([("Z", 4, 3, 1, 2, 3)] * 3 + [("Z", 0, -1, 1, 2, 3), ("Z", 5, 3, 1, 2, 3), ("#", 2, 2, 1, 2, 99), ("Y", 4, 3, 7, 7, 7), ("U", 0, 0, 8, 8, 8), ("Z", 4, 3, 9, 9, 9), ("Z", 4, 3, None, 2, 3)], grid)
+    got = sorted(tuple(r)[3:4] + tuple(r)[6:] for r in records.axes(wanted, held).where("ig1 IS NOT NULL").collect() if r["x_handle"] is not None)
+    assert got == [(1, 4, 7, 6, 3, "#", "E"), (1, 4, 7, 6, 3, "Z", "E"), (1, 5, 7, 4, 3, "Z", "E"), (7, 1, 2, 4, 3, "Y", "L"), (8, 3, 3, 20, 1, "U", "F")]
+    assert records.axes(wanted, held).count() == 8 and records.axes(wanted, held.where("handle < 0")).where("kind IS NULL").count() == 8
+
+
+def test_stores_are_appended_whole_or_not(spark, tmp_path):
+    from nephos.sources import recordstore as rs
+
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    rows = lambda *r: spark.createDataFrame(r, "handle long, nomvar string, field array<double>")
+    rs.write(rows((1, "UU", [1.0]), (2, "VV", [2.0])), a)
+    rs.write(rows((2, "VV", [5.0]), (3, "TT", [6.0])), b)
+    rs.append(spark, a, b)
+    assert {r["handle"]: r["field"] for r in rs.fields(rs.open_store(spark, b)).collect()} == {1: [1.0], 2: [2.0], 3: [6.0]}
+    rs.write(rows((4, "UU", [1.0])).withColumn("more", F.lit(1)), c)
+    with pytest.raises(ValueError, match="different columns"):
+        rs.append(spark, c, b)
+    assert spark.read.parquet(b).count() == 4
+
+
+def test_bits_are_recut(spark):
+    given = [0xFFFFFFF, 0, 0xABCDEF1]
+    whole = given[0] << 56 | given[1] << 28 | given[2]
+    assert one(spark, *codecs.recut([F.lit(g) for g in given], [28] * 3, [21] * 4)) == tuple(whole >> s & 0x1FFFFF for s in (63, 42, 21, 0))
+    with pytest.raises(ValueError, match="84 bits"):
+        codecs.recut([F.lit(g) for g in given], [28] * 3, [32, 32])
