@@ -118,3 +118,26 @@ def unpack(kind: str, g1: Column, g2: Column, g3: Column, g4: Column) -> tuple[C
         more = lambda g: F.when(g != 0, (g - 1000) * 0.00001).otherwise(0.0)
         return g3 * 0.01 - 100.0 + more(g1), g4 * 0.01 + more(g2), F.lit(0.0), F.lit(0.0)
     raise ValueError(f"no descriptor for a grid of kind {kind}")
+
+
+def printable(kind: str, g1: Column, g2: Column, g3: Column, g4: Column) -> tuple[Column, Column, Column, Column]:
+    """The four numbers of a descriptor as text of fixed widths: what they mean for N, S, A, B, G and E, the integers for other
+    kinds.  A number wider than its place is a row of stars; nulls stay null."""
+    whole, km = "%{}d", "%{}.1fKm"
+    forms = [whole] * 4
+    x = [g.cast("long") for g in (g1, g2, g3, g4)]
+    if kind in "NS":
+        a, b, c, e = unpack(kind, g1, g2, g3, g4)
+        x, forms = [a, b, c / 1000, e], ["%{}.1f", "%{}.1f", km, "%{}.3f"]
+    elif kind in "ABG":
+        x = [v.cast("long") for v in unpack(kind, g1, g2, g3, g4)]
+    elif kind == "E":
+        x, forms = list(unpack(kind, g1, g2, g3, g4)), ["%{}.2f", "%{}.2f", "%{}.3f", "%{}.3f"]
+
+    def text(value: Column, form: str, width: int) -> Column:
+        # The unit stands beside a number that is two places narrower.
+        t = F.format_string(form.format(width - 2 if form == km else width), value)
+        stars = "*" * (width - 2) + "Km" if form == km else "*" * width
+        return F.when(value.isNull(), None).when(F.length(t) > width, stars).otherwise(t)
+
+    return tuple(text(v, f, w) for v, f, w in zip(x, forms, (6, 6, 7, 7), strict=True))

@@ -100,6 +100,21 @@ def pole_mean(rows: DataFrame, at: Column, value: str, by: list[str]) -> DataFra
     return t.groupBy(*by).agg((total / F.coalesce(F.nullif(F.sum("_w"), F.lit(0.0)), F.lit(1.0))).alias("pole"))
 
 
+def pole_wind(rows: DataFrame, lon: Column, u: str, v: str, ring: str, by: list[str], calm: float = 0.0) -> DataFrame:
+    """Speed of the wind at a pole and its angle to the first meridian (0 to 360), calm where there is no wind.
+
+    The rows next to the pole (ring 1 and 2) are turned into the polar plane; 9/8 of the mean of the first less 1/8 of that of
+    the second stands for the pole.
+    """
+    s, c = -F.sin(F.radians(lon)), F.cos(F.radians(lon))
+    part = {"x": s * F.col(u) - c * F.col(v), "y": c * F.col(u) + s * F.col(v)}
+    means = [F.avg(F.when(F.col(ring) == n, p)).alias(f"{k}{n}") for k, p in part.items() for n in (1, 2)]
+    x, y = (F.col(f"{k}1") * 1.125 - F.col(f"{k}2") * 0.125 for k in part)
+    t = rows.groupBy(*by).agg(*means).select(*by, x.alias("x"), y.alias("y")).withColumn("speed", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
+    angle = F.degrees(F.atan2("y", "x"))
+    return t.select(*by, "speed", F.when(F.col("speed") == 0, calm).otherwise(F.when(angle < 0, angle + 360).otherwise(angle)).alias("angle"))
+
+
 def block_mean(rows: DataFrame, i: str, j: str, value: str, size: int, by: list[str]) -> DataFrame:
     """Means over blocks of size by size points."""
     block = {"bi": F.floor((F.col(i) - 1) / size).cast("long"), "bj": F.floor((F.col(j) - 1) / size).cast("long")}

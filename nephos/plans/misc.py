@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nephos.functions import codecs, sphere
-from nephos.operators import grids, gridset, records, spectral
+from nephos.functions import codecs, descriptors, sphere
+from nephos.operators import grids, gridset, records, scores, spectral
 from nephos.plans.base import r4, read
 from nephos.plans.defined import GRIDS, HALVES
 from nephos.plans.files import _records, shared_folder
@@ -165,7 +165,26 @@ def axis_records(spark, d):
     return records.axes(wanted, held)
 
 
-QUERIES = {f.__name__: f for f in (pack_words, hybrid_records, legendre_polynomials, pole_fit, lambert_grid, bits_recut, axis_records)} | {"tokens_minimum": _packed_query(tokens.MINIMUM), "tokens_parallelogram": _packed_query(tokens.PARALLELOGRAM)} | {f.__name__: f for f in (local_stereographic, lambert_back, hash_hmac, missing_flags, grid_options, field_by_options, grid_halves, stencil_points, record_file_headers)}
+def grid_desc_text(spark, d):
+    n = F.col("p_partkey")
+    given = {
+        "N": [n % 99 + 0.5, n % 77 + 0.5, 50000.0 + n % 100 * 100.0, n % 720 / 2.0], "E": [n % 3600 / 20.0 - 90, n * 7 % 7200 / 20.0, n * 11 % 1800 / 20.0 - 45, n * 13 % 7200 / 20.0],
+        "A": [n % 3 * 1.0, n % 2 * 1.0, n * 0.0, n * 0.0], "Z": None,
+    }
+    codes = {k: descriptors.pack(k, *x) if x else (n * 997, n, n * 99991, F.lit(7)) for k, x in given.items()}
+    p = read(spark, d, "part").select("p_partkey", *[c.alias(f"{k}{i}") for k, g in codes.items() for i, c in enumerate(g, 1)])
+    return p.select("p_partkey", *[c.alias(f"{k.lower()}{i}") for k in codes for i, c in enumerate(descriptors.printable(k, *[F.col(f"{k}{j}") for j in (1, 2, 3, 4)]), 1)])
+
+
+def pole_wind(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
+    rows = e.select("vec_id", (F.col("k") % 16).alias("i"), (F.floor(F.col("k") / 16) % 2 + 1).alias("ring"), F.floor(F.col("k") / 32).alias("part"), F.col("x").cast("double").alias("x"))
+    wind = rows.groupBy("vec_id", "i", "ring").agg(F.max(F.when(F.col("part") == 0, F.col("x"))).alias("u"), F.max(F.when(F.col("part") == 1, F.col("x"))).alias("v"))
+    t = scores.pole_wind(wind, F.col("i") * 22.5, "u", "v", "ring", ["vec_id"])
+    return t.select("vec_id", r4("speed").alias("speed"), F.round("angle", 3).alias("angle"))
+
+
+QUERIES = {f.__name__: f for f in (pack_words, hybrid_records, legendre_polynomials, pole_fit, lambert_grid, bits_recut, axis_records, grid_desc_text, pole_wind)} | {"tokens_minimum": _packed_query(tokens.MINIMUM), "tokens_parallelogram": _packed_query(tokens.PARALLELOGRAM)} | {f.__name__: f for f in (local_stereographic, lambert_back, hash_hmac, missing_flags, grid_options, field_by_options, grid_halves, stencil_points, record_file_headers)}
 _P = "(SELECT s_suppkey, s_suppkey * 7 % 50 + 20.0::DOUBLE AS lat, s_suppkey * 31 % 90 + 225.5::DOUBLE AS lon FROM supplier)"
 
 
@@ -234,3 +253,12 @@ ORACLE_SQL["axis_records"] = f"""WITH g AS (SELECT DISTINCT ['Z', 'Y', '#', 'U']
     k AS (SELECT m.*, x.ani AS xi, x.anj AS xj, y.ani AS yi, y.anj AS yj, x.agrtyp AS ref, CASE WHEN grtyp = 'U' THEN x.agrtyp = 'F' ELSE x.agrtyp IN ('N', 'S', 'L', 'E', 'O') END AND yh IS NOT NULL AS good FROM m LEFT JOIN a x ON x.handle = xh LEFT JOIN a y ON y.handle = yh)
     SELECT grtyp, ni, nj, ig1, ig2, ig3, CASE WHEN good THEN xh END AS x_handle, CASE WHEN good THEN yh END AS y_handle, CASE WHEN good THEN xi END AS x_size, CASE WHEN good THEN yj END AS y_size,
     CASE WHEN good THEN CASE WHEN grtyp <> 'U' AND xi = yi AND xj = yj THEN 'Y' WHEN grtyp IN ('#', 'U') THEN grtyp ELSE 'Z' END END AS kind, CASE WHEN good THEN ref END AS reference FROM k"""
+_WIDE = lambda form, v, w: f"CASE WHEN length(printf('{form}', {v})) > {w} THEN repeat('*', {w}) ELSE printf('{form}', {v}) END"
+ORACLE_SQL["grid_desc_text"] = f"""SELECT p_partkey, printf('%6.1f', (p_partkey % 99 + 0.5)::DOUBLE) AS n1, printf('%6.1f', (p_partkey % 77 + 0.5)::DOUBLE) AS n2, printf('%5.1fKm', (50 + p_partkey % 100 / 10.0)::DOUBLE) AS n3, printf('%7.3f', (p_partkey % 720 / 2.0)::DOUBLE) AS n4,
+    printf('%6.2f', (p_partkey % 3600 / 20.0 - 90)::DOUBLE) AS e1, printf('%6.2f', (p_partkey * 7 % 7200 / 20.0)::DOUBLE) AS e2, printf('%7.3f', (p_partkey * 11 % 1800 / 20.0 - 45)::DOUBLE) AS e3, printf('%7.3f', (p_partkey * 13 % 7200 / 20.0)::DOUBLE) AS e4,
+    printf('%6d', p_partkey % 3) AS a1, printf('%6d', p_partkey % 2) AS a2, '      0' AS a3, '      0' AS a4, {_WIDE('%6d', 'p_partkey * 997', 6)} AS z1, {_WIDE('%6d', 'p_partkey', 6)} AS z2, {_WIDE('%7d', 'p_partkey * 99991', 7)} AS z3, '      7' AS z4 FROM part"""
+# Turned by a right angle beyond the longitude, as a complex number.
+_POLAR_SUM = lambda r, f: f"list_sum(list_transform(range(0, 16), lambda i: embedding[{16 * r} + i + 1]::DOUBLE * {f[0]}(radians(90 + i * 22.5)) * {f[1]} - embedding[{32 + 16 * r} + i + 1]::DOUBLE * {f[2]}(radians(90 + i * 22.5)))) / 16"
+_X, _Y = ("cos", 1, "sin"), ("sin", 1, "-cos")
+ORACLE_SQL["pole_wind"] = f"""SELECT vec_id, round(sqrt(x * x + y * y), 4) AS speed, round(degrees(atan2(y, x)) + CASE WHEN y < 0 THEN 360 ELSE 0 END, 3) AS angle FROM (
+    SELECT vec_id, ({_POLAR_SUM(0, _X)}) * 9 / 8 - ({_POLAR_SUM(1, _X)}) / 8 AS x, ({_POLAR_SUM(0, _Y)}) * 9 / 8 - ({_POLAR_SUM(1, _Y)}) / 8 AS y FROM embeddings)"""

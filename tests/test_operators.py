@@ -244,3 +244,22 @@ def test_bits_are_recut(spark):
     assert one(spark, *codecs.recut([F.lit(g) for g in given], [28] * 3, [21] * 4)) == tuple(whole >> s & 0x1FFFFF for s in (63, 42, 21, 0))
     with pytest.raises(ValueError, match="84 bits"):
         codecs.recut([F.lit(g) for g in given], [28] * 3, [32, 32])
+
+
+def test_descriptors_as_text(spark):
+    from nephos.functions import descriptors
+
+    lit = F.lit
+    assert one(spark, *descriptors.printable("N", *descriptors.pack("N", lit(40.5), lit(50.0), lit(381000.0), lit(21.0)))) == ("  40.5", "  50.0", "381.0Km", " 21.000")
+    assert one(spark, *descriptors.printable("Z", lit(12), lit(1234567), lit(-5), lit(None).cast("int"))) == ("    12", "******", "     -5", None)
+
+
+def test_wind_at_the_pole(spark):
+    # The same wind in the polar plane, seen from all longitudes; and none at all.
+    lon = np.arange(12) * 30.0
+    u, v = (lambda a: 3 * -np.sin(a) + 4 * np.cos(a))(np.radians(lon)), (lambda a: -3 * np.cos(a) - 4 * np.sin(a))(np.radians(lon))
+    rows = [("a", float(m), float(x), float(y), ring) for m, x, y in zip(lon, u, v, strict=True) for ring in (1, 2)] + [("calm", 0.0, 0.0, 0.0, 1), ("calm", 0.0, 0.0, 0.0, 2)]
+    from nephos.operators import scores
+
+    got = {r["g"]: (r["speed"], r["angle"]) for r in scores.pole_wind(spark.createDataFrame(rows, "g string, lon double, u double, v double, ring int"), F.col("lon"), "u", "v", "ring", ["g"], 45.0).collect()}
+    assert got["a"] == pytest.approx((5.0, 53.13010235), abs=1e-7) and got["calm"] == (0.0, 45.0)
