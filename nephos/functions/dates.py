@@ -47,6 +47,12 @@ def printable(at: Column) -> tuple[Column, Column]:
     )
 
 
+def system_time() -> tuple[Column, Column]:
+    """The query's own time as a day (yyyymmdd) and a time of day (hhmmss00) of universal time."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.date_format(now, "yyyyMMdd").cast("int"), F.date_format(now, "HHmmss").cast("int") * 100
+
+
 def hours_between(a: Column, b: Column) -> Column:
     return (F.unix_seconds(a.cast("timestamp")) - F.unix_seconds(b.cast("timestamp"))) / 3600.0
 

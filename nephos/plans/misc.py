@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nephos.functions import codecs, descriptors, sphere
-from nephos.operators import grids, gridset, records, scores, spectral
+from nephos.operators import directives, grids, gridset, records, scores, spectral
 from nephos.plans.base import r4, read
 from nephos.plans.defined import GRIDS, HALVES
 from nephos.plans.files import _records, shared_folder
@@ -184,7 +184,15 @@ def pole_wind(spark, d):
     return t.select("vec_id", r4("speed").alias("speed"), F.round("angle", 3).alias("angle"))
 
 
-QUERIES = {f.__name__: f for f in (pack_words, hybrid_records, legendre_polynomials, pole_fit, lambert_grid, bits_recut, axis_records, grid_desc_text, pole_wind)} | {"tokens_minimum": _packed_query(tokens.MINIMUM), "tokens_parallelogram": _packed_query(tokens.PARALLELOGRAM)} | {f.__name__: f for f in (local_stereographic, lambert_back, hash_hmac, missing_flags, grid_options, field_by_options, grid_halves, stencil_points, record_file_headers)}
+def command_lines(spark, d):
+    known = [("-", "none", ""), ("in", "a0", "a1"), ("in", "b0", "b1"), ("out_", "Out0", "Out1"), ("title.", "Ti", "Tj"), ("v", "no", "yes")]
+    n = F.col("p_partkey").cast("string")
+    lines = [F.concat(F.lit("p"), n, F.lit(" -In X"), n, F.lit(":y -v")), F.lit("-in=a:b:c"), F.concat(F.lit("-OUT=AbC"), n, F.lit(" -- last"), n), F.concat(F.lit("-in one two  -title==-Mixed"), n)]
+    p = read(spark, d, "part").select("p_partkey", directives.answers(F.element_at(F.array(*lines), (F.col("p_partkey") % 4 + 1).cast("int")), known).alias("a"))
+    return p.select("p_partkey", *[F.get("a", F.lit(i)).alias(k) for i, k in enumerate(("free", "in1", "in2", "out", "title", "v"))])
+
+
+QUERIES = {f.__name__: f for f in (pack_words, hybrid_records, legendre_polynomials, pole_fit, lambert_grid, bits_recut, axis_records, grid_desc_text, pole_wind, command_lines)} | {"tokens_minimum": _packed_query(tokens.MINIMUM), "tokens_parallelogram": _packed_query(tokens.PARALLELOGRAM)} | {f.__name__: f for f in (local_stereographic, lambert_back, hash_hmac, missing_flags, grid_options, field_by_options, grid_halves, stencil_points, record_file_headers)}
 _P = "(SELECT s_suppkey, s_suppkey * 7 % 50 + 20.0::DOUBLE AS lat, s_suppkey * 31 % 90 + 225.5::DOUBLE AS lon FROM supplier)"
 
 
@@ -262,3 +270,6 @@ _POLAR_SUM = lambda r, f: f"list_sum(list_transform(range(0, 16), lambda i: embe
 _X, _Y = ("cos", 1, "sin"), ("sin", 1, "-cos")
 ORACLE_SQL["pole_wind"] = f"""SELECT vec_id, round(sqrt(x * x + y * y), 4) AS speed, round(degrees(atan2(y, x)) + CASE WHEN y < 0 THEN 360 ELSE 0 END, 3) AS angle FROM (
     SELECT vec_id, ({_POLAR_SUM(0, _X)}) * 9 / 8 - ({_POLAR_SUM(1, _X)}) / 8 AS x, ({_POLAR_SUM(0, _Y)}) * 9 / 8 - ({_POLAR_SUM(1, _Y)}) / 8 AS y FROM embeddings)"""
+ORACLE_SQL["command_lines"] = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'P' || p_partkey WHEN 2 THEN 'LAST' || p_partkey WHEN 3 THEN 'NONE' END AS free, CASE p_partkey % 4 WHEN 0 THEN 'X' || p_partkey WHEN 2 THEN 'A0' WHEN 3 THEN 'ONE' END AS in1,
+    CASE p_partkey % 4 WHEN 0 THEN 'Y' WHEN 2 THEN 'B0' WHEN 3 THEN 'TWO' END AS in2, CASE p_partkey % 4 WHEN 2 THEN 'abc' || p_partkey WHEN 1 THEN NULL ELSE 'out0' END AS out, CASE p_partkey % 4 WHEN 3 THEN '-Mixed' || p_partkey WHEN 1 THEN NULL ELSE 'Ti' END AS title,
+    CASE p_partkey % 4 WHEN 0 THEN 'YES' WHEN 1 THEN NULL ELSE 'NO' END AS v FROM part"""

@@ -263,3 +263,25 @@ def test_wind_at_the_pole(spark):
 
     got = {r["g"]: (r["speed"], r["angle"]) for r in scores.pole_wind(spark.createDataFrame(rows, "g string, lon double, u double, v double, ring int"), F.col("lon"), "u", "v", "ring", ["g"], 45.0).collect()}
     assert got["a"] == pytest.approx((5.0, 53.13010235), abs=1e-7) and got["calm"] == (0.0, 45.0)
+
+
+def test_command_lines():
+    from nephos.operators.directives import DirectiveError, command_line
+
+    known = [("-", "", ""), ("-", "", ""), ("n.", "0", "1"), ("n.", "x", "y"), ("low_", "A", "B")]
+    assert command_line([], known) == (["", "", "0", "x", "a"], 0)
+    assert command_line("u -n =-5:6 -LOW -- -v".split(), known) == (["U", "-V", "-5", "6", "b"], 2)
+    assert command_line("-n=-5 7".split(), known)[0][2:4] == ["-5", "7"]
+    for bad in ("a b c", "-m", "-n 1:2:3", "-n 1 2 3", "-", "-low=a b", "-n -- 1 2 3"):
+        with pytest.raises(DirectiveError):
+            command_line(bad.split(), known)
+    with pytest.raises(DirectiveError):
+        command_line(["a"], known[2:])
+
+
+def test_system_time(spark):
+    import datetime as dt
+
+    said = lambda t: (t.year * 10000 + t.month * 100 + t.day, (t.hour * 10000 + t.minute * 100 + t.second) * 100)
+    before = said(dt.datetime.now(dt.UTC))
+    assert before <= one(spark, *dates.system_time()) <= said(dt.datetime.now(dt.UTC))
