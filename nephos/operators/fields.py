@@ -30,6 +30,53 @@ def in_quadrilateral(p: Point, a: Point, b: Point, c: Point, d: Point) -> Column
     return in_triangle(p, a, b, c) | in_triangle(p, a, c, d)
 
 
+def in_cell(p: Point, a: Point, b: Point, c: Point, d: Point) -> Point:
+    """Coordinates of a point in the projective map of the unit square on abcd, a at (0, 0), b at (1, 0), d at (0, 1); null where
+    corners lie on a line.  Numbers less than 0.01 below zero, which rounding makes on a side, become positive."""
+    (x, y), (xa, ya), (xb, yb), (xc, yc), (xd, yd) = p, a, b, c, d
+    cross = lambda x1, y1, x2, y2: x1 * y2 - x2 * y1
+    over = lambda value, by: value / F.nullif(by, F.lit(0.0))
+    odd = (xa - xb + xc - xd, ya - yb + yc - yd)
+    sides = cross(xb - xc, yb - yc, xd - xc, yd - yc)
+    g, h = over(cross(*odd, xd - xc, yd - yc), sides), over(cross(xb - xc, yb - yc, *odd), sides)
+
+    def solved(s: Column) -> Column:
+        # Both equations of the map, linear in u and v.
+        u1, v1, u2, v2 = (s[k] for k in ("u1", "v1", "u2", "v2"))
+        det = cross(u1, u2, v1, v2)
+        plus = lambda t: F.when(F.abs(t) < 0.01, F.abs(t)).otherwise(t)
+        return F.struct(plus(over(cross(s["x"], s["y"], v1, v2), det)).alias("u"), plus(over(cross(u1, u2, s["x"], s["y"]), det)).alias("v"))
+
+    def terms(t: Column) -> Column:
+        by = lambda to, start, at, k: to - start + k * (to - at)
+        parts = {"u1": by(xb, xa, x, t["g"]), "v1": by(xd, xa, x, t["h"]), "u2": by(yb, ya, y, t["g"]), "v2": by(yd, ya, y, t["h"]), "x": x - xa, "y": y - ya}
+        return once(F.struct(*[v.alias(k) for k, v in parts.items()]), solved)
+
+    found = once(F.struct(g.alias("g"), h.alias("h")), terms)
+    return found["u"], found["v"]
+
+
+def place_in_cloud(p: Point, xs: Column, ys: Column, i: Column, j: Column, ni: int, nj: int) -> Column:
+    """Fractional indices (x, y) of a point on a grid whose nodes lie anywhere, xs and ys as arrays, by the node next to it: in
+    the first of the four cells around that node (kept off the edges) which holds the point; null where none does."""
+    i, j = F.least(F.greatest(i, F.lit(2)), F.lit(ni - 1)), F.least(F.greatest(j, F.lit(2)), F.lit(nj - 1))
+    node = lambda i, j: (F.get(xs, ((j - 1) * ni + i - 1).cast("int")).cast("double"), F.get(ys, ((j - 1) * ni + i - 1).cast("int")).cast("double"))
+    corners = lambda s: [(s[f"x{k}"], s[f"y{k}"]) for k in range(4)]
+
+    def cell(west: Column, south: Column) -> Column:
+        around = [node(west + di, south + dj) for di, dj in ((0, 0), (1, 0), (1, 1), (0, 1))]
+        return F.struct(west.cast("double").alias("i"), south.cast("double").alias("j"), *[c.alias(f"{n}{k}") for k, at in enumerate(around) for n, c in zip("xy", at, strict=True)])
+
+    cells = F.array(*[cell(i - 1 + di, j - 1 + dj) for dj in (0, 1) for di in (0, 1)])
+    holding = F.get(F.filter(cells, lambda s: in_quadrilateral(p, *corners(s))), F.lit(0))
+
+    def placed(s: Column) -> Column:
+        u, v = in_cell(p, *corners(s))
+        return F.when(s.isNotNull(), F.struct((s["i"] + u).alias("x"), (s["j"] + v).alias("y")))
+
+    return once(holding, placed)
+
+
 def box_average(z: Column, ni: int, nj: int, box: tuple[Column, Column, Column, Column], wrap: bool = False) -> Column:
     """Mean of a field, held as an array, over a box of fractional indices (west, east, south, north), each point standing for the
     unit cell around it; cells count by how much of them is in the box.  Rows end with the field; columns go round if wrap."""

@@ -86,6 +86,12 @@ def coarse_reversed(spark, d):
     return series.coarse(g, "i", "j", 7, rows, 3).select("i", "j", r4("f").alias("f"))
 
 
+def coarse_refined(spark, d):
+    z = F.transform("embedding", lambda x: F.floor(x * 1000).cast("long"))
+    e = read(spark, d, "embeddings").select("vec_id", F.posexplode(series.refined(z, 8, 8)).alias("k", "value"))
+    return e.select("vec_id", F.col("k").cast("long").alias("k"), "value")
+
+
 def lorenzo_residual(spark, d):
     z = F.transform("embedding", lambda x: F.floor(x * 1000).cast("long"))
     e = read(spark, d, "embeddings").select("vec_id", z.alias("z")).withColumn("res", series.residuals(F.col("z"), 8))
@@ -154,7 +160,7 @@ def stream_channel(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (sphere_distance_area, rotated_frame, latlon_gaussian_index, lambert, pressure_levels, map_scale_coriolis, base40_names, element_codes, file_names, edge_derivative, coarse_reversed, lorenzo_residual, fourier, fourier_back, matrix_product, spline, stream_zonal_means, stream_channel)
+    for f in (sphere_distance_area, rotated_frame, latlon_gaussian_index, lambert, pressure_levels, map_scale_coriolis, base40_names, element_codes, file_names, edge_derivative, coarse_reversed, coarse_refined, lorenzo_residual, fourier, fourier_back, matrix_product, spline, stream_zonal_means, stream_channel)
 }
 _P = "(SELECT s_suppkey, ((s_suppkey * 7) % 80 + 5)::DOUBLE AS lat, ((s_suppkey * 31) % 360)::DOUBLE AS lon FROM supplier)"
 _CHARS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ/?: "
@@ -215,3 +221,18 @@ ORACLE_SQL = {
     "stream_zonal_means": "SELECT floor(epoch(ts) / 86400)::BIGINT * 86400 AS start, event_type AS zone, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",
     "stream_channel": "SELECT event_id, 'I' AS kind, event_id::INTEGER AS value FROM events WHERE event_id % 4 = 1",
 }
+
+
+def _refined_sql() -> str:
+    """Both lines of eight by powers of the way from the second node on; the last point stands for the fourth node."""
+    cubic = lambda a, b, c, e, t: f"({b} + ({t} / 3.0) * ((6 * {c} - {e} - 3 * {b} - 2 * {a}) / 6.0 + ({t} / 3.0) * (({a} + {c} - 2 * {b}) / 2.0 + ({t} / 3.0) * ({e} - {a} + 3 * ({b} - {c})) / 6.0)))::DOUBLE"
+    whole = lambda v: f"trunc({v} + sign({v}) * 0.5001)::BIGINT"
+    line = lambda at: "[" + ", ".join(at(k) if k in (1, 4, 7, 8) else whole(cubic(at(1), at(4), at(7), at(8), k - 4)) for k in range(1, 9)) + "]"
+    rows = ", ".join(f"{line(lambda i, j=j: f'z[{(j - 1) * 8 + i}]')} AS r{j}" for j in (1, 4, 7, 8))
+    columns = ", ".join(f"{line(lambda j, i=i: f'r{j}[{i}]')} AS c{i}" for i in range(1, 9))
+    pick = " ".join(f"WHEN {i - 1} THEN c{i}[k // 8 + 1]" for i in range(1, 9))
+    return f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x * 1000)::BIGINT) AS z FROM embeddings), r AS (SELECT vec_id, {rows} FROM e), c AS (SELECT vec_id, {columns} FROM r)
+        SELECT vec_id, k, CASE k % 8 {pick} END AS value FROM c, range(0, 64) s(k)"""
+
+
+ORACLE_SQL["coarse_refined"] = _refined_sql()

@@ -134,9 +134,19 @@ def packed_floats(spark, d):
     return back.groupBy("vec_id").agg(F.first(F.octet_length("b")).cast("long").alias("n_bytes"), F.round(F.sum(F.col("v").cast("double") * (F.col("k") + 1)), 5).alias("total"))
 
 
+def point_in_cloud(spark, d):
+    """Points on an uneven grid, some of them off it, by the node that an even grid would name."""
+    v, nodes = F.col("vec_id"), F.sequence(F.lit(0), F.lit(63))
+    xs = F.transform(nodes, lambda k: k % 8 + 1 + k * 5 % 7 / 20.0 + F.floor(k / 8) / 10.0)
+    ys = F.transform(nodes, lambda k: F.floor(k / 8) + 1 + k * 3 % 5 / 16.0 - k % 8 / 25.0)
+    e = read(spark, d, "embeddings").select("vec_id", (v * 7 % 89 / 10.0 + 0.513).alias("px"), (v * 11 % 83 / 10.0 + 0.517).alias("py"))
+    at = ops.place_in_cloud((F.col("px"), F.col("py")), xs, ys, F.round("px").cast("int"), F.round("py").cast("int"), 8, 8)
+    return e.select("vec_id", at.alias("at")).select("vec_id", F.col("at").isNotNull().alias("inside"), r4("at.x").alias("x"), r4("at.y").alias("y"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (point_in_cells, neighbours_masked, average_box, average_spherical, predicted_fill, spline_slopes, spline_surface, end_derivatives, sum_of_squares, truncation_rows, legendre_slopes, gaussian_roots, lambert_two_parallels, hybrid_codes, pressure_by_kind, packed_floats)
+    for f in (point_in_cells, point_in_cloud, neighbours_masked, average_box, average_spherical, predicted_fill, spline_slopes, spline_surface, end_derivatives, sum_of_squares, truncation_rows, legendre_slopes, gaussian_roots, lambert_two_parallels, hybrid_codes, pressure_by_kind, packed_floats)
 }
 
 
@@ -219,3 +229,22 @@ _KNN3 = """WITH s AS (SELECT s_suppkey, ((s_suppkey * 37) % 140 - 70)::DOUBLE AS
     p AS (SELECT c_custkey, s_suppkey, abs(s.lat - c.lat) AS dy, least(abs(s.lon - c.lon), 360 - abs(s.lon - c.lon)) AS dx FROM c JOIN s ON abs(s.lat - c.lat) < 10 JOIN e ON c.lat BETWEEN lat0 AND lat1 AND c.lon BETWEEN lon0 AND lon1),
     k AS (SELECT *, dx * dx + dy * dy AS d2, row_number() OVER (PARTITION BY c_custkey ORDER BY dx * dx + dy * dy, s_suppkey) AS place FROM p WHERE dx < 10)"""
 ORACLE_SQL["neighbours_masked"] = f"{_KNN3} SELECT c_custkey, count(*) AS n, max(s_suppkey) AS greatest, round(sum(d2 / greatest(d2, 1e-10)) / sum(1 / greatest(d2, 1e-10)), 4) AS d2 FROM k WHERE place <= 3 GROUP BY 1"
+
+
+def _cloud_sql() -> str:
+    """Cells by the signs of cross products; the map's matrix by its adjugate (Heckbert, 1989)."""
+    n = lambda c, i, j: f"g.{c}[({j} - 1) * 8 + {i}]"
+    corners = ", ".join(f"{n(c, f'(w + {a})', f'(s + {b})')} AS {c}{k}" for k, (a, b) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1))) for c in "xy")
+    side = lambda a, b: f"((x{b} - x{a}) * (py - y{a}) - (y{b} - y{a}) * (px - x{a}))"
+    tri = lambda *t: "(" + " OR ".join("(" + " AND ".join(f"{side(t[k], t[(k + 1) % 3])} {sign} 0" for k in range(3)) + ")" for sign in (">=", "<=")) + ")"
+    return f"""WITH g AS (SELECT list_transform(range(0, 64), lambda k: (k % 8 + 1 + k * 5 % 7 / 20.0 + k // 8 / 10.0)::DOUBLE) AS x, list_transform(range(0, 64), lambda k: (k // 8 + 1 + k * 3 % 5 / 16.0 - k % 8 / 25.0)::DOUBLE) AS y),
+    p AS (SELECT vec_id, (vec_id * 7 % 89 / 10.0 + 0.513)::DOUBLE AS px, (vec_id * 11 % 83 / 10.0 + 0.517)::DOUBLE AS py FROM embeddings),
+    c AS (SELECT p.*, o, greatest(2, least(7, round(px)))::BIGINT - 1 + o % 2 AS w, greatest(2, least(7, round(py)))::BIGINT - 1 + o // 2 AS s FROM p, range(0, 4) r(o)), q AS (SELECT c.*, {corners} FROM c, g),
+    f AS (SELECT vec_id, arg_min(q, o) AS t FROM q WHERE {tri(0, 1, 2)} OR {tri(0, 2, 3)} GROUP BY 1), t AS (SELECT unnest(t) FROM f),
+    k AS (SELECT *, (x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) AS det, x0 - x1 + x2 - x3 AS sx, y0 - y1 + y2 - y3 AS sy FROM t), gh AS (SELECT *, (sx * (y3 - y2) - sy * (x3 - x2)) / det AS g, ((x1 - x2) * sy - sx * (y1 - y2)) / det AS h FROM k),
+    m AS (SELECT *, x1 - x0 + g * x1 AS a, x3 - x0 + h * x3 AS b, y1 - y0 + g * y1 AS d, y3 - y0 + h * y3 AS e FROM gh), z AS (SELECT vec_id, w, s, (d * h - e * g) * px + (b * g - a * h) * py + a * e - b * d AS z,
+    (e - y0 * h) * px + (x0 * h - b) * py + b * y0 - x0 * e AS u, (y0 * g - d) * px + (a - x0 * g) * py + x0 * d - a * y0 AS v FROM m)
+    SELECT vec_id, w IS NOT NULL AS inside, round(w + abs(u / z), 4) AS x, round(s + abs(v / z), 4) AS y FROM embeddings LEFT JOIN z USING (vec_id)"""
+
+
+ORACLE_SQL["point_in_cloud"] = _cloud_sql()

@@ -285,3 +285,45 @@ def test_system_time(spark):
     said = lambda t: (t.year * 10000 + t.month * 100 + t.day, (t.hour * 10000 + t.minute * 100 + t.second) * 100)
     before = said(dt.datetime.now(dt.UTC))
     assert before <= one(spark, *dates.system_time()) <= said(dt.datetime.now(dt.UTC))
+
+
+def test_places_in_cells_and_clouds(spark):
+    from nephos.operators import fields
+
+    corners = [(0.0, 0.0), (4.0, 1.0), (5.0, 4.0), (-1.0, 2.0)]
+    # The projective map by eight linear equations.
+    rows, right = [], []
+    for (x, y), (u, v) in zip(corners, ((0, 0), (1, 0), (1, 1), (0, 1)), strict=True):
+        rows += [[u, v, 1, 0, 0, 0, -x * u, -x * v], [0, 0, 0, u, v, 1, -y * u, -y * v]]
+        right += [x, y]
+    m = np.append(np.linalg.solve(rows, right), 1.0).reshape(3, 3)
+    lit = [(F.lit(x), F.lit(y)) for x, y in corners]
+    for u, v in ((0.3, 0.7), (0.9, 0.05), (0.5, 0.5)):
+        x, y, w = m @ [u, v, 1.0]
+        assert one(spark, *fields.in_cell((F.lit(x / w), F.lit(y / w)), *lit)) == pytest.approx((u, v), abs=1e-9)
+    assert one(spark, *fields.in_cell((F.lit(0.5), F.lit(0.5)), lit[0], lit[0], lit[0], lit[0])) == (None, None)
+    even = spark.createDataFrame([([float(i) for _ in range(4) for i in range(5)], [float(j) for j in range(4) for _ in range(5)])], "xs array<double>, ys array<double>")
+    for x, y, i, j, want in ((1.25, 2.5, 2, 3, (2.25, 3.5)), (0.1, 0.2, 1, 1, (1.1, 1.2)), (3.9, 2.9, 5, 4, (4.9, 3.9)), (4.5, 1.0, 5, 2, None), (0.5, 2.5, 5, 4, None)):
+        at = fields.place_in_cloud((F.lit(x), F.lit(y)), F.col("xs"), F.col("ys"), F.lit(i), F.lit(j), 5, 4)
+        got = even.select(at.alias("at")).first()["at"]
+        assert (got is None and want is None) or tuple(got) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("ni, nj", [(10, 8), (8, 9), (9, 13), (14, 11)])
+def test_fields_of_their_nodes(spark, ni, nj):
+    # Cubics of both axes come back wherever the nodes are evenly spaced; the rest is near.
+    from nephos.operators import series
+
+    f = lambda i, j: 81 * ((i - 3) ** 3 - 2 * i * j + j**2)
+    node = lambda k, n: (k - 1) % 3 == 0 or k == n
+    z = [f(i, j) if node(i, ni) and node(j, nj) else -(10**9) for j in range(1, nj + 1) for i in range(1, ni + 1)]
+    got = one(spark, series.refined(F.array(*[F.lit(v).cast("long") for v in z]), ni, nj))[0]
+    plain = lambda k, n: (n - 1) % 3 == 0 or (k <= n - (n - 1) % 3 - 6) or node(k, n)
+    for k, v in enumerate(got):
+        i, j = k % ni + 1, k // ni + 1
+        if plain(i, ni) and plain(j, nj):
+            assert v == f(i, j)
+    if (ni - 1) % 3 == 2:
+        assert got[ni - 2] == int((f(ni, 1) + f(ni - 2, 1)) / 2 + (0.5001 if f(ni, 1) + f(ni - 2, 1) > 0 else -0.5001))
+    with pytest.raises(ValueError):
+        series.refined(F.array(), 7, 9)
