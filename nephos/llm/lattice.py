@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nephos.llm.common import cut, small_batches
+from nephos.llm.common import cut, released, small_batches
 from nephos.llm.components import components
 
 
@@ -32,16 +32,12 @@ class Plan:
     scale: float
 
 
-#: The more vectors there are, the finer the cells: unrelated pairs that meet grow with the square of their number, cells that a
-#: vector looks into only with its number.  Up to so many vectors, with the plan: 1 in 1400 of unrelated pairs meets with the
-#: first, 1 in 15 000 with the second, 1 in 400 000 with the third.  At a cosine of 0.9 they miss a pair with a
-#: probability of 0.0007, 0.0003 and 0.0005, at 0.93 of less than 0.0001 (simulated, 20 000 pairs each).
-PLANS = ((2_000_000, Plan(10, 2, 48, 4.6)), (30_000_000, Plan(16, 3, 96, 4.0)), (None, Plan(40, 3, 48, 4.6)))
-
-
-def plan_for(count: int) -> Plan:
-    return next(plan for most, plan in PLANS if most is None or count <= most)
-
+#: One plan serves tables of any size, so that whether a pair is found hangs on its two vectors alone and never on how many others
+#: there are.  At a cosine of 0.9 it missed 3 of 20 000 pairs, at 0.93 none; 1 in 10 000 of unrelated pairs meets (simulated in
+#: 64 dimensions).  A caller may name another plan, which may miss other pairs: the coarse one looks into half as many cells, but
+#: 1 in 730 of unrelated pairs meets.
+PLAN = Plan(40, 3, 24, 4.0)
+PLANS = (("any size", PLAN), ("coarse", Plan(10, 2, 48, 4.6)))
 
 LINK = 0.9
 
@@ -149,23 +145,24 @@ def _cosines(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def near(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", link: float = LINK, plan: Plan | None = None) -> DataFrame:
+def near(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", link: float = LINK, plan: Plan = PLAN) -> DataFrame:
     """(key, n_links, component_id, kept) for every row: how many other rows have a cosine of at least link.
 
     Equal vectors are one class with a count, so copies are not paired.  Vectors that are null, empty, zero
     or hold null or non-finite components link with nothing; so do rows without a key, whose component is
     null, and vectors of different lengths.  Rows that repeat a key count as rows for n_links and as one node
-    of the components.  The plan follows the number of vectors unless one is given.  No rows give no rows.  Nothing else than the key column is returned of the input.
+    of the components.  The plan is the same for any number of vectors unless another is given.  No rows give no rows.  Nothing else than the key column is returned of the input.
     """
     spark = rows.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark, 1000)
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     sound = F.coalesce(F.col("id").isNotNull() & sound, F.lit(False))
     good = rows.where(sound)
     copies = F.transform("vector", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))  # no negative zero
     classes = cut(good.groupBy(copies.alias("vector")).agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    keyed = cut(classes.select("id", "vector").mapInPandas(_keyed(plan or plan_for(classes.count())), "id long, own array<long>, looked array<long>"))
+    keys = _keyed(plan)
+    keyed = cut(classes.select("id", "vector").mapInPandas(lambda batches: released(keys(batches)), "id long, own array<long>, looked array<long>"))
     stored = keyed.select(F.col("id").alias("v"), F.explode("own").alias("cell"))
     looking = keyed.select(F.col("id").alias("u"), F.explode("looked").alias("cell"))
     met = looking.join(stored, "cell").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

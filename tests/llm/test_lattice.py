@@ -109,3 +109,18 @@ def test_plans_agree(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = brute(rows)
     assert all(result(lattice.near(df, plan=plan)) == want for _, plan in lattice.PLANS)
+
+
+def test_links_do_not_hang_on_the_number_of_vectors(spark, monkeypatch):
+    """Four pairs at the threshold, of which each plan that was once chosen by a count missed one or two."""
+    draw = np.random.default_rng(2)
+    a, b = draw.standard_normal((2, 2500, 64))[:, [771, 1106, 1630, 1892]]
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    c = 0.9 + 1e-9
+    b = c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for count in (len(rows), 5_000_000, 50_000_000):
+        monkeypatch.setattr(type(df), "count", lambda self, count=count: count)
+        assert result(lattice.near(df)) == brute(rows), count
