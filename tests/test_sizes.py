@@ -22,7 +22,7 @@ def held(spark, folder, tables, name):
 EDGES = [("embeddings", [(k, [(k + i) % 500 / 1000 - 0.2 for i in range(64)]) for k in range(500)], "vec_id long, embedding array<float>")]
 
 
-@pytest.mark.parametrize("name", ["coarse_refined"])
+@pytest.mark.parametrize("name", ["coarse_refined", "lorenzo_residual"])
 def test_floats_on_edges(spark, tmp_path, name):
     got, want = held(spark, tmp_path, EDGES, name)
     assert got == want
