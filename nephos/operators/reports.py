@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nephos.functions.columns import unused
+
 
 def gather(rows: DataFrame, report: list[str], block: list[str], element: str, value: str) -> DataFrame:
     """Rows to reports: blocks is an array of (block keys, elements, vals), in order."""
@@ -162,17 +164,19 @@ def paired_elements(elements: Column, kind: Column) -> Column:
     return F.when((F.size(elements) % parts == 0) & ~F.exists(filled, lambda e: e.isNull()), filled)
 
 
-def element_table(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(element, scale, reference, listed, repeats) of a table of elements in fixed columns: code in 1 to 6, a star in 51 for one
+def element_table(lines: DataFrame, line: str = "line", by: list[str] = ()) -> DataFrame:
+    """(by, element, scale, reference, listed, repeats) of tables of elements in fixed columns: code in 1 to 6, a star in 51 for one
     that is not listed, scale in 64 to 66, reference in 67 to 77, M in 85 for one that repeats.  Remarks start with * or #."""
     text = F.col(line)
     number = lambda at, width: F.trim(F.substring(text, at, width)).try_cast("long")
     rows = lines.where(~F.substring(text, 1, 1).isin("*", "#") & F.substring(text, 1, 6).rlike("^[0-9]{6}$"))
     listed = F.substring(text, 51, 1) != "*"
-    return rows.select(number(1, 6).alias("element"), F.when(listed, number(64, 3)).alias("scale"), F.when(listed, number(67, 11)).alias("reference"), listed.alias("listed"), (F.lower(F.substring(text, 85, 1)) == "m").alias("repeats"))
+    return rows.select(*by, number(1, 6).alias("element"), F.when(listed, number(64, 3)).alias("scale"), F.when(listed, number(67, 11)).alias("reference"), listed.alias("listed"), (F.lower(F.substring(text, 85, 1)) == "m").alias("repeats"))
 
 
-def repeats(rows: DataFrame, table: DataFrame, element: str, into: str = "repeats") -> DataFrame:
-    """Whether each row's element is one that repeats in a block."""
-    known = table.where("repeats").select(F.col("element").alias("_e"))
-    return rows.join(known, F.col(element) == F.col("_e"), "left").withColumn(into, F.col("_e").isNotNull()).drop("_e")
+def repeats(rows: DataFrame, table: DataFrame, element: str, into: str = "repeats", by: list[str] = ()) -> DataFrame:
+    """Whether each row's element is one that repeats in a block, by the table of its own (by) where there are several.  An
+    element that a table holds more than once counts once."""
+    held = unused("_held", rows)
+    known = table.where("repeats").select(*by, F.col("element").alias(element)).distinct().withColumn(held, F.lit(True))
+    return rows.join(known, [*by, element], "left").select(*rows.columns, held).withColumn(into, F.col(held).isNotNull()).drop(held)

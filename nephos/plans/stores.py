@@ -92,14 +92,22 @@ def element_pairs(spark, d):
     return x.select("p_partkey", "kind", F.concat_ws(",", F.transform("e", lambda v: v.cast("string"))).alias("elements"), F.col("e").isNull().alias("wrong"))
 
 
+#: Codes that six digits have room for: so many parts side by side have a code each and share a table of elements.
+CODES = 300_000
+
+
+def _element_table_of(part):
+    return part - part % CODES
+
+
 def _element_lines(spark, d):
     """A table of elements in fixed columns, of the parts: remarks, unlisted and repeating ones among them."""
     n = F.col("p_partkey")
     body = F.concat(
-        F.lpad((n * 7 % 300_000).cast("string"), 6, "0"), F.rpad(F.lit("  NAME"), 44, " "), F.when(n % 11 == 0, "*").otherwise(" "), F.rpad(F.lit("UNIT"), 12, " "),
+        F.lpad((n * 7 % CODES).cast("string"), 6, "0"), F.rpad(F.lit("  NAME"), 44, " "), F.when(n % 11 == 0, "*").otherwise(" "), F.rpad(F.lit("UNIT"), 12, " "),
         F.lpad((F.col("p_size") % 5 - 1).cast("string"), 3, " "), F.lpad((-n * 3).cast("string"), 11, " "), F.rpad(F.lit(""), 7, " "), F.when(n % 4 == 0, "M").otherwise(" "),
     )
-    return read(spark, d, "part").select("p_partkey", "p_size", F.when(n % 13 == 0, F.concat(F.lit("*"), body)).otherwise(body).alias("line"))
+    return read(spark, d, "part").select("p_partkey", "p_size", _element_table_of(n).alias("table"), F.when(n % 13 == 0, F.concat(F.lit("*"), body)).otherwise(body).alias("line"))
 
 
 def element_table(spark, d):
@@ -107,9 +115,9 @@ def element_table(spark, d):
 
 
 def element_repeats(spark, d):
-    table = reports.element_table(_element_lines(spark, d))
-    li = read(spark, d, "lineitem").withColumn("element", F.col("l_partkey") * 7 % 300_000)
-    return reports.repeats(li, table, "element").groupBy("l_linenumber").agg(F.sum(F.col("repeats").cast("long")).alias("n_repeat"), F.count("*").alias("n"))
+    tables, n = reports.element_table(_element_lines(spark, d), by=["table"]), F.col("l_partkey")
+    li = read(spark, d, "lineitem").select("l_linenumber", _element_table_of(n).alias("table"), (n * 7 % CODES).alias("element"))
+    return reports.repeats(li, tables, "element", by=["table"]).groupBy("l_linenumber").agg(F.sum(F.col("repeats").cast("long")).alias("n_repeat"), F.count("*").alias("n"))
 
 
 def _arrays(spark, d):

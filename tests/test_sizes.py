@@ -26,3 +26,11 @@ EDGES = [("embeddings", [(k, [(k + i) % 500 / 1000 - 0.2 for i in range(64)]) fo
 def test_floats_on_edges(spark, tmp_path, name):
     got, want = held(spark, tmp_path, EDGES, name)
     assert got == want
+
+
+def test_codes_that_come_again(spark, tmp_path):
+    """Parts 300 000 apart have the same code of six digits: a remark in one table, a repeating element in another, and both."""
+    parts = [(k + 300_000 * t, k % 50 + 1) for k in range(60) for t in range(3)]
+    tables = [("part", parts, "p_partkey long, p_size int"), ("lineitem", [(p, p % 7 + 1) for p, _ in parts] + [(299_999, 1), (None, 2)], "l_partkey long, l_linenumber int")]
+    got, want = held(spark, tmp_path, tables, "element_repeats")
+    assert got == want
