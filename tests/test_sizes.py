@@ -1,8 +1,12 @@
 """Faults that only larger tables show, against SQL on small made tables."""
 
+from types import SimpleNamespace
+
 import duckdb
+import pandas as pd
 import pytest
 
+from nephos.operators import directives
 from nephos.plans import catalogue
 from tests.test_queries import rows
 
@@ -34,3 +38,13 @@ def test_codes_that_come_again(spark, tmp_path):
     tables = [("part", parts, "p_partkey long, p_size int"), ("lineitem", [(p, p % 7 + 1) for p, _ in parts] + [(299_999, 1), (None, 2)], "l_partkey long, l_linenumber int")]
     got, want = held(spark, tmp_path, tables, "element_repeats")
     assert got == want
+
+
+def test_directives_of_one_text_run_once(monkeypatch):
+    """Rows of one text share its run, and the turns of a loop do not read its lines again."""
+    read, plain = [], directives.TOKEN
+    monkeypatch.setattr(directives, "TOKEN", SimpleNamespace(match=lambda text, at: read.append(text) or plain.match(text, at)))
+    monkeypatch.setattr(directives.F, "pandas_udf", lambda run, kind: run)
+    lines = "count = 0\ntotal = 0\nwhile (count < 400)\n count = count + 1\n total = total + count * 2, 7\n total = total[1]\nendwhile\n"
+    found = directives.evaluated(pd.Series([lines, None, "total = (", lines, "total = 1"] * 20), "total")
+    assert found.tolist() == ["160400", None, None, "160400", "1"] * 20 and len(read) < 200
