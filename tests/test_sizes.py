@@ -3,10 +3,11 @@
 from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from nephos.operators import directives
+from nephos.operators import directives, series
 from nephos.plans import catalogue
 from tests.test_queries import rows
 
@@ -48,3 +49,18 @@ def test_directives_of_one_text_run_once(monkeypatch):
     lines = "count = 0\ntotal = 0\nwhile (count < 400)\n count = count + 1\n total = total + count * 2, 7\n total = total[1]\nendwhile\n"
     found = directives.evaluated(pd.Series([lines, None, "total = (", lines, "total = 1"] * 20), "total")
     assert found.tolist() == ["160400", None, None, "160400", "1"] * 20 and len(read) < 200
+
+
+def test_product_in_blocks(spark, monkeypatch):
+    """Blocks of few rows and slices of few columns, places that are held twice or not at all, and what is not finite."""
+    for name, size in (("BLOCK_ROWS", 3), ("SLICE", 2)):
+        monkeypatch.setattr(series, name, size)
+    a = [(i, i * k % 7, float(i + k)) for i in range(9) for k in range(i % 5)] + [(2, 50, float("inf")), (3, 0, None)]
+    b = [(i * k % 7, f"c{i}", float(i - k)) for i in range(8) for k in range(i % 4)] + [(50, "c1", 2.0), (99, "c9", 1.0)]
+    want = {}
+    for i, k, v in a:
+        for m, j, w in b:
+            if k == m and v is not None:
+                want[i, j] = want.get((i, j), 0.0) + v * w
+    got = series.product(spark.createDataFrame(a, "i int, k long, v double"), spark.createDataFrame(b, "k long, j string, v double"))
+    assert {(r["i"], r["j"]): r["v"] for r in got.collect()} == want and got.count() == len(want)
