@@ -51,6 +51,13 @@ def test_directives_of_one_text_run_once(monkeypatch):
     assert found.tolist() == ["160400", None, None, "160400", "1"] * 20 and len(read) < 200
 
 
+def test_product_of_all_rows(spark, tmp_path):
+    draw = np.random.default_rng(4)
+    tables = [("embeddings", [(k, x.tolist()) for k, x in enumerate(draw.normal(size=(70, 64)))], "vec_id long, embedding array<double>")]
+    got, want = held(spark, tmp_path, tables, "matrix_product")
+    assert got == want and len(got[1]) == 4900
+
+
 def test_product_in_blocks(spark, monkeypatch):
     """Blocks of few rows and slices of few columns, places that are held twice or not at all, and what is not finite."""
     for name, size in (("BLOCK_ROWS", 3), ("SLICE", 2)):
