@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -301,13 +303,19 @@ def text_of(value: Column) -> Column:
 
 
 def _text(value: Column) -> Column:
-    mantissa = F.format_string("%.5e", value)
-    power = F.regexp_extract(mantissa, "e([+-][0-9]+)$", 1).cast("int")
-    digits = F.regexp_replace(F.regexp_extract(mantissa, "^(-?[0-9.]+)e", 1), r"\.?0+$", "")
-    plain = F.element_at(F.array(*[F.format_string(f"%.{max(0, 5 - e)}f", value) for e in range(-4, 6)]), (power + 5).cast("int"))
-    plain = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
-    signed = F.concat(F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    return F.when(power.between(-4, 5), plain).otherwise(F.concat(digits, F.lit("e"), signed))
+    def written(x: Column) -> Column:
+        power = F.substring_index(x["mantissa"], "e", -1).cast("int")
+        # Only the branch of a row's own power is formatted.
+        plain = reduce(lambda rest, e: rest.when(power == e, F.format_string(f"%.{max(0, 5 - e)}f", x["value"])), range(-3, 6), F.when(power == -4, F.format_string("%.9f", x["value"])))
+        signed = F.concat(F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+        return F.when(power.between(-4, 5), _without_zeros(plain)).otherwise(F.concat(_without_zeros(F.substring_index(x["mantissa"], "e", 1)), F.lit("e"), signed))
+
+    return once(F.struct(value.alias("value"), F.format_string("%.5e", value).alias("mantissa")), written)
+
+
+def _without_zeros(digits: Column) -> Column:
+    """Digits without the zeros at the end of their fraction."""
+    return F.when(digits.contains("."), F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))).otherwise(digits)
 
 
 def codes_text(ip1: Column, ip2: Column, ip3: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nephos.functions import codecs, descriptors, levels
-from nephos.plans.base import r4, read
+from nephos.plans.base import r4, read, spread
 
 #: Kinds, and the value of each as a factor of the row's size (1 to 50) and an offset.
 SPREAD = {0: (-300.0, 9000.0), 1: (0.02, 0.0), 2: (21.5, 0.0), 3: (-1234.5, 30000.0), 4: (0.37, -9.0), 5: (0.0199, 0.0), 6: (3001.0, 0.0), 7: (377.7, 0.0), 10: (1e6, 0.0), 15: (1234.0, 0.0), 17: (3.0, 0.0), 21: (12345.0, 0.0)}
@@ -74,7 +74,7 @@ def _codes(spark, d):
     one = F.when(n % 3 == 0, new(F.col("p_size"), 2)).when(n % 3 == 1, n * 37 % 32000).otherwise(new(F.col("p_size"), 10))
     two = F.when(n % 4 < 2, n % 240).when(n % 4 == 2, new(n % 48, 10)).otherwise(new(F.col("p_size") + 5, 2))
     three = F.when(n % 2 == 0, n % 90).otherwise(new(n % 36, 10))
-    return read(spark, d, "part").select("p_partkey", one.alias("ip1"), two.alias("ip2"), three.alias("ip3"))
+    return spread(read(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", one.alias("ip1"), two.alias("ip2"), three.alias("ip3"))
 
 
 def level_pairs_decode(spark, d):

@@ -112,3 +112,10 @@ def test_targets_of_one_place_meet_once(spark):
     near = grids.nearest_points(t, s, "t", "s", 4).groupBy("place").count()
     assert sorted(map(tuple, near.collect())) == [(k, 3000) for k in (1, 2, 3, 4)]
     assert joined_rows(near._jdf.queryExecution().executedPlan()) < 20_000
+
+
+def test_costly_rows_are_dealt(spark, tmp_path):
+    """A small file of many rows whose levels are costly to write is not one task's."""
+    spark.range(120_000).select(F.col("id").alias("p_partkey"), (F.col("id") % 50 + 1).cast("int").alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    text = catalogue.QUERIES["level_codes_text"](spark, str(tmp_path))
+    assert text.groupBy(F.spark_partition_id()).count().count() == 3
