@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nephos.functions.columns import unused
+
 #: Given where a score cannot be computed.
 NO_SCORE = 99999.0
 
@@ -51,27 +53,45 @@ def wind_rms(rows: DataFrame, fu: Column, ou: Column, fv: Column, ov: Column, we
     return s.select(*by, F.coalesce(F.sqrt(F.col("y") / F.nullif("w", F.lit(0.0))), F.lit(NO_SCORE)).alias("rms"))
 
 
+#: Rows of a field that are in a band.
+BAND = 256
+
+
 def gradient_score(cells: DataFrame, i: str, j: str, forecast: str, observed: str, by: list[str], window: tuple[int, int, int, int] | None = None, step: int = 1) -> DataFrame:
     """S1: 100 times the summed error of gradients to the next i and the next j over their summed size.
 
     cells has one row for each (by, i, j).  Gradients start at every step-th point of the window (i1, i2, j1, j2) up to a step
     before its far ends.  Without gradients, or where all are zero, and for a step that is not 1 or 2 or does not fit, the
-    score is 99999.  Each row goes to the three points whose gradients it is part of, which one aggregation puts together.
+    score is 99999.  Rows are dealt once, by bands of j with the first row of the next band, and both neighbours come from
+    windows inside a band.
     """
-    here = cells.select(*by, F.col(i).alias("_i"), F.col(j).alias("_j"), F.col(forecast).cast("double").alias("_f"), F.col(observed).cast("double").alias("_v"))
-    places = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(a).alias("a"), F.lit(b).alias("b")) for r, a, b in ((0, 0, 0), (1, 1, 0), (2, 0, 1))])
-    parts = here.withColumn("_p", F.explode(places)).withColumns({"_i": F.col("_i") - F.col("_p.a"), "_j": F.col("_j") - F.col("_p.b"), "_r": F.col("_p.r")})
+    i_, j_, band, start, f, v = (unused(n, cells) for n in ("_i", "_j", "_band", "_start", "_f", "_v"))
+    here = cells.select(*by, F.col(i).alias(i_), F.col(j).alias(j_), F.col(forecast).cast("double").alias(f), F.col(observed).cast("double").alias(v))
+    of_j = F.floor(F.col(j_) / BAND).cast("long")
+    # The first row of a band ends the gradients of the band before, but starts none there.
+    sent = F.when(F.pmod(F.col(j_), F.lit(BAND)) == 0, F.array(of_j, of_j - 1)).otherwise(F.array(of_j))
+    rows = here.select("*", F.explode(sent).alias(band)).withColumn(start, F.col(band) == of_j).repartition(*by, band)
+
+    def next_along(order: str, fixed: str) -> list[Column]:
+        w = Window.partitionBy(*by, band, fixed).orderBy(order)
+        beside = F.lead(order).over(w) == F.col(order) + 1
+        return [F.when(beside, F.lead(c).over(w)) for c in (f, v)]
+
+    ends = {f"{c}{axis}": x for axis, at in (("i", (i_, j_)), ("j", (j_, i_))) for c, x in zip("fv", next_along(*at), strict=True)}
+    ends = {unused(f"_{name}", cells): x for name, x in ends.items()}
+    met = rows.withColumns(ends)
+    good = F.col(start)
     if window is not None:
         i1, i2, j1, j2 = window
-        parts = parts.where(F.col("_i").between(i1, i2 - step) & F.col("_j").between(j1, j2 - step) & ((F.col("_i") - i1) % step == 0) & ((F.col("_j") - j1) % step == 0))
+        good = good & F.col(i_).between(i1, i2 - step) & F.col(j_).between(j1, j2 - step) & ((F.col(i_) - i1) % step == 0) & ((F.col(j_) - j1) % step == 0)
         if step not in (1, 2) or i2 - i1 < step or j2 - j1 < step:
-            parts = parts.where(F.lit(False))
-    met = parts.groupBy(*by, "_i", "_j").agg(*[F.max(F.when(F.col("_r") == r, F.col(c))).alias(f"{c}{r}") for r in range(3) for c in ("_f", "_v")])
-    met = met.where(" AND ".join(f"_f{r} IS NOT NULL AND _v{r} IS NOT NULL" for r in range(3)))
-    dfi, dvi, dfj, dvj = (F.col(f"{c}0") - F.col(f"{c}{r}") for r in (1, 2) for c in ("_f", "_v"))
-    a = F.sum(F.abs(dfi - dvi) + F.abs(dfj - dvj))
-    b = F.sum(F.greatest(F.abs(dfi), F.abs(dvi)) + F.greatest(F.abs(dfj), F.abs(dvj)))
-    s = cells.select(*by).distinct().join(met.groupBy(*by).agg(a.alias("_a"), b.alias("_b")), by, "left")
+            good = F.lit(False)
+    for c in (f, v, *ends):
+        good = good & F.col(c).isNotNull()
+    dfi, dvi, dfj, dvj = (F.col(c) - F.col(e) for c, e in zip((f, v, f, v), ends, strict=True))
+    a = F.sum(F.when(good, F.abs(dfi - dvi) + F.abs(dfj - dvj)))
+    b = F.sum(F.when(good, F.greatest(F.abs(dfi), F.abs(dvi)) + F.greatest(F.abs(dfj), F.abs(dvj))))
+    s = met.groupBy(*by).agg(a.alias("_a"), b.alias("_b"))
     return s.select(*by, F.when(F.col("_b") != 0, F.col("_a") / F.col("_b") * 100).otherwise(F.lit(NO_SCORE)).alias("s1"))
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from nephos.operators import directives, grids, series
+from nephos.operators import directives, grids, scores, series
 from nephos.plans import catalogue
 from tests.test_queries import rows
 
@@ -119,3 +119,30 @@ def test_costly_rows_are_dealt(spark, tmp_path):
     spark.range(120_000).select(F.col("id").alias("p_partkey"), (F.col("id") % 50 + 1).cast("int").alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     text = catalogue.QUERIES["level_codes_text"](spark, str(tmp_path))
     assert text.groupBy(F.spark_partition_id()).count().count() == 3
+
+
+def shuffled_rows(plan):
+    """Rows that the exchanges of a plan that has run wrote."""
+    kind = plan.nodeName()
+    if kind == "AdaptiveSparkPlan":
+        return shuffled_rows(plan.executedPlan())
+    if "QueryStage" in kind:
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "Exchange" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_gradients_deal_rows_once(spark):
+    """Rows over several bands of j, some missing, against plain sums; no row is sent three times."""
+    cells = {(i, j): (float(i * j % 17), float((i + 2 * j) % 13)) for i in range(1, 6) for j in range(200, 1100) if (i + j) % 29}
+    a = b = 0.0
+    for (i, j), x in cells.items():
+        ends = [cells.get(at) for at in ((i + 1, j), (i, j + 1))]
+        if all(ends):
+            for y in ends:
+                df, dv = x[0] - y[0], x[1] - y[1]
+                a, b = a + abs(df - dv), b + max(abs(df), abs(dv))
+    frame = spark.createDataFrame([(0, *at, *x) for at, x in cells.items()], "g int, i int, j int, f double, v double")
+    score = scores.gradient_score(frame, "i", "j", "f", "v", ["g"])
+    assert score.collect()[0]["s1"] == pytest.approx(100 * a / b)
+    assert shuffled_rows(score._jdf.queryExecution().executedPlan()) < 1.5 * len(cells)
