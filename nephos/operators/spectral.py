@@ -1,4 +1,4 @@
-"""Spectral transforms: Legendre tables by latitude, sums as joins with partial aggregation."""
+"""Spectral transforms: Legendre tables by latitude, sums over arrays of a wave."""
 
 from __future__ import annotations
 
@@ -40,17 +40,38 @@ def legendre_table(spark: SparkSession, latitudes: list[float], waves: int) -> D
     return places.repartition(max(1, min(len(latitudes), 200)), "lat").mapInPandas(made, "lat int, m int, n int, p double")
 
 
+#: Rows of a table up to which every task is given all of it.
+BROADCAST_ROWS = 1_000_000
+
+
+def _summed(rows: DataFrame, by: list[str], over: str, table: DataFrame, into: str) -> DataFrame:
+    """(by, into, m, re, im): rows (by, m, over, re, im) times a table (m, over, into, p), summed over one axis.
+
+    A row's wave holds its axis as an array, so what is shuffled and kept are the rows, not each of them for each place of into.
+    """
+    places = table.groupBy("m", into).agg(F.map_from_entries(F.collect_list(F.struct(over, "p"))).alias("_p"))
+    places = places.groupBy("m").agg(F.collect_list(F.struct(into, "_p")).alias("_t"))
+    places = F.broadcast(places) if table.count() <= BROADCAST_ROWS else places
+    lines = rows.groupBy(*by, "m").agg(F.collect_list(F.struct(F.col(over).cast(table.schema[over].dataType).alias("_o"), "re", "im")).alias("_x"))
+    met = lines.join(places, "m").select(*by, "m", "_x", F.explode("_t").alias("_t"))
+    met = met.select(*by, f"_t.{into}", "m", F.filter("_x", lambda x: F.col("_t._p")[x["_o"]].isNotNull()).alias("_x"), F.col("_t._p").alias("_p")).where(F.size("_x") > 0)
+
+    def total(part: str):
+        terms = F.filter(F.transform("_x", lambda x: x[part] * F.col("_p")[x["_o"]]), lambda t: t.isNotNull())
+        return F.when(F.size(terms) > 0, F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)).alias(part)
+
+    return met.select(*by, into, "m", total("re"), total("im"))
+
+
 def to_latitudes(spectrum: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
     """Fourier coefficients (by, lat, m, re, im) of spectral ones (by, m, n, re, im)."""
-    met = spectrum.join(table, ["m", "n"])
-    return met.groupBy(*by, "lat", "m").agg(F.sum(F.col("re") * F.col("p")).alias("re"), F.sum(F.col("im") * F.col("p")).alias("im"))
+    return _summed(spectrum, by, "n", table, "lat")
 
 
 def to_spectrum(fourier: DataFrame, table: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
     """Spectral coefficients of Fourier ones by Gaussian quadrature; weights has (lat, w)."""
-    met = fourier.join(table, ["lat", "m"]).join(weights, "lat")
-    w = F.col("p") * F.col("w")
-    return met.groupBy(*by, "m", "n").agg(F.sum(F.col("re") * w).alias("re"), F.sum(F.col("im") * w).alias("im"))
+    weighted = table.join(weights, "lat").select("lat", "m", "n", (F.col("p") * F.col("w")).alias("p"))
+    return _summed(fourier, by, "lat", weighted, "n").select(*by, "m", "n", "re", "im")
 
 
 def east_derivative(spectrum: DataFrame, factor: float = 1.0) -> DataFrame:

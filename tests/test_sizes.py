@@ -146,3 +146,11 @@ def test_gradients_deal_rows_once(spark):
     score = scores.gradient_score(frame, "i", "j", "f", "v", ["g"])
     assert score.collect()[0]["s1"] == pytest.approx(100 * a / b)
     assert shuffled_rows(score._jdf.queryExecution().executedPlan()) < 1.5 * len(cells)
+
+
+def test_waves_are_summed_in_their_row(spark, tmp_path):
+    """Fewer rows are shuffled than the spectrum has coefficients, let alone those times latitudes."""
+    spark.createDataFrame([(k, [float(k + i) for i in range(64)]) for k in range(200)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    back = catalogue.QUERIES["spectral_round_trip"](spark, str(tmp_path))
+    assert sorted((r["m"], r["n"], r["re"]) for r in back.collect() if r["vec_id"] == 3) == [(m, n, 3.0 + 8 * m + n) for m in range(7) for n in range(m, 7)]
+    assert shuffled_rows(back._jdf.queryExecution().executedPlan()) < 200 * 28
